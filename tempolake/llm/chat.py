@@ -46,7 +46,7 @@ def windows(turns, budget: int = BUDGET, history: float = HISTORY, count=count_t
     the longest run of turns before the window within its share of the budget; what is repeated, targets too, is outside
     the mask. Every turn is new in exactly one window. Turns are taken from an iterator; only a window's worth is held.
     """
-    system, past, new, used = None, [], [], 0
+    system, past, new, used, later = None, [], [], 0, False
 
     def close():
         left, k = budget * history, len(past)
@@ -54,7 +54,7 @@ def windows(turns, budget: int = BUDGET, history: float = HISTORY, count=count_t
             k -= 1
             left -= past[k][2]
         text, mask = "", []
-        for sign, (role, body, _) in [*((OLD, t) for t in ([system] if system and past else []) + past[k:]), *((NEW, t) for t in new)]:
+        for sign, (role, body, _) in [*((OLD, t) for t in ([system] if system and later else []) + past[k:]), *((NEW, t) for t in new)]:
             text += OPEN + sign + escape(role) + MID
             if sign == NEW and role == "assistant":
                 mask.append((len(text), len(text) + len(escape(body))))
@@ -67,6 +67,7 @@ def windows(turns, budget: int = BUDGET, history: float = HISTORY, count=count_t
         if new and used + t[2] > budget:
             out = close()
             yield out[:2]
+            later = True
             past = [x for x in past[-64:] + new if x is not system][-64:]
             new, used = [], (system[2] if system else 0) + int(budget * history)
         if first and role == "system":
