@@ -186,3 +186,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     text. Empty tables give no rows or no hits. Other columns are not read. The index is a table in the shared folder.
     """
     return search(stored(build_index(docs, id_col, text_col), "postings"), benchmark, window=window, span=span)
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` with no word inside a benchmark window, as they are; rows of one id are told apart by text."""
+    key = F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    found = decontaminate(docs.select(key.alias("__key"), text_col), benchmark, "__key", text_col, window)
+    return docs.withColumn("__key", key).join(found.where("n_hit > 0").select(F.col("id").alias("__key")).distinct(), "__key", "left_anti").drop("__key")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, packing, simhash, warc
+from . import bcr_dedup, chat, decontam, embedding_pq, line_dedup, packing, quality_mil, simhash, toxicity_cnn, warc
 from .common import prepare
 
 
@@ -55,3 +55,35 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op1_simhash": op1_simhash, "op5_packing": op5_packing, "op6_warc": op6_warc, "op7_decontamination": op7_decontamination, "op10_chat": op10_chat}
 ORACLES = {"op6_warc": OP6_SQL}
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = quality_mil.crc_fold("doc_id", 4)
+    found = quality_mil.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), fold=fold != 2)
+    return found.select(F.col("id").alias("doc_id"), (quality_mil.crc_fold("id", 4) == 2).alias("held_out"), "score", (F.col("score") >= quality_mil.CUT).cast("int").alias("predicted"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = quality_mil.crc_fold("doc_id", 5)
+    found = toxicity_cnn.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), fold=fold != 0)
+    return found.select(F.col("id").alias("doc_id"), (quality_mil.crc_fold("id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES |= {"op2_quality": op2_quality, "op3_toxicity": op3_toxicity}
+
+
+def op4_embedding_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_pq.near_duplicates(_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op9_bcr_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bcr_dedup.dedup_bytes(_table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES |= {"op4_embedding_pq": op4_embedding_pq, "op8_line_dedup": op8_line_dedup, "op9_bcr_dedup": op9_bcr_dedup}

@@ -45,14 +45,15 @@ def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp long) for every row; the 64 bits of ``fp`` are to be read as unsigned."""
+    """(id, th, fp long) for every row, ``th`` a hash of the text; the 64 bits of ``fp`` are to be read as unsigned."""
 
     def run(batches):
         for b in batches:
-            fp = np.array([fingerprint(t) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], names=["id", "fp"])
+            fp = np.array([fingerprint(t) for t in b.column(2).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp, pa.int64())], names=["id", "th", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string")).mapInArrow(run, "id long, fp long")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text), text).mapInArrow(run, "id long, th long, fp long")
 
 
 def _anchors(half: Column, which: int) -> Column:
@@ -146,6 +147,15 @@ def _compare(x: np.ndarray, bounds: np.ndarray, most: int):
         yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
 
+def _classes(docs: DataFrame, id_col: str, text_col: str, max_bits: int) -> tuple[DataFrame, DataFrame]:
+    """(id, th, fp) of every row, and (fp, first id, root) of every fingerprint."""
+    prepare(docs.sparkSession)
+    fps = fingerprints(docs, id_col, text_col).checkpoint()
+    classes = fps.groupBy("fp").agg(F.min("id").alias("first"))
+    roots = connected_components(links(classes.select("fp"), max_bits))
+    return fps, classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """(id, fp, component_id) for every row of ``docs``.
 
@@ -153,10 +163,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     and link like any other; repeated ids and rows stay; a null id stays and never becomes a component's id (the id of
     a component with null ids only is null). Other columns of ``docs`` are not read. An empty table gives no rows.
     """
-    prepare(docs.sparkSession)
-    fps = fingerprints(docs, id_col, text_col).checkpoint()
-    classes = fps.groupBy("fp").agg(F.min("id").alias("first"))
-    roots = connected_components(links(classes.select("fp"), max_bits))
-    named = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    fps, named = _classes(docs, id_col, text_col, max_bits)
     firsts = named.groupBy("root").agg(F.min("first").alias("component_id"))
     return fps.join(named.join(firsts, "root").select("fp", "component_id"), "fp").select("id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
+    """``docs`` with one row of each component: that of smallest id, null last; of one id by a hash of the text."""
+    o, th = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    keyed = docs.withColumns({"__o": o, "__th": th})
+    fps, named = _classes(keyed, id_col, text_col, max_bits)
+    # the text's hash goes along with the fingerprint, so that rows of one id are told apart
+    winners = fps.join(named.select("fp", "root"), "fp").groupBy("root").agg(F.min(F.struct(F.coalesce("id", F.lit((1 << 63) - 1)).alias("__o"), F.col("th").alias("__th"))).alias("w")).select("w.*")
+    return keyed.join(winners, ["__o", "__th"], "left_semi").dropDuplicates(["__o", "__th"]).drop("__o", "__th")
