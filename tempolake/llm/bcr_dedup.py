@@ -9,25 +9,27 @@ longest common prefixes and the suffix order. Runs of common prefixes of ``WINDO
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import prepare, stored
 
-WINDOW, GRAM = 100, 24
+WINDOW, GRAM = 100, 40
 SPAN = WINDOW - GRAM + 1
 #: Segments that are indexed together, if a minimizer has no more by itself; suffixes beyond which arrays are files.
-BLOCK_SEGMENTS, MEMORY_SUFFIXES = 1500, 8_000_000
-#: Distinct segments of a minimizer beyond which its windows are grouped one by one over all tasks.
+BLOCK_SEGMENTS, MEMORY_SUFFIXES = 400, 8_000_000
+#: Places of a minimizer beyond which its windows are grouped one by one over all tasks.
 MOST_SEGMENTS = 20_000
 #: Minimizers that a task combines before it sends them on.
 COMBINE = 400_000
+#: More than a segment's bytes.
+OFFSETS = 256
 LAST = (1 << 63) - 1
 
 
@@ -74,7 +76,7 @@ class _Arrays:
 
 
 def column_index(segments: list[bytes]):
-    """(suffixes in order as segment * 2**16 + offset, common prefix of each with the one before) of a collection.
+    """(suffixes in order as segment * ``OFFSETS`` + offset, common prefix of each with the one before) of a collection.
 
     Round t inserts the suffix of length t of every segment that has one: its place follows from the rank of its first
     symbol in the transform so far, its common prefixes from the least one between two of that symbol.
@@ -82,12 +84,16 @@ def column_index(segments: list[bytes]):
     count = len(segments)
     sizes = np.array([len(s) for s in segments])
     width = int(sizes.max())
-    # symbols from the end, 0 beyond the beginning; a byte b is b + 1
-    column = np.zeros((width + 1, count), np.uint16)
+    # symbols from the end, numbered by byte, 0 beyond the beginning
+    used = np.unique(np.frombuffer(b"".join(segments), np.uint8))
+    kind = np.uint8 if len(used) < 256 else np.uint16
+    number = np.zeros(256, kind)
+    number[used] = np.arange(1, len(used) + 1)
+    column = np.zeros((width + 1, count), kind)
     for k, s in enumerate(segments):
-        column[: len(s), k] = np.frombuffer(s, np.uint8)[::-1].astype(np.uint16) + 1
+        column[: len(s), k] = number[np.frombuffer(s, np.uint8)[::-1]]
     arrays = _Arrays(int(sizes.sum()))
-    bwt, lcp, name = column[0].copy(), np.zeros(count, np.int16), np.arange(count, dtype=np.int64) * 65536 + sizes
+    bwt, lcp, name = column[0].copy(), np.zeros(count, np.int16), (np.arange(count) * OFFSETS + sizes).astype(np.int64 if count * OFFSETS >= 1 << 31 else np.int32)
     place = np.arange(count)
     live = np.flatnonzero(sizes > 0)
     for t in range(1, width + 1):
@@ -95,7 +101,7 @@ def column_index(segments: list[bytes]):
         order = np.argsort(bwt, kind="stable")
         rank = np.empty(n, np.int64)
         rank[order] = np.arange(n)
-        ends = int(np.searchsorted(bwt[order], 1))
+        ends = int(np.count_nonzero(bwt == 0))
         p = place[live]
         r = rank[p]
         new = r - ends + count
@@ -119,7 +125,7 @@ def column_index(segments: list[bytes]):
         bwt, lcp, name = grown
         bwt[new] = column[t, live] if t <= width else 0
         lcp[new] = low
-        name[new] = live * 65536 + sizes[live] - t
+        name[new] = live * OFFSETS + sizes[live] - t
         follows = new + 1 < total
         nxt = new[follows] + 1
         stays = old[nxt]  # a new successor has set its own
@@ -145,7 +151,7 @@ def repeats(segments: list[bytes], orders: list[tuple]) -> list[tuple[int, int,
     """
     name, lcp = column_index(segments)
     sizes = np.array([len(s) for s in segments])
-    seg, at = name >> 16, name & 65535
+    seg, at = name // OFFSETS, name % OFFSETS
     whole = sizes[seg] - at >= WINDOW
     group = np.cumsum(lcp < WINDOW)[whole]
     seg, at = seg[whole], at[whole]
@@ -168,43 +174,40 @@ def repeats(segments: list[bytes], orders: list[tuple]) -> list[tuple[int, int,
 
 
 def _minimizers(docs: DataFrame) -> DataFrame:
-    """(h, th, start, n, known): runs of windows; ``known`` if the same task saw the minimizer elsewhere too.
+    """(h, o, start, n, known, sent): runs of windows; ``known`` if the same task saw the minimizer elsewhere too.
 
-    Of a minimizer that a task sees in several places one row alone is dealt out by it, the others by place.
+    Of a minimizer that a task sees in several places one row alone is ``sent`` to meet other tasks' rows.
     """
 
     def run(batches):
         held, n = [], 0
-        seed = TaskContext.get().partitionId()
         for b in batches:
-            for th, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for o, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 h, a, k = window_runs(np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8))
                 if len(h):
-                    held.append((h, np.full(len(h), th, np.int64), a, k))
+                    held.append((h, np.full(len(h), o, np.int64), a, k))
                     n += len(h)
             if n >= COMBINE:
-                yield combined(held, seed)
+                yield combined(held)
                 held, n = [], 0
         if held:
-            yield combined(held, seed)
-
-    def combined(held, seed):
-        h, th, a, k = (np.concatenate(x) for x in zip(*held, strict=True))
-        by = np.lexsort((a, th, h))
-        h, th, a, k = h[by], th[by], a[by], k[by]
-        once = np.append(True, (h[1:] != h[:-1]) | (th[1:] != th[:-1]) | (a[1:] != a[:-1]))
-        h, th, a, k = h[once], th[once], a[once], k[once]
+            yield combined(held)
+
+    def combined(held):
+        h, o, a, k = (np.concatenate(x) for x in zip(*held, strict=True))
+        by = np.lexsort((a, o, h))
+        h, o, a, k = h[by], o[by], a[by], k[by]
         first = np.append(True, h[1:] != h[:-1])
-        several = np.repeat(np.diff(np.append(np.flatnonzero(first), len(h))) > 1, np.diff(np.append(np.flatnonzero(first), len(h))))
-        deal = np.where(first, h.view(np.int64), th * 31 + a)
-        return pa.RecordBatch.from_arrays([pa.array(deal), pa.array(h.view(np.int64)), pa.array(th), pa.array(a, pa.int32()), pa.array(k, pa.int16()), pa.array(several), pa.array(first)], names=["deal", "h", "th", "start", "n", "known", "sent"])
+        counts = np.diff(np.append(np.flatnonzero(first), len(h)))
+        cols = [pa.array(h.view(np.int64)), pa.array(o), pa.array(a, pa.int32()), pa.array(k, pa.int16()), pa.array(np.repeat(counts > 1, counts)), pa.array(first)]
+        return pa.RecordBatch.from_arrays(cols, names=["h", "o", "start", "n", "known", "sent"])
 
-    return docs.select("th", "text").mapInArrow(run, "deal long, h long, th long, start int, n short, known boolean, sent boolean")
+    return docs.select("o", "text").mapInArrow(run, "h long, o long, start int, n short, known boolean, sent boolean")
 
 
 def _repeated(rows: DataFrame) -> DataFrame:
-    """The rows of ``_minimizers`` whose minimizer occurs in more than one place."""
-    rows = rows.repartition("deal").sortWithinPartitions("h")
+    """(h, o, start, n): the rows of ``_minimizers`` whose minimizer occurs in more than one place; a few may be twice."""
+    rows = rows.repartition(F.when(F.col("sent"), F.col("h")).otherwise(F.xxhash64("o", "start"))).sortWithinPartitions("h")
 
     def run(batches):
         rest = None
@@ -218,88 +221,120 @@ def _repeated(rows: DataFrame) -> DataFrame:
             if cut:
                 yield from picked(rest.slice(0, cut))
                 rest = rest.slice(cut)
-            else:  # a minimizer with so many rows is repeated; two are enough to know it further on
+            else:  # a minimizer with so many rows is repeated; two of them tell it further on
                 yield from picked(rest)
                 rest = rest.slice(0, 2)
-                rest = rest.set_column(rest.schema.get_field_index("h"), "h", rest.column("h"))
         if rest is not None:
             yield from picked(rest)
 
     def picked(t):
         h, sent, known = (t.column(c).to_numpy() for c in ("h", "sent", "known"))
-        where = t.column("th").to_numpy() * np.int64(1_000_003) + t.column("start").to_numpy()
-        # rows sent under their minimizer: repeated if two of them differ in place
         k = np.flatnonzero(sent)
-        starts = np.flatnonzero(np.append(True, h[k][1:] != h[k][:-1])) if len(k) else k
         keep = known.copy()
         if len(k):
-            lo, hi = np.minimum.reduceat(where[k], starts), np.maximum.reduceat(where[k], starts)
-            keep[k] |= np.repeat(lo != hi, np.diff(np.append(starts, len(k))))
+            starts = np.flatnonzero(np.append(True, h[k][1:] != h[k][:-1]))
+            counts = np.diff(np.append(starts, len(k)))
+            keep[k] |= np.repeat(counts > 1, counts)
         if keep.any():
-            yield from t.filter(pa.array(keep)).select(["h", "th", "start", "n"]).combine_chunks().to_batches()
+            yield from t.filter(pa.array(keep)).select(["h", "o", "start", "n"]).combine_chunks().to_batches()
 
-    return rows.mapInArrow(run, "h long, th long, start int, n short").distinct()
+    return rows.mapInArrow(run, "h long, o long, start int, n short")
 
 
-def _index_blocks(rows: DataFrame) -> DataFrame:
-    """(o, th, start, n) runs of repeated windows within the collections of (h, segment, o, th, start) rows sorted by h."""
+_RUNS = "o long, th long, start int, n int, window binary"
 
-    def run(batches):
-        segments, orders, last = [], [], None
-        for b in batches:
-            cols = [b.column(k).to_pylist() for k in range(5)]
-            for h, s, o, th, a in zip(*cols, strict=True):
-                if h != last and len(segments) >= BLOCK_SEGMENTS:
-                    yield from found(segments, orders)
-                    segments, orders = [], []
-                last = h
-                segments.append(s)
-                orders.append((o, th, a))
-        if segments:
-            yield from found(segments, orders)
 
-    def found(segments, orders):
-        runs = [(orders[s][0], orders[s][1], orders[s][2] + a, n) for s, a, n in repeats(segments, orders)]
-        if runs:
-            o, th, a, n = zip(*runs, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()), pa.array(th, pa.int64()), pa.array(a, pa.int32()), pa.array(n, pa.int32())], names=["o", "th", "start", "n"])
+def _run_batch(rows):
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["o", "th", "start", "n", "window"])
 
-    return rows.repartition("h").sortWithinPartitions("h", "o", "th", "start").select("h", "segment", "o", "th", "start").mapInArrow(run, "o long, th long, start int, n int")
 
+def _pieces(spotted: DataFrame) -> DataFrame:
+    """(h, segment, o, th, start, n, window) of documents (o, th, text, spots).
 
-def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """For documents (o, th, text): (first o of each text th), and (o, th, start, n) runs of windows that start earlier too."""
-    texts = docs.groupBy("th").agg(F.min("o").alias("o")).checkpoint()
-    spots = _repeated(_minimizers(docs)).groupBy("th").agg(F.collect_list(F.struct("h", "start", "n")).alias("spots")).join(texts, "th")
-    one = docs.join(spots, ["o", "th"]).dropDuplicates(["o", "th"])
+    Segments go out once a batch, with their first place in it; other places of theirs are known to repeat and go without
+    bytes. Minimizers of very many places go out as the digests of their single windows.
+    """
 
-    def cut(batches):
+    def run(batches):
         for b in batches:
+            firsts: dict[tuple, tuple] = {}
             out = []
             for o, th, t, spots in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
                 data = t.encode("utf-8", "surrogatepass")
-                out += [(s["h"], data[s["start"] : s["start"] + s["n"] + WINDOW - 1], o, th, s["start"], s["n"]) for s in spots]
-            kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+                for s in spots:
+                    h, a, n = s["h"], s["start"], s["n"]
+                    if a + n + WINDOW - 1 > len(data):  # of another text with the same id
+                        continue
+                    if s["hot"]:
+                        out += [(h, None, o, th, a + k, 1, hashlib.sha256(data[a + k : a + k + WINDOW]).digest()) for k in range(n)]
+                        continue
+                    key, place = (h, data[a : a + n + WINDOW - 1]), (o, th, a)
+                    old = firsts.setdefault(key, place)
+                    if old != place:
+                        firsts[key] = min(old, place)
+                        out.append((h, None, *max(old, place), n, None))
+            out += [(h, segment, *place, len(segment) - WINDOW + 1, None) for (h, segment), place in firsts.items()]
+            kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["h", "segment", "o", "th", "start", "n", "window"])
+
+    return spotted.select("o", "th", "text", "spots").mapInArrow(run, "h long, segment binary, o long, th long, start int, n int, window binary")
+
+
+def _indexed(pieces: DataFrame) -> DataFrame:
+    """Runs (o, th, start, n) of windows that have an equal earlier one, and single windows that are yet to be compared."""
+    rows = pieces.repartition(F.when(F.col("segment").isNull(), F.xxhash64("o", "start")).otherwise(F.col("h"))).sortWithinPartitions("h", "o", "th", "start")
+
+    def run(batches):
+        segments, orders, group, last, out = [], [], {}, None, []
+        for b in batches:
+            for h, segment, o, th, a, n, window in zip(*(b.column(k).to_pylist() for k in range(7)), strict=True):
+                if segment is None:
+                    out.append((o, th, a, n, window))
+                    continue
+                if h != last:
+                    if len(group) > 1:  # a segment alone repeats in its copies only
+                        segments += group
+                        orders += group.values()
+                    if len(segments) >= BLOCK_SEGMENTS:
+                        out += found(segments, orders)
+                        segments, orders = [], []
+                    group, last = {}, h
+                if group.setdefault(segment, (o, th, a)) != (o, th, a):
+                    out.append((o, th, a, n, None))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["h", "segment", "o", "th", "start", "n"])
+                yield _run_batch(out)
+                out = []
+        if len(group) > 1:
+            segments += group
+            orders += group.values()
+        if segments and (out := found(segments, orders)):
+            yield _run_batch(out)
+
+    def found(segments, orders):
+        return [(*orders[s][:2], orders[s][2] + a, n, None) for s, a, n in repeats(segments, orders)]
 
-    pieces = stored(one.select("o", "th", "text", "spots").mapInArrow(cut, "h long, segment binary, o long, th long, start int, n int"), "segments")
-    key = [F.col("h"), F.xxhash64("segment").alias("k1"), F.xxhash64(F.lit("s"), F.octet_length("segment"), "segment").alias("k2")]
+    return rows.select("h", "segment", "o", "th", "start", "n", "window").mapInArrow(run, _RUNS)
+
+
+def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For documents (o, th, text): (first o of each text th), and (o, th, start, n) runs of windows that start earlier too.
+
+    Of documents with equal texts the first alone is looked into.
+    """
+    texts = docs.groupBy("th").agg(F.min("o").alias("o")).checkpoint()
+    spots = stored(_repeated(_minimizers(docs)), "minimizers")
+    hot = spots.groupBy("h").count().where(F.col("count") > MOST_SEGMENTS).select("h", F.lit(True).alias("hot"))
+    spots = spots.join(hot, "h", "left").groupBy("o").agg(F.collect_set(F.struct("h", "start", "n", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("spots"))
+    spots = spots.join(texts.select("o").distinct(), "o", "left_semi")
+    runs = stored(_indexed(_pieces(docs.join(spots, "o"))), "runs")
+    # windows of minimizers with very many places meet one by one, reduced before they move
     at = F.struct("o", "th", "start")
-    firsts = pieces.select(*key, at.alias("at")).groupBy("h", "k1", "k2").agg(F.min("at").alias("first"))
-    firsts = firsts.checkpoint()
-    # a later copy of a segment is repeated as a whole
-    copies = pieces.select(*key, at.alias("at"), "n").join(firsts, ["h", "k1", "k2"]).where("at <> first").select("at.*", "n")
-    full = firsts.groupBy("h").count().where("count > 1")
-    wanted = firsts.join(full, "h").select("h", "first.*", (F.col("count") > MOST_SEGMENTS).alias("hot"))
-    chosen = pieces.join(wanted, ["h", "o", "th", "start"]).select("h", "segment", "o", "th", "start", "n", "hot")
-    indexed = _index_blocks(chosen.where("not hot"))
-    # windows of minimizers with very many segments meet one by one, reduced before they move
-    each = chosen.where("hot").select("o", "th", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"), "start", "segment")
-    each = each.select("o", "th", (F.col("start") + F.col("k")).alias("start"), F.sha2(F.substring("segment", F.col("k") + 1, F.lit(WINDOW)), 256).alias("window"))
-    least = each.groupBy("window").agg(F.min(at).alias("first"))
-    hot = each.join(least, "window").where(F.struct("o", "th", "start") != F.col("first")).select("o", "th", "start", F.lit(1).alias("n"))
-    return texts, copies.union(indexed).union(hot)
+    single = runs.where("window is not null")
+    least = single.groupBy("window").agg(F.min(at).alias("first"))
+    later = single.join(least, "window").where(at != F.col("first")).select("o", "th", "start", "n")
+    return texts, runs.where("window is null").select("o", "th", "start", "n").union(later)
 
 
 def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

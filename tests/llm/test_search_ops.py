@@ -105,7 +105,7 @@ def test_column_index_is_the_suffix_order():
     segs = [bytes(r.choice(b"ab\x00\xff") for _ in range(r.randrange(1, 30))) for _ in range(40)]
     segs += [segs[0], b"a" * 25]
     name, lcp = bcr_dedup.column_index(segs)
-    got = [segs[x >> 16][x & 65535 :] for x in name.tolist()]
+    got = [segs[x // bcr_dedup.OFFSETS][x % bcr_dedup.OFFSETS :] for x in name.tolist()]
     assert got == sorted(got) and len(got) == sum(map(len, segs)) + len(segs)
 
     def common(a, b):
