@@ -15,8 +15,10 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import prepare, stored
 
@@ -241,6 +243,23 @@ def _repeated(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "h long, o long, start int, n short")
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``packed``, the UTF-8 of ``text`` under zstd, in its place: texts move twice, at half the size."""
+    keys = [c for c in docs.columns if c != "text"]
+    schema = T.StructType([docs.schema[c] for c in keys] + [T.StructField("packed", T.BinaryType())])
+
+    def run(batches):
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for b in batches:
+            zipped = [pack(t.encode("utf-8", "surrogatepass")) for t in b.column(len(keys)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(zipped, pa.binary())], names=[*keys, "packed"])
+
+    return docs.select(*keys, "text").mapInArrow(run, schema)
+
+
+_unpacked = zstandard.decompress
+
+
 _RUNS = "o long, th long, start int, n int, window binary"
 
 
@@ -250,7 +269,7 @@ def _run_batch(rows):
 
 
 def _pieces(spotted: DataFrame) -> DataFrame:
-    """(h, segment, o, th, start, n, window) of documents (o, th, text, spots).
+    """(h, segment, o, th, start, n, window) of documents (o, th, packed, spots).
 
     Segments go out once a batch, with their first place in it; other places of theirs are known to repeat and go without
     bytes. Minimizers of very many places go out as the digests of their single windows.
@@ -261,7 +280,7 @@ def _pieces(spotted: DataFrame) -> DataFrame:
             firsts: dict[tuple, tuple] = {}
             out = []
             for o, th, t, spots in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                data = t.encode("utf-8", "surrogatepass")
+                data = _unpacked(t)
                 for s in spots:
                     h, a, n = s["h"], s["start"], s["n"]
                     if a + n + WINDOW - 1 > len(data):  # of another text with the same id
@@ -279,7 +298,7 @@ def _pieces(spotted: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["h", "segment", "o", "th", "start", "n", "window"])
 
-    return spotted.select("o", "th", "text", "spots").mapInArrow(run, "h long, segment binary, o long, th long, start int, n int, window binary")
+    return spotted.select("o", "th", "packed", "spots").mapInArrow(run, "h long, segment binary, o long, th long, start int, n int, window binary")
 
 
 def _indexed(pieces: DataFrame) -> DataFrame:
@@ -328,7 +347,7 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     hot = spots.groupBy("h").count().where(F.col("count") > MOST_SEGMENTS).select("h", F.lit(True).alias("hot"))
     spots = spots.join(hot, "h", "left").groupBy("o").agg(F.collect_set(F.struct("h", "start", "n", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("spots"))
     spots = spots.join(texts.select("o").distinct(), "o", "left_semi")
-    runs = stored(_indexed(_pieces(docs.join(spots, "o"))), "runs")
+    runs = stored(_indexed(_pieces(_packed(docs).join(spots, "o"))), "runs")
     # windows of minimizers with very many places meet one by one, reduced before they move
     at = F.struct("o", "th", "start")
     single = runs.where("window is not null")
@@ -355,7 +374,7 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         for b in batches:
             out = []
             for i, o, first, t, gone in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
-                data = t.encode("utf-8", "surrogatepass")
+                data = _unpacked(t)
                 if o != first:
                     gone = [{"start": 0, "n": len(data) - WINDOW + 1}] if len(data) >= WINDOW else []
                 spans: list[list[int]] = []
@@ -371,6 +390,6 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return rows.join(facts, "th").select("id", "o", "first", "text", "gone").mapInArrow(cut, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return _packed(rows).join(facts, "th").select("id", "o", "first", "packed", "gone").mapInArrow(cut, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
