@@ -18,9 +18,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import prepare, stored
+from .common import packed, prepare, stored
 
 WINDOW, GRAM = 100, 40
 SPAN = WINDOW - GRAM + 1
@@ -243,20 +242,6 @@ def _repeated(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "h long, o long, start int, n short")
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``packed``, the UTF-8 of ``text`` under zstd, in its place: texts move twice, at half the size."""
-    keys = [c for c in docs.columns if c != "text"]
-    schema = T.StructType([docs.schema[c] for c in keys] + [T.StructField("packed", T.BinaryType())])
-
-    def run(batches):
-        pack = zstandard.ZstdCompressor(level=1).compress
-        for b in batches:
-            zipped = [pack(t.encode("utf-8", "surrogatepass")) for t in b.column(len(keys)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(zipped, pa.binary())], names=[*keys, "packed"])
-
-    return docs.select(*keys, "text").mapInArrow(run, schema)
-
-
 _unpacked = zstandard.decompress
 
 
@@ -347,7 +332,7 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     hot = spots.groupBy("h").count().where(F.col("count") > MOST_SEGMENTS).select("h", F.lit(True).alias("hot"))
     spots = spots.join(hot, "h", "left").groupBy("o").agg(F.collect_set(F.struct("h", "start", "n", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("spots"))
     spots = spots.join(texts.select("o").distinct(), "o", "left_semi")
-    runs = stored(_indexed(_pieces(_packed(docs).join(spots, "o"))), "runs")
+    runs = stored(_indexed(_pieces(packed(docs).join(spots, "o"))), "runs")
     # windows of minimizers with very many places meet one by one, reduced before they move
     at = F.struct("o", "th", "start")
     single = runs.where("window is not null")
@@ -390,6 +375,6 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return _packed(rows).join(facts, "th").select("id", "o", "first", "packed", "gone").mapInArrow(cut, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return packed(rows).join(facts, "th").select("id", "o", "first", "packed", "gone").mapInArrow(cut, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 

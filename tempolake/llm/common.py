@@ -6,8 +6,11 @@ import gc
 import os
 import uuid
 
+import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Used only where the session names no checkpoint folder (tests, a single machine).
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
@@ -44,6 +47,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``packed``, the UTF-8 of ``text`` under zstd, in its place: texts move at under half their size."""
+    keys = [c for c in docs.columns if c != "text"]
+    schema = T.StructType([docs.schema[c] for c in keys] + [T.StructField("packed", T.BinaryType())])
+
+    def run(batches):
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for b in batches:
+            zipped = [None if t is None else pack(t.encode("utf-8", "surrogatepass")) for t in b.column(len(keys)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(zipped, pa.binary())], names=[*keys, "packed"])
+
+    return docs.select(*keys, "text").mapInArrow(run, schema)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Roots of the graph with edges (u long, v long): one row (node, root) for each node of an edge that is no loop.
 

@@ -11,19 +11,22 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import xxhash
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import packed, prepare, stored
 
 #: Lines of fewer words go only if they are equal to an earlier line.
 LEAST_WORDS = 8
 LAST = (1 << 63) - 1
 
 
-def normal(line: Column) -> Column:
-    """What lines are compared by: lower case, white space runs as one blank, none at the ends."""
-    return F.trim(F.regexp_replace(F.lower(line), r"\s+", " "))
+def words(line: str) -> list[str]:
+    """What lines are compared by: lower-case words; white space doesn't count."""
+    return line.lower().split()
 
 
 def edits(a: list[str], b: list[str]) -> int:
@@ -39,56 +42,117 @@ def edits(a: list[str], b: list[str]) -> int:
     return min(2, max(len(a), len(b)) - p - s)
 
 
-def _half_keys(words: Column) -> Column:
+def _hash(seed: int, w: list[str]) -> int:
+    return xxhash.xxh64_intdigest(" ".join(w).encode("utf-8", "surrogatepass"), seed)
+
+
+def _signed(x: list[int]) -> pa.Array:
+    return pa.array(np.array(x, np.uint64).view(np.int64))
+
+
+def _half_keys(w: list[str]) -> set[int]:
     """Hashes of a line's first and last words: two lines one edit apart share one of them."""
-    n = F.size("words")
-    keys = []
-    for h in (F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")):
-        keys += [F.xxhash64(F.lit("head"), h, F.array_join(F.slice(words, F.lit(1), h), " ")), F.xxhash64(F.lit("tail"), h, F.array_join(F.slice(words, n - h + 1, h), " "))]
-    return F.when(n >= LEAST_WORDS, F.array_distinct(F.array(*keys)))
+    n = len(w)
+    return {_hash(h * 2 + 3 + side, w[:h] if side else w[n - h :]) for h in {n // 2, (n - 1) // 2} for side in (0, 1)}
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(o, th, pos, norm) of every line that isn't blank."""
-    each = docs.select("o", "th", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return each.select("o", "th", "pos", normal(F.col("line")).alias("norm")).where("norm <> ''")
+    """(k1, k2, o, th, pos) of every line that isn't blank; k1 and k2 stand for its words."""
+
+    def run(batches):
+        for b in batches:
+            k1, k2, of, pos = [], [], [], []
+            for d, t in enumerate(b.column(2).to_pylist()):
+                for p, line in enumerate(t.split("\n")):
+                    if w := words(line):
+                        k1.append(_hash(1, w))
+                        k2.append(_hash(2, w))
+                        of.append(d)
+                        pos.append(p)
+            at = pa.array(of, pa.int32())
+            yield pa.RecordBatch.from_arrays([_signed(k1), _signed(k2), b.column(0).take(at), b.column(1).take(at), pa.array(pos, pa.int32())], names=["k1", "k2", "o", "th", "pos"])
+
+    return docs.select("o", "th", "text").mapInArrow(run, "k1 long, k2 long, o long, th long, pos int")
+
+
+def _halves(docs: DataFrame) -> DataFrame:
+    """(half, k1) of every line that is long enough for an edit, once a batch."""
+
+    def run(batches):
+        for b in batches:
+            pairs = set()
+            for t in b.column(0).to_pylist():
+                for line in t.split("\n"):
+                    if len(w := words(line)) >= LEAST_WORDS:
+                        k1 = _hash(1, w)
+                        pairs.update((h, k1) for h in _half_keys(w))
+            h, k1 = zip(*pairs, strict=True) if pairs else ((), ())
+            yield pa.RecordBatch.from_arrays([_signed(list(h)), _signed(list(k1))], names=["half", "k1"])
+
+    return docs.select("text").mapInArrow(run, "half long, k1 long")
+
+
+def _picked(docs: DataFrame) -> DataFrame:
+    """(o, th, pos, norm) of the lines whose numbers are ``picked``."""
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for o, th, z, picked in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                each = zstandard.decompress(z).decode("utf-8", "surrogatepass").split("\n")
+                rows += [(o, th, p, " ".join(words(each[p]))) for p in picked]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.string()), strict=True)], names=["o", "th", "pos", "norm"])
+
+    return docs.select("o", "th", "packed", "picked").mapInArrow(run, "o long, th long, pos int, norm string")
+
+
+def _variants(lines: DataFrame) -> DataFrame:
+    """(key, role, o, th, pos): role 0 is the line; 1 the line without a word; 2 the same at that place, for substitutions."""
+
+    def run(batches):
+        for b in batches:
+            keys, roles, of = [], [], []
+            for d, norm in enumerate(b.column(3).to_pylist()):
+                w = norm.split(" ")
+                rest = [_hash(len(w) + 99, w[:k] + w[k + 1 :]) for k in range(len(w))]
+                own = [_hash(len(w) + 100, w)], rest, [xxhash.xxh64_intdigest(b"%d %d" % (x, k), len(w)) for k, x in enumerate(rest)]
+                for role, found in enumerate(own):
+                    keys += found
+                    roles += [role] * len(found)
+                    of += [d] * len(found)
+            at = pa.array(of, pa.int32())
+            yield pa.RecordBatch.from_arrays([_signed(keys), pa.array(roles, pa.int32()), *(b.column(k).take(at) for k in range(3))], names=["key", "role", "o", "th", "pos"])
+
+    return lines.select("o", "th", "pos", "norm").mapInArrow(run, "key long, role int, o long, th long, pos int").distinct()
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(o, th, gone array<int>) for documents (o, th, text) that lose lines."""
-    key = [F.xxhash64("norm").alias("k1"), F.xxhash64(F.lit("line"), F.length("norm"), "norm").alias("k2")]
     at = F.struct("o", "th", "pos")
-    lines = _lines(docs)
-    firsts = lines.select(*key, at.alias("at")).groupBy("k1", "k2").agg(F.min("at").alias("first")).checkpoint()
+    firsts = stored(_lines(docs).groupBy("k1", "k2").agg(F.min(at).alias("first"), F.max(at).alias("last")), "lines")
     # lines that share a half with another line; the others have no neighbour
-    words = lines.select(*key, F.split("norm", " ").alias("words"))
-    halves = words.select("k1", "k2", F.explode(_half_keys(F.col("words"))).alias("half"))
-    shared = halves.groupBy("half").agg(F.min(F.struct("k1", "k2")).alias("lo"), F.max(F.struct("k1", "k2")).alias("hi")).where("lo <> hi").select("half")
-    likely = halves.join(shared, "half").select("k1", "k2").distinct()
-    picked = firsts.join(likely, ["k1", "k2"]).select("first.*").groupBy("o", "th").agg(F.collect_set("pos").alias("picked"))
-    texts = docs.join(picked, ["o", "th"]).dropDuplicates(["o", "th"]).select("o", "th", F.posexplode(F.split("text", "\n")).alias("pos", "line"), "picked").where(F.array_contains("picked", F.col("pos")))
-    texts = texts.select(F.struct("o", "th", "pos").alias("at"), F.split(normal(F.col("line")), " ").alias("words")).checkpoint()
-    n = F.size("words")
-    without = lambda i: F.array_join(F.concat(F.slice("words", F.lit(1), i), F.slice("words", i + 2, n)), " ")
-    keys = lambda how: F.flatten(F.transform(F.sequence(F.lit(0), n - 1), how))
-    # role 0: the line; 1: the line without a word; 2: without the word at that place, for substitutions
-    variant = lambda i: F.array(F.struct(F.xxhash64(F.lit("d"), n - 1, without(i)).alias("key"), F.lit(1).alias("role")), F.struct(F.xxhash64(F.lit("s"), n, i, without(i)).alias("key"), F.lit(2).alias("role")))
-    itself = F.array(F.struct(F.xxhash64(F.lit("d"), n, F.array_join("words", " ")).alias("key"), F.lit(0).alias("role")))
-    variants = texts.select("at", F.explode(F.concat(itself, keys(variant))).alias("v")).select("at", "v.key", "v.role").distinct()
+    halves = _halves(docs)
+    shared = halves.groupBy("half").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo <> hi").select("half")
+    likely = stored(halves.join(shared, "half").select("k1").distinct(), "likely")
+    picked = firsts.join(likely, "k1").select("first.*").groupBy("o", "th").agg(F.collect_set("pos").alias("picked"))
+    texts = stored(_picked(packed(docs).join(picked, ["o", "th"])).dropDuplicates(["o", "th", "pos"]), "neighbours")
+    variants = _variants(texts).select("key", "role", at.alias("at"))
     first_of = lambda r: F.min(F.when(F.col("role") == r, F.col("at"))).alias(f"r{r}")
     groups = variants.groupBy("key").agg(first_of(0), first_of(1), first_of(2), F.count("*").alias("n")).where("n > 1").drop("n")
     other = F.when(F.col("role") == 0, F.col("r1")).when(F.col("role") == 1, F.col("r0")).otherwise(F.col("r2"))
     pairs = variants.join(groups, "key").select("at", other.alias("by")).where("by < at").distinct()
-    pairs = pairs.join(texts, "at").join(texts.select(F.col("at").alias("by"), F.col("words").alias("earlier")), "by")
+    norms = texts.select(at.alias("at"), "norm")
+    pairs = pairs.join(norms, "at").join(norms.select(F.col("at").alias("by"), F.col("norm").alias("earlier")), "by")
 
     @F.pandas_udf("boolean")
     def within(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([edits(list(x), list(y)) <= 1 for x, y in zip(a, b, strict=True)], dtype=np.bool_)
+        return pd.Series([edits(x.split(" "), y.split(" ")) <= 1 for x, y in zip(a, b, strict=True)], dtype=np.bool_)
 
-    near = pairs.where(within("words", "earlier")).select(F.col("at").alias("first")).distinct().withColumn("near", F.lit(True))
-    judged = firsts.join(near, "first", "left")
-    gone = lines.select(*key, at.alias("at")).join(judged, ["k1", "k2"]).where((F.col("at") != F.col("first")) | F.col("near"))
-    return gone.select("at.*").groupBy("o", "th").agg(F.collect_set("pos").alias("gone"))
+    near = stored(pairs.where(within("norm", "earlier")).select(F.col("at").alias("first")).distinct(), "near")
+    judged = firsts.join(near.withColumn("near", F.lit(True)), "first", "left").where("near or first <> last").drop("last")
+    gone = _lines(docs).select("k1", "k2", at.alias("at")).join(judged, ["k1", "k2"]).where((F.col("at") != F.col("first")) | F.col("near"))
+    return stored(gone.select("at.*").groupBy("o", "th").agg(F.collect_set("pos").alias("gone")), "gone")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -103,9 +167,22 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     o, th = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), F.xxhash64(F.col(text_col).cast("string"))
     slim = docs.select(o.alias("o"), th.alias("th"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     gone = removed_lines(slim).select(F.col("o").alias("__o"), F.col("th").alias("__th"), F.col("gone").alias("__gone"))
-    keep = F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains("__gone", i))
-    out = docs.withColumns({"__o2": o, "__th2": th}).join(gone, (F.col("__o2") == F.col("__o")) & (F.col("__th2") == F.col("__th")), "left")
-    total = F.coalesce(F.size(F.split(F.col(text_col), "\n")), F.lit(0))
-    counts = {"n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(total).cast("long"), "n_removed": F.coalesce(F.size("__gone"), F.lit(0)).cast("long")}
-    out = out.withColumns({"__counts": F.struct(*(v.alias(k) for k, v in counts.items()))}).withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(keep, "\n")))
-    return out.select(*docs.columns, *(F.greatest(F.lit(0).cast("long"), F.col(f"__counts.{k}")).alias(k) for k in counts if k not in docs.columns))
+    names = [c for c in docs.columns if c != text_col]
+    zipped = packed(docs.withColumns({"__o2": o, "__th2": th}).withColumnRenamed(text_col, "text"))
+    out = zipped.join(gone, (F.col("__o2") == F.col("__o")) & (F.col("__th2") == F.col("__th")), "left")
+
+    @F.pandas_udf("text string, n_lines long, n_removed long")
+    def cut(z: pd.Series, gone: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x, g in zip(z, gone, strict=True):
+            if x is None:
+                rows.append((None, 0, 0))
+                continue
+            each = zstandard.decompress(x).decode("utf-8", "surrogatepass").split("\n")
+            drop = set() if g is None else set(g)
+            rows.append(("\n".join(line for k, line in enumerate(each) if k not in drop), len(each), len(drop)))
+        return pd.DataFrame(rows, columns=["text", "n_lines", "n_removed"])
+
+    out = out.withColumn("__cut", cut("packed", "__gone"))
+    told = [c for c in ("n_lines", "n_removed") if c not in docs.columns]
+    return out.select(*names, F.col("__cut.text").alias(text_col), *(F.col(f"__cut.{c}").alias(c) for c in told)).select(*docs.columns, *told)
