@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, prepare, stored
+from .common import packed, prepare, released, stored
 
 WINDOW, GRAM = 100, 40
 SPAN = WINDOW - GRAM + 1
@@ -203,7 +203,7 @@ def _minimizers(docs: DataFrame) -> DataFrame:
         cols = [pa.array(h.view(np.int64)), pa.array(o), pa.array(a, pa.int32()), pa.array(k, pa.int16()), pa.array(np.repeat(counts > 1, counts)), pa.array(first)]
         return pa.RecordBatch.from_arrays(cols, names=["h", "o", "start", "n", "known", "sent"])
 
-    return docs.select("o", "text").mapInArrow(run, "h long, o long, start int, n short, known boolean, sent boolean")
+    return docs.select("o", "text").mapInArrow(released(run), "h long, o long, start int, n short, known boolean, sent boolean")
 
 
 def _repeated(rows: DataFrame) -> DataFrame:
@@ -239,7 +239,7 @@ def _repeated(rows: DataFrame) -> DataFrame:
         if keep.any():
             yield from t.filter(pa.array(keep)).select(["h", "o", "start", "n"]).combine_chunks().to_batches()
 
-    return rows.mapInArrow(run, "h long, o long, start int, n short")
+    return rows.mapInArrow(released(run), "h long, o long, start int, n short")
 
 
 _unpacked = zstandard.decompress
@@ -283,7 +283,7 @@ def _pieces(spotted: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["h", "segment", "o", "th", "start", "n", "window"])
 
-    return spotted.select("o", "th", "packed", "spots").mapInArrow(run, "h long, segment binary, o long, th long, start int, n int, window binary")
+    return spotted.select("o", "th", "packed", "spots").mapInArrow(released(run), "h long, segment binary, o long, th long, start int, n int, window binary")
 
 
 def _indexed(pieces: DataFrame) -> DataFrame:
@@ -319,7 +319,7 @@ def _indexed(pieces: DataFrame) -> DataFrame:
     def found(segments, orders):
         return [(*orders[s][:2], orders[s][2] + a, n, None) for s, a, n in repeats(segments, orders)]
 
-    return rows.select("h", "segment", "o", "th", "start", "n", "window").mapInArrow(run, _RUNS)
+    return rows.select("h", "segment", "o", "th", "start", "n", "window").mapInArrow(released(run), _RUNS)
 
 
 def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import prepare, released
 
 BUDGET = 1024
 #: Share of the budget that history, told again, may take at the start of a window.
@@ -107,7 +107,7 @@ def format_conversations(conversations: DataFrame, budget: int = BUDGET, history
             for n, (text, mask) in enumerate(windows(((r[1], r[2]) for _, r in rows), budget, history)):
                 yield pa.RecordBatch.from_pylist([{"conv_id": conv, "window": n, "formatted": text, "mask": [{"start": a, "end": b} for a, b in mask]}], schema=_ARROW)
 
-    return c.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, WINDOW_SCHEMA)
+    return c.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(released(run), WINDOW_SCHEMA)
 
 
 _ARROW = pa.schema([("conv_id", pa.int64()), ("window", pa.int64()), ("formatted", pa.string()), ("mask", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
@@ -137,7 +137,7 @@ def digests(formatted: DataFrame) -> DataFrame:
         if out:
             yield _digest_batch(out)
 
-    return formatted.repartition("conv_id").sortWithinPartitions("conv_id", "window").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formatted.repartition("conv_id").sortWithinPartitions("conv_id", "window").mapInArrow(released(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def _digest_batch(rows):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import os
 import uuid
@@ -15,7 +17,7 @@ from pyspark.sql import types as T
 #: Used only where the session names no checkpoint folder (tests, a single machine).
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 #: Rows of an Arrow batch, so that a batch of long texts stays within tens of MB.
-BATCH_ROWS = 512
+BATCH_ROWS = 128
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -58,7 +60,21 @@ def packed(docs: DataFrame) -> DataFrame:
             zipped = [None if t is None else pack(t.encode("utf-8", "surrogatepass")) for t in b.column(len(keys)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(zipped, pa.binary())], names=[*keys, "packed"])
 
-    return docs.select(*keys, "text").mapInArrow(run, schema)
+    return docs.select(*keys, "text").mapInArrow(released(run), schema)
+
+
+def released(run):
+    """``run`` for mapInArrow that gives free memory back to the system at its end: workers live on and serve later stages."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return task
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, stored
+from .common import prepare, released, stored
 
 WINDOW = 10
 #: Documents and tokens of a row of the index.
@@ -63,7 +63,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         if ids:
             yield row(ids, sizes, tokens)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "ids array<long>, sizes array<long>, terms binary, ends binary, positions binary")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(released(run), "ids array<long>, sizes array<long>, terms binary, ends binary, positions binary")
 
 
 class Postings:
@@ -176,7 +176,7 @@ def search(index: DataFrame, benchmark: DataFrame, id_col: str = "item_id", text
             for r in range(b.num_rows):
                 yield shard(Postings(*(b.column(k)[r].as_py() for k in range(5))))
 
-    return index.mapInArrow(run, "id long, n_words long, n_hit long, items array<string>, near array<string>")
+    return index.mapInArrow(released(run), "id long, n_words long, n_hit long, items array<string>, near array<string>")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, span: int | None = None) -> DataFrame:

@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, prepare, stored
+from .common import packed, prepare, released, stored
 
 #: Lines of fewer words go only if they are equal to an earlier line.
 LEAST_WORDS = 8
@@ -72,7 +72,7 @@ def _lines(docs: DataFrame) -> DataFrame:
             at = pa.array(of, pa.int32())
             yield pa.RecordBatch.from_arrays([_signed(k1), _signed(k2), b.column(0).take(at), b.column(1).take(at), pa.array(pos, pa.int32())], names=["k1", "k2", "o", "th", "pos"])
 
-    return docs.select("o", "th", "text").mapInArrow(run, "k1 long, k2 long, o long, th long, pos int")
+    return docs.select("o", "th", "text").mapInArrow(released(run), "k1 long, k2 long, o long, th long, pos int")
 
 
 def _halves(docs: DataFrame) -> DataFrame:
@@ -89,7 +89,7 @@ def _halves(docs: DataFrame) -> DataFrame:
             h, k1 = zip(*pairs, strict=True) if pairs else ((), ())
             yield pa.RecordBatch.from_arrays([_signed(list(h)), _signed(list(k1))], names=["half", "k1"])
 
-    return docs.select("text").mapInArrow(run, "half long, k1 long")
+    return docs.select("text").mapInArrow(released(run), "half long, k1 long")
 
 
 def _picked(docs: DataFrame) -> DataFrame:
@@ -104,7 +104,7 @@ def _picked(docs: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.string()), strict=True)], names=["o", "th", "pos", "norm"])
 
-    return docs.select("o", "th", "packed", "picked").mapInArrow(run, "o long, th long, pos int, norm string")
+    return docs.select("o", "th", "packed", "picked").mapInArrow(released(run), "o long, th long, pos int, norm string")
 
 
 def _variants(lines: DataFrame) -> DataFrame:
@@ -124,7 +124,7 @@ def _variants(lines: DataFrame) -> DataFrame:
             at = pa.array(of, pa.int32())
             yield pa.RecordBatch.from_arrays([_signed(keys), pa.array(roles, pa.int32()), *(b.column(k).take(at) for k in range(3))], names=["key", "role", "o", "th", "pos"])
 
-    return lines.select("o", "th", "pos", "norm").mapInArrow(run, "key long, role int, o long, th long, pos int").distinct()
+    return lines.select("o", "th", "pos", "norm").mapInArrow(released(run), "key long, role int, o long, th long, pos int").distinct()
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:

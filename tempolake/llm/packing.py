@@ -12,14 +12,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import prepare, released
 
 LENGTH = 2048
 END = 1
 #: Documents and tokens that a task packs together; memory is bounded by the larger of this and one document.
-GROUP_DOCS, GROUP_TOKENS = 8192, 4_000_000
+GROUP_DOCS, GROUP_TOKENS = 8192, 2_000_000
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 
 SCHEMA = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -178,4 +178,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
         if ids:
             yield emit()
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(released(run), SCHEMA)

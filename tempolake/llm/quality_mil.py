@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import prepare, released
 
 PASSAGE_BYTES = 512
 #: Bound of the sample that the model is fitted on: labelled rows of either class, each of so many bytes at most.
@@ -186,4 +186,4 @@ def scored(docs: DataFrame, id_col: str, text_col: str, score) -> DataFrame:
             s = score(b.column(1).to_pylist()).astype(np.float64) if b.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], names=["id", "score"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "id long, score double")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(released(run), "id long, score double")

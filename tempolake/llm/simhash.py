@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, prepare
+from .common import connected_components, prepare, released
 
 MAX_BITS = 4
 WORDS = 4
@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp, pa.int64())], names=["id", "th", "fp"])
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text), text).mapInArrow(run, "id long, th long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text), text).mapInArrow(released(run), "id long, th long, fp long")
 
 
 def _anchors(half: Column, which: int) -> Column:
@@ -116,7 +116,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         if rest is not None and rest.shape[1]:
             yield from _compare(rest[2].view(np.uint64), np.array([0, rest.shape[1]]), max_bits)
 
-    return rows.mapInArrow(run, "u long, v long").distinct()
+    return rows.mapInArrow(released(run), "u long, v long").distinct()
 
 
 def _chunks(batches, rows: int = 65536):
