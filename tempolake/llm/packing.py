@@ -19,7 +19,7 @@ END = 1
 #: Documents and tokens that a task packs together; memory is bounded by the larger of this and one document.
 GROUP_DOCS, GROUP_TOKENS = 8192, 2_000_000
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
 
 SCHEMA = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
