@@ -6,13 +6,17 @@ import gzip
 import io
 import uuid
 
+import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import prepare, released, shared_dir
 
 #: Payloads of fewer bytes never become revisits.
 LEAST_BYTES = 100
+#: Digests that a task remembers; a payload that comes again later is sent again.
+REMEMBERED = 200_000
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HEAD_FIELDS = "page_id long, record_type string, header binary, digest string"
@@ -43,6 +47,7 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     Null bodies are empty payloads; null URLs give no target field. An empty table makes an empty archive. Equality is
     by SHA-256, held against a second digest and the length of every copy before anything is written.
     """
+    prepare(pages.sparkSession)
     body = F.coalesce(F.col(body_col).cast("string").cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), body.alias("payload"))
     rows = rows.withColumns({"digest": F.sha2("payload", 256), "bytes": F.octet_length("payload").cast("long")})
@@ -53,9 +58,36 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     kind = F.when((F.col("bytes") < least_bytes) | F.col("first").isNull() | F.col("page_id").eqNullSafe(F.col("first")), "response").otherwise("revisit")
     heads = ids.join(firsts, "digest").withColumn("record_type", kind)
     heads.select("page_id", "record_type", _header(date).alias("header"), "digest").write.mode("overwrite").parquet(f"{path}/headers")
-    # only the bytes of first copies move
-    kept = rows.select("page_id", "digest", "payload").join(firsts, "digest").where(F.col("page_id").eqNullSafe(F.col("first")))
-    kept.groupBy("digest").agg(F.first("payload").alias("payload")).write.mode("overwrite").parquet(f"{path}/payloads")
+    # equal digests are equal bytes, so any copy will do: a task sends each payload once, under zstd
+    once = _once(rows.select("digest", "payload")).groupBy("digest").agg(F.first("packed").alias("packed"))
+    _unpacked(once).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/payloads")
+
+
+def _once(rows: DataFrame) -> DataFrame:
+    """(digest, packed): each payload of a task once, as far as the task remembers."""
+
+    def run(batches):
+        pack, seen = zstandard.ZstdCompressor(level=1).compress, set()
+        for b in batches:
+            out = []
+            for digest, payload in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if digest not in seen:
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    seen.add(digest)
+                    out.append((digest, pack(payload.as_buffer())))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.string(), pa.binary()), strict=True)], names=["digest", "packed"])
+
+    return rows.mapInArrow(released(run), "digest string, packed binary")
+
+
+def _unpacked(rows: DataFrame) -> DataFrame:
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([zstandard.decompress(z) for z in b.column(1).to_pylist()], pa.binary())], names=["digest", "payload"])
+
+    return rows.mapInArrow(released(run), "digest string, payload binary")
 
 
 def read_archive(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
