@@ -22,6 +22,8 @@ from .common import packed, prepare, released, stored
 #: Lines of fewer words go only if they are equal to an earlier line.
 LEAST_WORDS = 8
 LAST = (1 << 63) - 1
+#: Half-line keys that a task combines before it sends them on, and rows of them that it looks at together.
+COMBINE, MEETING = 400_000, 100_000
 
 
 def words(line: str) -> list[str]:
@@ -75,21 +77,77 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.select("o", "th", "text").mapInArrow(released(run), "k1 long, k2 long, o long, th long, pos int")
 
 
-def _halves(docs: DataFrame) -> DataFrame:
-    """(half, k1) of every line that is long enough for an edit, once a batch."""
+def _likely(docs: DataFrame) -> DataFrame:
+    """(k1) of every line that is long enough for an edit and shares a half with another line; a few may come twice.
+
+    A task that sees a half in several lines tells them at once and sends one of them alone to meet other tasks' lines,
+    so a half's lines meet in no one task, however many there are.
+    """
 
     def run(batches):
+        held, n = [], 0
         for b in batches:
-            pairs = set()
+            halves, k1 = [], []
             for t in b.column(0).to_pylist():
                 for line in t.split("\n"):
                     if len(w := words(line)) >= LEAST_WORDS:
-                        k1 = _hash(1, w)
-                        pairs.update((h, k1) for h in _half_keys(w))
-            h, k1 = zip(*pairs, strict=True) if pairs else ((), ())
-            yield pa.RecordBatch.from_arrays([_signed(list(h)), _signed(list(k1))], names=["half", "k1"])
+                        keys = _half_keys(w)
+                        halves += keys
+                        k1 += [_hash(1, w)] * len(keys)
+            held.append((np.array(halves, np.uint64).view(np.int64), np.array(k1, np.uint64).view(np.int64)))
+            n += len(halves)
+            if n >= COMBINE:
+                yield combined(held)
+                held, n = [], 0
+        if n:
+            yield combined(held)
+
+    def combined(held):
+        h, k1 = (np.concatenate(x) for x in zip(*held, strict=True))
+        by = np.lexsort((k1, h))
+        h, k1 = h[by], k1[by]
+        new = np.append(True, (h[1:] != h[:-1]) | (k1[1:] != k1[:-1]))
+        h, k1 = h[new], k1[new]
+        first = np.append(True, h[1:] != h[:-1])
+        counts = np.diff(np.append(np.flatnonzero(first), len(h)))
+        known = np.unique(k1[np.repeat(counts > 1, counts)])
+        sent = np.append(np.zeros(len(known), bool), np.ones(int(first.sum()), bool))
+        cols = [pa.array(sent), pa.array(np.append(np.zeros(len(known), np.int64), h[first])), pa.array(np.append(known, k1[first]))]
+        return pa.RecordBatch.from_arrays(cols, names=["sent", "half", "k1"])
+
+    rows = docs.select("text").mapInArrow(released(run), "sent boolean, half long, k1 long")
+    rows = rows.repartition(F.when(F.col("sent"), F.col("half")).otherwise(F.col("k1"))).sortWithinPartitions("sent", "half")
+
+    def meet(batches):
+        half, k1, n = [], [], 0
+        for b in batches:
+            sent, h, k = (b.column(c).to_numpy(zero_copy_only=False) for c in range(3))
+            if not sent.all():
+                yield told(k[~sent])
+            half.append(h[sent])
+            k1.append(k[sent])
+            n += len(half[-1])
+            if n < MEETING:
+                continue
+            h, k = np.concatenate(half), np.concatenate(k1)
+            cut = int(np.searchsorted(h, h[-1]))
+            yield told(shared(h, k))
+            if not cut:  # of a half with so many rows two lines stand for all
+                one = int(np.argmax(k != k[0]))
+                h, k = h[[0, one][: 1 + (one > 0)]], k[[0, one][: 1 + (one > 0)]]
+            half, k1, n = [h[cut:]], [k[cut:]], len(h) - cut
+        if n:
+            yield told(shared(np.concatenate(half), np.concatenate(k1)))
+
+    def shared(h, k):
+        starts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        sizes = np.diff(np.append(starts, len(h)))
+        return k[np.repeat(np.minimum.reduceat(k, starts) != np.maximum.reduceat(k, starts), sizes)]
+
+    def told(k):
+        return pa.RecordBatch.from_arrays([pa.array(np.unique(k))], names=["k1"])
 
-    return docs.select("text").mapInArrow(released(run), "half long, k1 long")
+    return rows.mapInArrow(released(meet), "k1 long")
 
 
 def _picked(docs: DataFrame) -> DataFrame:
@@ -132,9 +190,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     at = F.struct("o", "th", "pos")
     firsts = stored(_lines(docs).groupBy("k1", "k2").agg(F.min(at).alias("first"), F.max(at).alias("last")), "lines")
     # lines that share a half with another line; the others have no neighbour
-    halves = _halves(docs)
-    shared = halves.groupBy("half").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo <> hi").select("half")
-    likely = stored(halves.join(shared, "half").select("k1").distinct(), "likely")
+    likely = stored(_likely(docs).distinct(), "likely")
     picked = firsts.join(likely, "k1").select("first.*").groupBy("o", "th").agg(F.collect_set("pos").alias("picked"))
     texts = stored(_picked(packed(docs).join(picked, ["o", "th"])).dropDuplicates(["o", "th", "pos"]), "neighbours")
     variants = _variants(texts).select("key", "role", at.alias("at"))
