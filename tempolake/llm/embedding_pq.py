@@ -1,9 +1,9 @@
 """Embedding near-duplicates over a product-quantised inverted index, with exact rerank.
 
 Coarse lists come from k-means; a vector's residual to its list's centre is coded by subspace. Searches compare the exact
-query with the codes by table lookups (asymmetric distances) and rerank what is left by exact cosine. Both filters keep
-every link: a list is probed if the plane between it and the query's nearest list lies within the link's distance, and a
-code is passed on if its distance is at most the link's plus the stored coding error of its vector.
+query with the codes by table lookups (asymmetric distances) and rerank what is left by exact cosine. Of the ``PROBES``
+nearest lists those are probed that can hold a link: the plane between list and nearest list lies within its distance. A
+code is passed on if its distance is at most the link's plus the stored coding error of its vector, which loses none.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ SAMPLE = 16_384
 MOST_LISTS, SUBSPACES, CODES, ROUNDS = 1024, 8, 256, 6
 #: Vectors of a list, and queries of it, that meet in one task at most.
 BLOCK = 2048
+#: Lists that a vector is looked for in at most. In high dimensions the bound alone passes most lists.
+PROBES = 8
 SLACK = 1e-6
 
 
@@ -68,11 +70,14 @@ class Codebook:
         return home, codes, np.sqrt(left)
 
     def probes(self, x: np.ndarray, radius: float) -> list[np.ndarray]:
-        """Every list that can hold a vector within ``radius`` of the row."""
+        """Of the ``PROBES`` lists nearest to the row those that can hold a vector within ``radius`` of it."""
         d = _square(x, self.centres)
         home = d.argmin(1)
         gap = np.sqrt(_square(self.centres, self.centres))
         near = d - d[np.arange(len(x)), home][:, None] <= 2 * radius * gap[home] + SLACK
+        if d.shape[1] > PROBES:
+            far = np.argpartition(d, PROBES - 1, axis=1)[:, PROBES:]
+            np.put_along_axis(near, far, False, axis=1)
         return [np.flatnonzero(r) for r in near]
 
     def close(self, q: np.ndarray, which: int, codes: np.ndarray, error: np.ndarray, radius: float) -> np.ndarray:
