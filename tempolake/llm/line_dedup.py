@@ -3,8 +3,9 @@
 The unit of an edit is a word (insertion, deletion or substitution of one), so one changed, added or lost word, with any
 change of letters inside it, is within the bound. A line's deletion neighbourhood is itself and the line without each of
 its words. Two lines are within one edit if they are equal, or equal without the same one word (substitution), or one is
-the other without a word. Equal variants are grouped under hashed keys; a group keeps only its earliest line, so hot
-groups are reduced before they move and no pairs arise.
+the other without a word. Equal variants are grouped under hashed keys. A task compares the variants it has with the
+earliest of their group first and sends on only those earliest and what it couldn't settle, so hot groups are reduced
+before they move, and no group yields all its pairs.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from .common import packed, prepare, released, stored
 #: Lines of fewer words go only if they are equal to an earlier line.
 LEAST_WORDS = 8
 LAST = (1 << 63) - 1
-#: Half-line keys that a task combines before it sends them on, and rows of them that it looks at together.
+#: Keys of half lines or variants that a task combines before it sends them on, and rows of them that it looks at together.
 COMBINE, MEETING = 400_000, 100_000
 
 
@@ -44,15 +45,20 @@ def edits(a: list[str], b: list[str]) -> int:
     return min(2, max(len(a), len(b)) - p - s)
 
 
-def _hash(seed: int, w: list[str]) -> int:
-    return xxhash.xxh64_intdigest(" ".join(w).encode("utf-8", "surrogatepass"), seed)
+def _hash(seed: int, w: list[str]) -> bytes:
+    return xxhash.xxh64_digest(" ".join(w).encode("utf-8", "surrogatepass"), seed)
 
 
-def _signed(x: list[int]) -> pa.Array:
-    return pa.array(np.array(x, np.uint64).view(np.int64))
+def _line_key(w: list[str]) -> bytes:
+    """16 bytes that stand for a line's words; the first eight alone are k1."""
+    return xxhash.xxh3_128_digest(" ".join(w).encode("utf-8", "surrogatepass"))
 
 
-def _half_keys(w: list[str]) -> set[int]:
+def _longs(x: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(x), np.int64)
+
+
+def _half_keys(w: list[str]) -> set[bytes]:
     """Hashes of a line's first and last words: two lines one edit apart share one of them."""
     n = len(w)
     return {_hash(h * 2 + 3 + side, w[:h] if side else w[n - h :]) for h in {n // 2, (n - 1) // 2} for side in (0, 1)}
@@ -63,16 +69,15 @@ def _lines(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            k1, k2, of, pos = [], [], [], []
+            keys, of, pos = [], [], []
             for d, t in enumerate(b.column(2).to_pylist()):
                 for p, line in enumerate(t.split("\n")):
                     if w := words(line):
-                        k1.append(_hash(1, w))
-                        k2.append(_hash(2, w))
+                        keys.append(_line_key(w))
                         of.append(d)
                         pos.append(p)
-            at = pa.array(of, pa.int32())
-            yield pa.RecordBatch.from_arrays([_signed(k1), _signed(k2), b.column(0).take(at), b.column(1).take(at), pa.array(pos, pa.int32())], names=["k1", "k2", "o", "th", "pos"])
+            at, k = pa.array(of, pa.int32()), _longs(keys)
+            yield pa.RecordBatch.from_arrays([pa.array(k[::2]), pa.array(k[1::2]), b.column(0).take(at), b.column(1).take(at), pa.array(pos, pa.int32())], names=["k1", "k2", "o", "th", "pos"])
 
     return docs.select("o", "th", "text").mapInArrow(released(run), "k1 long, k2 long, o long, th long, pos int")
 
@@ -93,8 +98,8 @@ def _likely(docs: DataFrame) -> DataFrame:
                     if len(w := words(line)) >= LEAST_WORDS:
                         keys = _half_keys(w)
                         halves += keys
-                        k1 += [_hash(1, w)] * len(keys)
-            held.append((np.array(halves, np.uint64).view(np.int64), np.array(k1, np.uint64).view(np.int64)))
+                        k1 += [_line_key(w)[:8]] * len(keys)
+            held.append((_longs(halves), _longs(k1)))
             n += len(halves)
             if n >= COMBINE:
                 yield combined(held)
@@ -165,24 +170,109 @@ def _picked(docs: DataFrame) -> DataFrame:
     return docs.select("o", "th", "packed", "picked").mapInArrow(released(run), "o long, th long, pos int, norm string")
 
 
-def _variants(lines: DataFrame) -> DataFrame:
-    """(key, role, o, th, pos): role 0 is the line; 1 the line without a word; 2 the same at that place, for substitutions."""
+def _firsts(key: np.ndarray, role: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For rows in order of key, role and place: (row has a counterpart, its counterpart, row is the first of key and role).
+
+    The counterpart of the line is the first that is it with one word more; of the line without a word, the first that is
+    just that; of the same at its place, the first such.
+    """
+    n = len(key)
+    new = np.append(True, key[1:] != key[:-1])
+    head = np.append(True, new[1:] | (role[1:] != role[:-1]))
+    start = np.flatnonzero(new)[np.cumsum(new) - 1]
+    heads = np.flatnonzero(head)
+    mine = np.cumsum(head) - 1
+    follows = np.append(heads[1:], n)[mine]  # the first row of the next role or key
+    inside = np.minimum(follows, n - 1)
+    other = np.where(role == 0, inside, np.where(role == 1, start, heads[mine]))
+    has = np.where(role == 0, (follows < n) & (key[inside] == key) & (role[inside] == 1), np.where(role == 1, role[start] == 0, True))
+    return has, other, head
+
+
+def _candidates(lines: DataFrame) -> DataFrame:
+    """(o, th, pos, bo, bth, bpos): lines with an earlier one of an equal variant; without it where they are known to be near.
+
+    Keys have three roles: 0 is the line, 1 the line without a word, 2 the same at that place, for substitutions.
+    """
+    names, kinds = ["sent", "key", "role", "o", "th", "pos"], [pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
 
     def run(batches):
+        keys, roles, held, norms = [], [], [], []
         for b in batches:
-            keys, roles, of = [], [], []
-            for d, norm in enumerate(b.column(3).to_pylist()):
+            held.append([b.column(k).to_numpy() for k in range(3)])
+            for norm in b.column(3).to_pylist():
                 w = norm.split(" ")
                 rest = [_hash(len(w) + 99, w[:k] + w[k + 1 :]) for k in range(len(w))]
-                own = [_hash(len(w) + 100, w)], rest, [xxhash.xxh64_intdigest(b"%d %d" % (x, k), len(w)) for k, x in enumerate(rest)]
-                for role, found in enumerate(own):
-                    keys += found
-                    roles += [role] * len(found)
-                    of += [d] * len(found)
-            at = pa.array(of, pa.int32())
-            yield pa.RecordBatch.from_arrays([_signed(keys), pa.array(roles, pa.int32()), *(b.column(k).take(at) for k in range(3))], names=["key", "role", "o", "th", "pos"])
+                once = set(rest)
+                keys += [_hash(len(w) + 100, w), *once, *(xxhash.xxh64_digest(b"%b %d" % (x, k), len(w)) for k, x in enumerate(rest))]
+                roles.append((1, len(once), len(rest)))
+                norms.append(norm)
+            if len(keys) >= COMBINE:
+                yield combined(keys, roles, held, norms)
+                keys, roles, held, norms = [], [], [], []
+        if keys:
+            yield combined(keys, roles, held, norms)
+
+    def combined(keys, roles, held, norms):
+        o, th, pos = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((pos, th, o))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        sizes = np.array(roles)
+        line = np.repeat(rank, sizes.sum(1))
+        role, key = np.repeat(np.tile([0, 1, 2], len(sizes)), sizes.ravel()), _longs(keys)
+        by = np.lexsort((line, role, key))
+        key, role, line = key[by], role[by], line[by]
+        has, other, first = _firsts(key, role)
+        earlier = np.flatnonzero(has & (line[other] < line))
+        near = np.zeros(len(order), bool)
+        for a, b in set(zip(line[earlier].tolist(), line[other[earlier]].tolist(), strict=True)):
+            near[a] = near[a] or edits(norms[order[a]].split(" "), norms[order[b]].split(" ")) <= 1
+        go, told = np.flatnonzero(first | ~near[line]), order[near]
+        at = order[line[go]]
+        none = np.zeros(len(told), np.int64)
+        cols = [np.append(none, np.ones(len(go))).astype(bool), np.append(none, key[go]), np.append(none, role[go]), *(np.append(x[told], x[at]) for x in (o, th, pos))]
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], names=names)
+
+    rows = lines.select("o", "th", "pos", "norm").mapInArrow(released(run), "sent boolean, key long, role int, o long, th long, pos int")
+    rows = rows.repartition(F.when(F.col("sent"), F.col("key")).otherwise(F.xxhash64("o", "th", "pos"))).sortWithinPartitions("sent", "key", "role", "o", "th", "pos")
+
+    def meet(batches):
+        held, n = [], 0
+        for b in batches:
+            sent, *cols = (b.column(c).to_numpy(zero_copy_only=False) for c in range(6))
+            if not sent.all():
+                known = [x[~sent] for x in cols[2:]]
+                yield batch([pa.array(x) for x in known] + [pa.nulls(len(known[0]), x) for x in kinds[3:]])
+            held.append([x[sent] for x in cols])
+            n += len(held[-1][0])
+            if n < MEETING:
+                continue
+            cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+            cut = int(np.searchsorted(cols[0], cols[0][-1]))
+            yield pairs(cols if not cut else [x[:cut] for x in cols])
+            # of a key with so many rows, in order, the first of each role stands for all
+            rest = np.arange(cut, n) if cut else np.unique(cols[1], return_index=True)[1]
+            held, n = [[x[rest] for x in cols]], len(rest)
+        if n:
+            yield pairs([np.concatenate(x) for x in zip(*held, strict=True)])
+
+    def pairs(cols):
+        key = cols[0]
+        same = key[1:] == key[:-1]
+        many = np.append(same, False) | np.append(False, same)
+        key, role, o, th, pos = (x[many] for x in cols)
+        if not len(key):
+            return batch([pa.nulls(0, k) for k in kinds[3:] * 2])
+        has, other, _ = _firsts(key, role)
+        after = (o > o[other]) | (o == o[other]) & ((th > th[other]) | (th == th[other]) & (pos > pos[other]))
+        k = np.flatnonzero(has & after)
+        return batch([pa.array(x[k]) for x in (o, th, pos)] + [pa.array(x[other[k]]) for x in (o, th, pos)])
+
+    def batch(cols):
+        return pa.RecordBatch.from_arrays(cols, names=["o", "th", "pos", "bo", "bth", "bpos"])
 
-    return lines.select("o", "th", "pos", "norm").mapInArrow(released(run), "key long, role int, o long, th long, pos int").distinct()
+    return rows.mapInArrow(released(meet), "o long, th long, pos int, bo long, bth long, bpos int").distinct()
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
@@ -193,11 +283,8 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     likely = stored(_likely(docs).distinct(), "likely")
     picked = firsts.join(likely, "k1").select("first.*").groupBy("o", "th").agg(F.collect_set("pos").alias("picked"))
     texts = stored(_picked(packed(docs).join(picked, ["o", "th"])).dropDuplicates(["o", "th", "pos"]), "neighbours")
-    variants = _variants(texts).select("key", "role", at.alias("at"))
-    first_of = lambda r: F.min(F.when(F.col("role") == r, F.col("at"))).alias(f"r{r}")
-    groups = variants.groupBy("key").agg(first_of(0), first_of(1), first_of(2), F.count("*").alias("n")).where("n > 1").drop("n")
-    other = F.when(F.col("role") == 0, F.col("r1")).when(F.col("role") == 1, F.col("r0")).otherwise(F.col("r2"))
-    pairs = variants.join(groups, "key").select("at", other.alias("by")).where("by < at").distinct()
+    found = stored(_candidates(texts), "candidates")
+    pairs = found.where("bo is not null").select(at.alias("at"), F.struct(F.col("bo").alias("o"), F.col("bth").alias("th"), F.col("bpos").alias("pos")).alias("by"))
     norms = texts.select(at.alias("at"), "norm")
     pairs = pairs.join(norms, "at").join(norms.select(F.col("at").alias("by"), F.col("norm").alias("earlier")), "by")
 
@@ -205,7 +292,8 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     def within(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([edits(x.split(" "), y.split(" ")) <= 1 for x, y in zip(a, b, strict=True)], dtype=np.bool_)
 
-    near = stored(pairs.where(within("norm", "earlier")).select(F.col("at").alias("first")).distinct(), "near")
+    told = found.where("bo is null").select(at.alias("first"))
+    near = stored(pairs.where(within("norm", "earlier")).select(F.col("at").alias("first")).union(told).distinct(), "near")
     judged = firsts.join(near.withColumn("near", F.lit(True)), "first", "left").where("near or first <> last").drop("last")
     gone = _lines(docs).select("k1", "k2", at.alias("at")).join(judged, ["k1", "k2"]).where((F.col("at") != F.col("first")) | F.col("near"))
     return stored(gone.select("at.*").groupBy("o", "th").agg(F.collect_set("pos").alias("gone")), "gone")

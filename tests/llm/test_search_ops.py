@@ -47,7 +47,10 @@ def test_embeddings_are_brute_force(spark, monkeypatch):
     assert embedding_pq.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_line_dedup_is_brute_force(spark):
+@pytest.mark.parametrize("combine, meeting", [(400_000, 100_000), (300, 1)])
+def test_line_dedup_is_brute_force(spark, monkeypatch, combine, meeting):
+    monkeypatch.setattr(line_dedup, "COMBINE", combine)
+    monkeypatch.setattr(line_dedup, "MEETING", meeting)
     r = random.Random(2)
     vocab = "a b c d e f g h".split()
     pool = [" ".join(r.choice(vocab) for _ in range(r.randrange(7, 12))) for _ in range(25)]
