@@ -23,13 +23,14 @@ from .common import packed, prepare, released, stored
 #: Lines of fewer words go only if they are equal to an earlier line.
 LEAST_WORDS = 8
 LAST = (1 << 63) - 1
+_digest, _digest128 = xxhash.xxh64_digest, xxhash.xxh3_128_digest
 #: Keys of half lines or variants that a task combines before it sends them on, and rows of them that it looks at together.
 COMBINE, MEETING = 400_000, 100_000
 
 
-def words(line: str) -> list[str]:
-    """What lines are compared by: lower-case words; white space doesn't count."""
-    return line.lower().split()
+def split_lines(text: str) -> list[list[str]]:
+    """The words that each line is compared by, in lower case; white space doesn't count."""
+    return [line.split() for line in text.lower().split("\n")]
 
 
 def edits(a: list[str], b: list[str]) -> int:
@@ -46,12 +47,12 @@ def edits(a: list[str], b: list[str]) -> int:
 
 
 def _hash(seed: int, w: list[str]) -> bytes:
-    return xxhash.xxh64_digest(" ".join(w).encode("utf-8", "surrogatepass"), seed)
+    return _digest(" ".join(w).encode("utf-8", "surrogatepass"), seed)
 
 
 def _line_key(w: list[str]) -> bytes:
     """16 bytes that stand for a line's words; the first eight alone are k1."""
-    return xxhash.xxh3_128_digest(" ".join(w).encode("utf-8", "surrogatepass"))
+    return _digest128(" ".join(w).encode("utf-8", "surrogatepass"))
 
 
 def _longs(x: list[bytes]) -> np.ndarray:
@@ -61,7 +62,11 @@ def _longs(x: list[bytes]) -> np.ndarray:
 def _half_keys(w: list[str]) -> set[bytes]:
     """Hashes of a line's first and last words: two lines one edit apart share one of them."""
     n = len(w)
-    return {_hash(h * 2 + 3 + side, w[:h] if side else w[n - h :]) for h in {n // 2, (n - 1) // 2} for side in (0, 1)}
+    h = n // 2
+    keys = {_hash(h * 2 + 4, w[:h]), _hash(h * 2 + 3, w[n - h :])}
+    if n % 2 == 0:
+        keys |= {_hash(h * 2 + 2, w[: h - 1]), _hash(h * 2 + 1, w[n - h + 1 :])}
+    return keys
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -71,8 +76,8 @@ def _lines(docs: DataFrame) -> DataFrame:
         for b in batches:
             keys, of, pos = [], [], []
             for d, t in enumerate(b.column(2).to_pylist()):
-                for p, line in enumerate(t.split("\n")):
-                    if w := words(line):
+                for p, w in enumerate(split_lines(t)):
+                    if w:
                         keys.append(_line_key(w))
                         of.append(d)
                         pos.append(p)
@@ -94,8 +99,8 @@ def _likely(docs: DataFrame) -> DataFrame:
         for b in batches:
             halves, k1 = [], []
             for t in b.column(0).to_pylist():
-                for line in t.split("\n"):
-                    if len(w := words(line)) >= LEAST_WORDS:
+                for w in split_lines(t):
+                    if len(w) >= LEAST_WORDS:
                         keys = _half_keys(w)
                         halves += keys
                         k1 += [_line_key(w)[:8]] * len(keys)
@@ -162,8 +167,8 @@ def _picked(docs: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for o, th, z, picked in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                each = zstandard.decompress(z).decode("utf-8", "surrogatepass").split("\n")
-                rows += [(o, th, p, " ".join(words(each[p]))) for p in picked]
+                each = split_lines(zstandard.decompress(z).decode("utf-8", "surrogatepass"))
+                rows += [(o, th, p, " ".join(each[p])) for p in picked]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.string()), strict=True)], names=["o", "th", "pos", "norm"])
 
@@ -204,7 +209,7 @@ def _candidates(lines: DataFrame) -> DataFrame:
                 w = norm.split(" ")
                 rest = [_hash(len(w) + 99, w[:k] + w[k + 1 :]) for k in range(len(w))]
                 once = set(rest)
-                keys += [_hash(len(w) + 100, w), *once, *(xxhash.xxh64_digest(b"%b %d" % (x, k), len(w)) for k, x in enumerate(rest))]
+                keys += [_hash(len(w) + 100, w), *once, *(_digest(b"%b %d" % (x, k), len(w)) for k, x in enumerate(rest))]
                 roles.append((1, len(once), len(rest)))
                 norms.append(norm)
             if len(keys) >= COMBINE:
