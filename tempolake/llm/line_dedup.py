@@ -283,7 +283,8 @@ def _candidates(lines: DataFrame) -> DataFrame:
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(o, th, gone array<int>) for documents (o, th, text) that lose lines."""
     at = F.struct("o", "th", "pos")
-    firsts = stored(_lines(docs).groupBy("k1", "k2").agg(F.min(at).alias("first"), F.max(at).alias("last")), "lines")
+    lines = stored(_lines(docs), "all-lines")  # 16 bytes a line and little more: documents and places repeat
+    firsts = stored(lines.groupBy("k1", "k2").agg(F.min(at).alias("first"), F.max(at).alias("last")), "lines")
     # lines that share a half with another line; the others have no neighbour
     likely = stored(_likely(docs).distinct(), "likely")
     picked = firsts.join(likely, "k1").select("first.*").groupBy("o", "th").agg(F.collect_set("pos").alias("picked"))
@@ -300,7 +301,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     told = found.where("bo is null").select(at.alias("first"))
     near = stored(pairs.where(within("norm", "earlier")).select(F.col("at").alias("first")).union(told).distinct(), "near")
     judged = firsts.join(near.withColumn("near", F.lit(True)), "first", "left").where("near or first <> last").drop("last")
-    gone = _lines(docs).select("k1", "k2", at.alias("at")).join(judged, ["k1", "k2"]).where((F.col("at") != F.col("first")) | F.col("near"))
+    gone = lines.select("k1", "k2", at.alias("at")).join(judged, ["k1", "k2"]).where((F.col("at") != F.col("first")) | F.col("near"))
     return stored(gone.select("at.*").groupBy("o", "th").agg(F.collect_set("pos").alias("gone")), "gone")
 
 
