@@ -174,5 +174,6 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = docs.withColumns({"__o": o, "__th": th})
     fps, named = _classes(keyed, id_col, text_col, max_bits)
     # the text's hash goes along with the fingerprint, so that rows of one id are told apart
-    winners = fps.join(named.select("fp", "root"), "fp").groupBy("root").agg(F.min(F.struct(F.coalesce("id", F.lit((1 << 63) - 1)).alias("__o"), F.col("th").alias("__th"))).alias("w")).select("w.*")
+    least = fps.groupBy("fp").agg(F.min(F.struct(F.coalesce("id", F.lit((1 << 63) - 1)).alias("__o"), F.col("th").alias("__th"))).alias("w"))
+    winners = least.join(named.select("fp", "root"), "fp").groupBy("root").agg(F.min("w").alias("w")).select("w.*")
     return keyed.join(winners, ["__o", "__th"], "left_semi").dropDuplicates(["__o", "__th"]).drop("__o", "__th")
