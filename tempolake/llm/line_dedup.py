@@ -46,27 +46,49 @@ def edits(a: list[str], b: list[str]) -> int:
     return min(2, max(len(a), len(b)) - p - s)
 
 
-def _hash(seed: int, w: list[str]) -> bytes:
-    return _digest(" ".join(w).encode("utf-8", "surrogatepass"), seed)
-
-
 def _line_key(w: list[str]) -> bytes:
     """16 bytes that stand for a line's words; the first eight alone are k1."""
-    return _digest128(" ".join(w).encode("utf-8", "surrogatepass"))
+    return _digest128(_bytes(w))
 
 
 def _longs(x: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(x), np.int64)
 
 
-def _half_keys(w: list[str]) -> set[bytes]:
-    """Hashes of a line's first and last words: two lines one edit apart share one of them."""
+def _bytes(w: list[str]) -> bytes:
+    return " ".join(w).encode("utf-8", "surrogatepass")
+
+
+def _half_keys(w: list[str]) -> tuple[bytes, set[bytes]]:
+    """The line's key, and hashes of its first and last words: two lines one edit apart share one of them."""
     n = len(w)
     h = n // 2
-    keys = {_hash(h * 2 + 4, w[:h]), _hash(h * 2 + 3, w[n - h :])}
-    if n % 2 == 0:
-        keys |= {_hash(h * 2 + 2, w[: h - 1]), _hash(h * 2 + 1, w[n - h + 1 :])}
-    return keys
+    a, b = _bytes(w[:h]), _bytes(w[n - h :])
+    keys = {_digest(a, h * 2 + 4), _digest(b, h * 2 + 3)}
+    if n % 2:
+        return _digest128(b"%b %b %b" % (a, _bytes(w[h : h + 1]), b)), keys
+    # a half without its inner word meets the halves of lines with one word less
+    return _digest128(b"%b %b" % (a, b)), keys | {_digest(a[: a.rindex(b" ")], h * 2 + 2), _digest(b[b.index(b" ") + 1 :], h * 2 + 1)}
+
+
+def _variant_keys(norm: bytes) -> tuple[bytes, list[bytes]]:
+    """Hashes of a line and of the line without each of its words; a line's own is that of a longer one without the word."""
+    w = norm.split(b" ")
+    n, at, found = len(w), 0, []
+    for x in w[:-1]:
+        end = at + len(x) + 1
+        found.append(_digest(norm[:at] + norm[end:], n + 99))
+        at = end
+    found.append(_digest(norm[: at - 1], n + 99))
+    return _digest(norm, n + 100), found
+
+
+def _placed(keys: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Keys of lines without a word (``sizes`` of each line, in order) mixed with the word's place and the line's length."""
+    place = np.arange(len(keys)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    x = keys.view(np.uint64) ^ ((place + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.repeat(sizes, sizes).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ (x >> np.uint64(27))).view(np.int64)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -101,9 +123,9 @@ def _likely(docs: DataFrame) -> DataFrame:
             for t in b.column(0).to_pylist():
                 for w in split_lines(t):
                     if len(w) >= LEAST_WORDS:
-                        keys = _half_keys(w)
+                        own, keys = _half_keys(w)
                         halves += keys
-                        k1 += [_line_key(w)[:8]] * len(keys)
+                        k1 += [own[:8]] * len(keys)
             held.append((_longs(halves), _longs(k1)))
             n += len(halves)
             if n >= COMBINE:
@@ -202,32 +224,34 @@ def _candidates(lines: DataFrame) -> DataFrame:
     names, kinds = ["sent", "key", "role", "o", "th", "pos"], [pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
 
     def run(batches):
-        keys, roles, held, norms = [], [], [], []
+        own, without, sizes, held, norms = [], [], [], [], []
         for b in batches:
             held.append([b.column(k).to_numpy() for k in range(3)])
             for norm in b.column(3).to_pylist():
-                w = norm.split(" ")
-                rest = [_hash(len(w) + 99, w[:k] + w[k + 1 :]) for k in range(len(w))]
-                once = set(rest)
-                keys += [_hash(len(w) + 100, w), *once, *(_digest(b"%b %d" % (x, k), len(w)) for k, x in enumerate(rest))]
-                roles.append((1, len(once), len(rest)))
+                key, found = _variant_keys(norm.encode("utf-8", "surrogatepass"))
+                own.append(key)
+                without += found
+                sizes.append(len(found))
                 norms.append(norm)
-            if len(keys) >= COMBINE:
-                yield combined(keys, roles, held, norms)
-                keys, roles, held, norms = [], [], [], []
-        if keys:
-            yield combined(keys, roles, held, norms)
+            if 2 * len(without) >= COMBINE:
+                yield combined(own, without, sizes, held, norms)
+                own, without, sizes, held, norms = [], [], [], [], []
+        if own:
+            yield combined(own, without, sizes, held, norms)
 
-    def combined(keys, roles, held, norms):
+    def combined(own, without, sizes, held, norms):
         o, th, pos = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.lexsort((pos, th, o))
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        sizes = np.array(roles)
-        line = np.repeat(rank, sizes.sum(1))
-        role, key = np.repeat(np.tile([0, 1, 2], len(sizes)), sizes.ravel()), _longs(keys)
+        sizes = np.array(sizes)
+        each, key = np.repeat(rank, sizes), _longs(without)
+        line, role = np.concatenate((rank, each, each)), np.repeat([0, 1, 2], [len(rank), len(each), len(each)])
+        key = np.concatenate((_longs(own), key, _placed(key, sizes)))
         by = np.lexsort((line, role, key))
         key, role, line = key[by], role[by], line[by]
+        new = np.append(True, (key[1:] != key[:-1]) | (role[1:] != role[:-1]) | (line[1:] != line[:-1]))  # of equal words one goes
+        key, role, line = key[new], role[new], line[new]
         has, other, first = _firsts(key, role)
         earlier = np.flatnonzero(has & (line[other] < line))
         near = np.zeros(len(order), bool)
