@@ -14,6 +14,8 @@ from .common import prepare, released
 PASSAGE_BYTES = 512
 #: Bound of the sample that the model is fitted on: labelled rows of either class, each of so many bytes at most.
 SAMPLE_ROWS, SAMPLE_BYTES = 2000, 32_768
+#: Passages of the sample that are held in memory at most: texts beyond it, in random order, are not learned from.
+FIT_PASSAGES = 80_000
 HIDDEN, ATTENTION, EPOCHS, RATE, DECAY = 24, 16, 12, 3e-3, 1e-4
 CUT = 0.7
 
@@ -103,14 +105,32 @@ class Model:
         return {"E": x.T @ dh, "e": dh.sum(0), "V": h.T @ dt, "U": h.T @ dg, "a": (t * g).T @ da, "c": z.T @ d, "d": np.array([d.sum()])}
 
 
+def _bags(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """``passages`` in half precision of as many texts as ``FIT_PASSAGES`` allow, made a few texts at a time."""
+    counts = np.array([max(1, -(-len((t or "").encode("utf-8", "surrogatepass")) // PASSAGE_BYTES)) for t in texts])
+    ends = np.cumsum(counts)
+    kept = max(1, int(np.searchsorted(ends, FIT_PASSAGES, "right")))
+    x = np.empty((int(ends[kept - 1]), FEATURES), np.float16)
+    first = ends[:kept] - counts[:kept]
+    for k in range(0, kept, 32):
+        last = min(k + 32, kept)
+        x[first[k] : ends[last - 1]] = passages(texts[k:last])[0]
+    return x, first
+
+
 def fit(texts: list[str | None], y: np.ndarray, seed: int = 7) -> Model:
     """Adam on bags, classes weighed alike; the last fifth of the sample sets the shift, clean documents weighing more."""
     r = np.random.default_rng(seed)
     order = r.permutation(len(texts))
     texts, y = [texts[k] for k in order], y[order].astype(np.float32)
-    x, first = passages(texts)
-    model = Model(x.mean(0), x.std(0) + 1e-2, {})
-    x = model.scaled(x)
+    x, first = _bags(texts)
+    y = y[: len(first)]
+    sums = np.zeros((2, FEATURES))
+    for k in range(0, len(x), 4096):
+        part = x[k : k + 4096].astype(np.float64)
+        sums += part.sum(0), (part * part).sum(0)
+    mean = sums[0] / len(x)
+    model = Model(mean.astype(np.float32), (np.sqrt(np.maximum(sums[1] / len(x) - mean * mean, 0)) + 1e-2).astype(np.float32), {})
     draw = lambda *s: r.normal(0, 1 / np.sqrt(s[0]), s).astype(np.float32)
     model.w = {"E": draw(FEATURES, HIDDEN), "e": np.zeros(HIDDEN, np.float32), "V": draw(HIDDEN, ATTENTION), "U": draw(HIDDEN, ATTENTION), "a": draw(ATTENTION), "c": draw(HIDDEN), "d": np.zeros(1, np.float32)}
     ends = np.append(first[1:], len(x))
@@ -121,16 +141,19 @@ def fit(texts: list[str | None], y: np.ndarray, seed: int = 7) -> Model:
         for part in np.array_split(r.permutation(n), max(1, n // 32)):
             rows = np.concatenate([np.arange(first[k], ends[k]) for k in part])
             sizes = ends[part] - first[part]
-            grad = model.gradient(x[rows], np.cumsum(sizes) - sizes, y[part], weight[part])
+            grad = model.gradient(model.scaled(x[rows].astype(np.float32)), np.cumsum(sizes) - sizes, y[part], weight[part])
             step += 1
             for k, g in grad.items():
                 g = g + DECAY * model.w[k]
                 m[k] = 0.9 * m[k] + 0.1 * g
                 v[k] = 0.999 * v[k] + 0.001 * g * g
                 model.w[k] = (model.w[k] - RATE * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-    held = slice(n, None) if len(y) - n >= 20 else slice(0, None)
-    out = model.forward(x, first)[-1][held]
-    model.shift = float(np.log(CUT / (1 - CUT)) - _best_cut(out, y[held] == 1))
+    held = n if len(y) - n >= 20 else 0
+    out = []
+    for k in range(held, len(y), 32):
+        last = min(k + 32, len(y))
+        out.append(model.forward(model.scaled(x[first[k] : ends[last - 1]].astype(np.float32)), first[k:last] - first[k])[-1])
+    model.shift = float(np.log(CUT / (1 - CUT)) - _best_cut(np.concatenate(out), y[held:] == 1))
     return model
 
 
