@@ -1,9 +1,10 @@
 """Embedding near-duplicates over a product-quantised inverted index, with exact rerank.
 
 Coarse lists come from k-means; a vector's residual to its list's centre is coded by subspace. Searches compare the exact
-query with the codes by table lookups (asymmetric distances) and rerank what is left by exact cosine. Of the ``PROBES``
-nearest lists those are probed that can hold a link: the plane between list and nearest list lies within its distance. A
-code is passed on if its distance is at most the link's plus the stored coding error of its vector, which loses none.
+query with the codes by table lookups (asymmetric distances) and rerank what is left by exact cosine. All lists are probed
+that can hold a link: the plane between list and nearest list lies within its distance. A code is passed on if its distance
+is at most the link's plus the stored coding error of its vector. Neither loses a link. Of two lists one asks the other, so
+a pair meets once and counts for both.
 """
 
 from __future__ import annotations
@@ -19,13 +20,13 @@ from pyspark.sql import functions as F
 from .common import connected_components, prepare
 
 COSINE = 0.95
-#: Bound of the sample that lists and codes are fitted on.
-SAMPLE = 16_384
+#: Bound of the sample that lists and codes are fitted on, dealt out to the lengths; of each length so many at least.
+SAMPLE, LEAST_SAMPLE = 16_384, 256
 MOST_LISTS, SUBSPACES, CODES, ROUNDS = 1024, 8, 256, 6
-#: Vectors of a list, and queries of it, that meet in one task at most.
-BLOCK = 2048
-#: Lists that a vector is looked for in at most. In high dimensions the bound alone passes most lists.
-PROBES = 8
+#: Vectors of a group of lists, and queries of it, that meet in one task at most (on average).
+BLOCK = 8192
+#: Queries that are compared at a time, and the share of pairs from which one product of matrices is cheaper than single ones.
+TURN, DENSE = 1024, 1 / 16
 SLACK = 1e-6
 
 
@@ -47,16 +48,18 @@ def _kmeans(x: np.ndarray, k: int, seed: int) -> np.ndarray:
 
 @dataclass
 class Codebook:
-    """Centres of the coarse lists and the code words of each subspace of the residuals."""
+    """Centres of the coarse lists, the group of each list, and the code words of each subspace of the residuals."""
 
     centres: np.ndarray
+    groups: np.ndarray
     words: list[np.ndarray]
 
     @classmethod
-    def fit(cls, x: np.ndarray, lists: int) -> Codebook:
+    def fit(cls, x: np.ndarray, lists: int, groups: int) -> Codebook:
         centres = _kmeans(x, lists, 1)
         rest = x - centres[_square(x, centres).argmin(1)]
-        return cls(centres, [_kmeans(part, CODES, 2) for part in np.array_split(rest, min(SUBSPACES, x.shape[1]), axis=1)])
+        near = _square(centres, _kmeans(centres, min(groups, lists), 3)).argmin(1)
+        return cls(centres, near, [_kmeans(part, CODES, 2) for part in np.array_split(rest, min(SUBSPACES, x.shape[1]), axis=1)])
 
     def parts(self, x: np.ndarray) -> list[np.ndarray]:
         return np.split(x, np.cumsum([w.shape[1] for w in self.words])[:-1], axis=1)
@@ -69,56 +72,97 @@ class Codebook:
         left = sum(((p - w[c]) ** 2).sum(1) for p, w, c in zip(rest, self.words, codes.T, strict=True))
         return home, codes, np.sqrt(left)
 
-    def probes(self, x: np.ndarray, radius: float) -> list[np.ndarray]:
-        """Of the ``PROBES`` lists nearest to the row those that can hold a vector within ``radius`` of it."""
+    def probes(self, x: np.ndarray, home: np.ndarray, radius: float) -> np.ndarray:
+        """Whether the list can hold a vector within ``radius`` of the row and is asked by the row's (rows x lists)."""
         d = _square(x, self.centres)
-        home = d.argmin(1)
         gap = np.sqrt(_square(self.centres, self.centres))
         near = d - d[np.arange(len(x)), home][:, None] <= 2 * radius * gap[home] + SLACK
-        if d.shape[1] > PROBES:
-            far = np.argpartition(d, PROBES - 1, axis=1)[:, PROBES:]
-            np.put_along_axis(near, far, False, axis=1)
-        return [np.flatnonzero(r) for r in near]
+        a, b = home[:, None], np.arange(len(self.centres))[None]
+        return near & ((a == b) | (((a + b) % 2 == 0) == (a < b)))
 
     def close(self, q: np.ndarray, which: int, codes: np.ndarray, error: np.ndarray, radius: float) -> np.ndarray:
-        """Whether the code may lie within ``radius`` of the query, by table lookups (queries x codes)."""
-        total = np.zeros((len(q), len(codes)))
+        """Whether the code may lie within ``radius`` of the query, by table lookups (codes x queries)."""
+        total = np.zeros((len(codes), len(q)))
         for p, w, c in zip(self.parts(q - self.centres[which]), self.words, codes.T, strict=True):
-            total += _square(p, w)[:, c]
-        return np.sqrt(total) <= radius + error[None] + SLACK
+            total += _square(w, p)[c]
+        return total <= np.square(radius + error + SLACK)[:, None]
 
 
-def _cell(book: Codebook, which: int, rows: pd.DataFrame, least: float, radius: float) -> pd.DataFrame:
-    """Links of a block of queries with a block of a list: a count for each query, and a spanning forest of the links."""
-    mine, asked = rows[rows.role == 0], rows[rows.role == 1]
+def _sent(x: np.ndarray) -> list[bytes]:
+    """Rows as bytes: as single floats where that is exact, else as doubles."""
+    with np.errstate(over="ignore"):
+        small = x.astype(np.float32)
+    return [(s if e else d).tobytes() for s, d, e in zip(small, x, (small == x).all(1), strict=True)]
+
+
+def _got(rows: pd.Series, dim: int) -> np.ndarray:
+    return np.stack([np.frombuffer(v, np.float32 if len(v) == 4 * dim else np.float64).astype(np.float64) for v in rows])
+
+
+def _cosines(q: np.ndarray, y: np.ndarray, k: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
+    """Cosines of the pairs (q[k], y[j]) of unit vectors' rows with their norms; near ``least`` always from single products."""
+    (q, qn), (y, yn) = q, y
+
+    def single(k, j):
+        out = np.empty(len(k))
+        for at in range(0, len(k), 65_536):
+            a, b = k[at : at + 65_536], j[at : at + 65_536]
+            out[at : at + 65_536] = np.einsum("ij,ij->i", q[a], y[b]) / (qn[a] * yn[b])
+        return out
+
+    if len(k) < DENSE * len(q) * len(y):
+        return single(k, j)
+    cos = ((q @ y.T) / (qn[:, None] * yn[None]))[k, j]
+    edge = np.flatnonzero(np.abs(cos - least) < 1e-9)
+    cos[edge] = single(k[edge], j[edge])
+    return cos
+
+
+def _cell(book: Codebook, dim: int, rows: pd.DataFrame, least: float, radius: float) -> pd.DataFrame:
+    """Links of a block of queries with a block of a group of lists: a count for each vector, and a spanning forest."""
+    mine, asked = rows[rows.role == 0].sort_values("home"), rows[rows.role == 1]
     empty = pd.DataFrame({"u": [], "v": [], "links": []}).astype("int64")
     if not len(mine) or not len(asked):
         return empty
-    y, q = np.stack(mine.vec.to_numpy()), np.stack(asked.vec.to_numpy())
+    y, q = _got(mine.vec, dim), _got(asked.vec, dim)
     yn, qn = np.sqrt((y * y).sum(1)), np.sqrt((q * q).sum(1))
     codes, error = np.stack([np.frombuffer(c, np.uint8) for c in mine.code]), mine.error.to_numpy()
-    uy, uq, copies = mine.uid.to_numpy(), asked.uid.to_numpy(), mine.copies.to_numpy()
-    label, us, vs, ns = np.arange(len(y)), [], [], []
-    for at in range(0, len(q), 256):
-        part = slice(at, at + 256)
-        may = book.close(q[part] / qn[part, None], which, codes, error, radius)
-        k, j = np.nonzero(may)
-        cos = np.einsum("ij,ij->i", q[at + k], y[j]) / (qn[at + k] * yn[j])
-        ok = (cos >= least) & (uq[at + k] != uy[j])
-        k, j = k[ok], j[ok]
-        cuts = np.searchsorted(k, np.arange(may.shape[0] + 1))
-        for r in np.flatnonzero(np.diff(cuts)):
-            found = j[cuts[r] : cuts[r + 1]]
-            us.append(uq[at + r])
-            vs.append(uq[at + r])
-            ns.append(copies[found].sum())
-            roots, one = np.unique(label[found], return_index=True)
-            us += [uq[at + r]] * len(roots)
-            vs += uy[found[one]].tolist()
-            ns += [0] * len(roots)
+    homes, home = mine.home.to_numpy(), asked.home.to_numpy()
+    lists, starts = np.unique(homes, return_index=True)
+    ends = np.append(starts[1:], len(homes))
+    uy, uq, cy, cq = mine.uid.to_numpy(), asked.uid.to_numpy(), mine.copies.to_numpy(), asked.copies.to_numpy()
+    ny, nq = np.zeros(len(y), np.int64), np.zeros(len(q), np.int64)
+    label, us, vs = np.arange(len(y)), [], []
+    for at in range(0, len(q), TURN):
+        unit = q[at : at + TURN] / qn[at : at + TURN, None]
+        asks, pairs = book.probes(unit, home[at : at + TURN], radius), []
+        for which, a, b in zip(lists.tolist(), starts.tolist(), ends.tolist(), strict=True):
+            some = np.flatnonzero(asks[:, which])
+            if not len(some):
+                continue
+            j, k = np.nonzero(book.close(unit[some], which, codes[a:b], error[a:b], radius))
+            there = at + some
+            cos = _cosines((q[there], qn[there]), (y[a:b], yn[a:b]), k, j, least)
+            k, j = there[k], a + j
+            ok = (cos >= least) & ((home[k] != which) | (uq[k] < uy[j]))
+            pairs.append((k[ok], j[ok]))
+        if not pairs:
+            continue
+        k, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        np.add.at(ny, j, cq[k])
+        np.add.at(nq, k, cy[j])
+        by = np.argsort(k, kind="stable")
+        k, j = k[by], j[by]
+        for part in np.split(np.arange(len(k)), np.flatnonzero(np.diff(k)) + 1) if len(k) else ():
+            roots, one = np.unique(label[j[part]], return_index=True)
+            us += [uq[k[part[0]]]] * len(roots)
+            vs += uy[j[part[one]]].tolist()
             if len(roots) > 1:
                 label[np.isin(label, roots)] = roots[0]
-    return pd.DataFrame({"u": us, "v": vs, "links": ns}).astype("int64") if us else empty
+    known = np.concatenate((uy[ny > 0], uq[nq > 0]))
+    counts = np.concatenate((ny[ny > 0], nq[nq > 0]))
+    us, vs = np.array(us, np.int64), np.array(vs, np.int64)
+    return pd.DataFrame({"u": np.concatenate((known, us)), "v": np.concatenate((known, vs)), "links": np.concatenate((counts, np.zeros(len(us), np.int64)))}).astype("int64")
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE) -> DataFrame:
@@ -136,34 +180,51 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     whole = rows.where(good)
     # an id for each distinct vector; fixed by the checkpoint
     classes = whole.groupBy("vec").agg(F.min("id").alias("first"), F.count("*").alias("copies")).withColumn("uid", F.monotonically_increasing_id()).checkpoint()
-    sizes = classes.groupBy(F.size("vec").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    if sizes is None:
+    sizes = {r.dim: r["count"] for r in classes.groupBy(F.size("vec").alias("dim")).count().collect()}
+    if not sizes:
         return rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    same = classes.where(F.size("vec") == sizes.dim)
-    sample = np.array([r.vec for r in same.orderBy(F.xxhash64("uid")).limit(SAMPLE).select("vec").collect()], np.float64)
-    sample /= np.sqrt((sample * sample).sum(1))[:, None]
-    book = spark.sparkContext.broadcast(Codebook.fit(sample, int(min(MOST_LISTS, max(1, np.sqrt(sizes["count"]) / 2), len(sample)))))
+    sizes = dict([min(sizes.items(), key=lambda x: (-x[1], x[0]))])
+    same = classes.where(F.size("vec") == F.lit(next(iter(sizes))))
+    total = sum(sizes.values())
+    share = {d: max(SAMPLE * n / total, LEAST_SAMPLE) / n for d, n in sizes.items()}
+    shares = F.broadcast(spark.createDataFrame([*share.items()], "dim int, share double"))
+    drawn = same.select("vec", "uid", F.size("vec").alias("dim")).join(shares, "dim").where(F.pmod(F.xxhash64("uid"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    samples: dict[int, list] = {}
+    for r in drawn.orderBy("uid").select("dim", "vec").collect():
+        samples.setdefault(r.dim, []).append(np.array(r.vec, np.float64))
+
+    def fitted(dim: int) -> Codebook:
+        x = np.stack(samples.pop(dim))
+        x /= np.sqrt((x * x).sum(1))[:, None]
+        return Codebook.fit(x, int(min(MOST_LISTS, max(1, np.sqrt(sizes[dim]) / 2), len(x))), -(-sizes[dim] // BLOCK))
+
+    book = spark.sparkContext.broadcast({dim: fitted(dim) for dim in sizes})
     radius = float(np.sqrt(2 - 2 * cosine))
 
     def index(batches):
+        names = ["dim", "vec", "uid", "copies", "home", "at", "code", "error", "asked"]
         for b in batches:
-            x = np.stack(b.column(0).to_numpy(zero_copy_only=False)) if b.num_rows else np.zeros((0, 1))
-            if not len(x):
-                continue
-            unit = x / np.sqrt((x * x).sum(1))[:, None]
-            home, codes, error = book.value.encode(unit)
-            probes = [p.tolist() for p in book.value.probes(unit, radius)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(home, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array(probes, pa.list_(pa.int32()))], names=["vec", "uid", "copies", "home", "code", "error", "probes"])
-
-    indexed = same.select("vec", "uid", "copies").mapInArrow(index, "vec array<double>, uid long, copies long, home int, code binary, error double, probes array<int>").checkpoint()
-    held = indexed.groupBy(F.col("home").alias("list")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    asking = indexed.select(F.explode("probes").alias("list")).groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("turns"))
-    cells = F.broadcast(held.join(asking, "list"))  # at most MOST_LISTS rows
+            vecs, lengths = b.column(0).to_numpy(zero_copy_only=False), b.column(0).value_lengths().to_numpy()
+            for dim in np.unique(lengths).tolist():
+                k, mine = np.flatnonzero(lengths == dim), book.value[dim]
+                x = np.stack(vecs[k])
+                unit = x / np.sqrt((x * x).sum(1))[:, None]
+                home, codes, error = mine.encode(unit)
+                asked = [np.unique(mine.groups[r]).tolist() for r in mine.probes(unit, home, radius)]
+                at = pa.array(k)
+                cols = [pa.array(_sent(x), pa.binary()), b.column(1).take(at), b.column(2).take(at), pa.array(home, pa.int32()), pa.array(mine.groups[home], pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array(asked, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), dim), pa.int32()), *cols], names=names)
+
+    indexed = same.select("vec", "uid", "copies").mapInArrow(index, "dim int, vec binary, uid long, copies long, home int, at int, code binary, error double, asked array<int>").checkpoint()
+    held = indexed.groupBy("dim", F.col("at").alias("group")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    asking = indexed.select("dim", F.explode("asked").alias("group")).groupBy("dim", "group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("turns"))
+    cells = F.broadcast(held.join(asking, ["dim", "group"]))  # at most MOST_LISTS rows for each length
     own = lambda n: F.pmod(F.xxhash64("uid"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    stored = indexed.withColumn("list", F.col("home")).join(cells, "list").select("list", own("blocks").alias("i"), every("turns").alias("j"), F.lit(0).alias("role"), "uid", "copies", "vec", "code", "error")
-    queries = indexed.withColumn("list", F.explode("probes")).join(cells, "list").select("list", every("blocks").alias("i"), own("turns").alias("j"), F.lit(1).alias("role"), "uid", "copies", "vec", F.lit(None).cast("binary").alias("code"), F.lit(0.0).alias("error"))
-    found = stored.union(queries).groupBy("list", "i", "j").applyInPandas(lambda k, p: _cell(book.value, int(k[0]), p, cosine, radius), "u long, v long, links long").checkpoint()
+    near = ["dim", "group"]
+    stored = indexed.withColumn("group", F.col("at")).join(cells, near).select(*near, own("blocks").alias("i"), every("turns").alias("j"), F.lit(0).alias("role"), "uid", "copies", "home", "vec", "code", "error")
+    queries = indexed.withColumn("group", F.explode("asked")).join(cells, near).select(*near, every("blocks").alias("i"), own("turns").alias("j"), F.lit(1).alias("role"), "uid", "copies", "home", "vec", F.lit(None).cast("binary").alias("code"), F.lit(0.0).alias("error"))
+    found = stored.union(queries).groupBy(*near, "i", "j").applyInPandas(lambda k, p: _cell(book.value[int(k[0])], int(k[0]), p, cosine, radius), "u long, v long, links long").checkpoint()
     counts = found.where("links > 0").groupBy(F.col("u").alias("uid")).agg(F.sum("links").alias("links"))
     roots = connected_components(found.where("links = 0").select("u", "v")).withColumnRenamed("node", "uid")
     named = classes.join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid")).join(counts, "uid", "left")

@@ -47,6 +47,24 @@ def test_embeddings_are_brute_force(spark, monkeypatch):
     assert embedding_pq.near_duplicates(df.limit(0)).count() == 0
 
 
+def _links(rows, cosine=0.95):
+    x = np.array(rows) / np.linalg.norm(rows, axis=1)[:, None]
+    return (x @ x.T >= cosine).sum(1) - 1
+
+
+@pytest.mark.parametrize("block", [8192, 500])
+def test_embeddings_of_one_cluster_over_many_lists(spark, monkeypatch, block):
+    monkeypatch.setattr(embedding_pq, "BLOCK", block)
+    r = np.random.default_rng(8)
+    centre, jitter = r.normal(size=16), 0.14 * np.repeat([1, 2], [2400, 600])[:, None]  # sqrt(3000) / 2: 27 lists
+    rows = (centre + r.normal(size=(3000, 16)) * jitter).tolist()
+    df = spark.createDataFrame([*enumerate(rows)], "vec_id long, embedding array<double>")
+    got = {x.id: x.n_links for x in embedding_pq.near_duplicates(df).collect()}
+    want = _links(rows)
+    assert 500 < want.mean() < 2900
+    assert [got[k] for k in range(3000)] == want.tolist()
+
+
 @pytest.mark.parametrize("combine, meeting", [(400_000, 100_000), (300, 1)])
 def test_line_dedup_is_brute_force(spark, monkeypatch, combine, meeting):
     monkeypatch.setattr(line_dedup, "COMBINE", combine)
