@@ -4,7 +4,7 @@ Coarse lists come from k-means; a vector's residual to its list's centre is code
 query with the codes by table lookups (asymmetric distances) and rerank what is left by exact cosine. All lists are probed
 that can hold a link: the plane between list and nearest list lies within its distance. A code is passed on if its distance
 is at most the link's plus the stored coding error of its vector. Neither loses a link. Of two lists one asks the other, so
-a pair meets once and counts for both.
+a pair meets once and counts for both. Vectors of each length have lists and codes of their own.
 """
 
 from __future__ import annotations
@@ -169,7 +169,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     """(id, n_links, component_id, kept) for every row: ``n_links`` other rows have cosine >= ``cosine`` with it.
 
     ``component_id`` is the smallest id reachable through links, itself included. Null, zero and non-finite vectors link
-    with nothing and are components of their own; vectors of another length than most link with their exact copies only.
+    with nothing and are components of their own; vectors of different lengths don't link.
     Copies are searched once and counted for all; repeated ids are rows of their own; a null id stays and never names a
     component with other ids. Other columns are not read. An empty table gives no rows.
     """
@@ -183,12 +183,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     sizes = {r.dim: r["count"] for r in classes.groupBy(F.size("vec").alias("dim")).count().collect()}
     if not sizes:
         return rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    sizes = dict([min(sizes.items(), key=lambda x: (-x[1], x[0]))])
-    same = classes.where(F.size("vec") == F.lit(next(iter(sizes))))
     total = sum(sizes.values())
     share = {d: max(SAMPLE * n / total, LEAST_SAMPLE) / n for d, n in sizes.items()}
     shares = F.broadcast(spark.createDataFrame([*share.items()], "dim int, share double"))
-    drawn = same.select("vec", "uid", F.size("vec").alias("dim")).join(shares, "dim").where(F.pmod(F.xxhash64("uid"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    drawn = classes.select("vec", "uid", F.size("vec").alias("dim")).join(shares, "dim").where(F.pmod(F.xxhash64("uid"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
     samples: dict[int, list] = {}
     for r in drawn.orderBy("uid").select("dim", "vec").collect():
         samples.setdefault(r.dim, []).append(np.array(r.vec, np.float64))
@@ -215,7 +213,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                 cols = [pa.array(_sent(x), pa.binary()), b.column(1).take(at), b.column(2).take(at), pa.array(home, pa.int32()), pa.array(mine.groups[home], pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array(asked, pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), dim), pa.int32()), *cols], names=names)
 
-    indexed = same.select("vec", "uid", "copies").mapInArrow(index, "dim int, vec binary, uid long, copies long, home int, at int, code binary, error double, asked array<int>").checkpoint()
+    indexed = classes.select("vec", "uid", "copies").mapInArrow(index, "dim int, vec binary, uid long, copies long, home int, at int, code binary, error double, asked array<int>").checkpoint()
     held = indexed.groupBy("dim", F.col("at").alias("group")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     asking = indexed.select("dim", F.explode("asked").alias("group")).groupBy("dim", "group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("turns"))
     cells = F.broadcast(held.join(asking, ["dim", "group"]))  # at most MOST_LISTS rows for each length

@@ -65,6 +65,21 @@ def test_embeddings_of_one_cluster_over_many_lists(spark, monkeypatch, block):
     assert [got[k] for k in range(3000)] == want.tolist()
 
 
+def test_embeddings_of_every_length_link(spark, monkeypatch):
+    r = np.random.default_rng(9)
+    rows = []
+    for dim, n in ((16, 400), (3, 120), (2, 30), (40, 1)):
+        base = r.normal(size=(10, dim))
+        rows.append([(base[k % 10] + r.normal(size=dim) * 0.2).tolist() for k in range(n)])
+    rows[2] += [[1.0, 2.0], [2.0, 4.0]]
+    want = [n for x in rows for n in _links(x).tolist()]
+    df = spark.createDataFrame([*enumerate(v for x in rows for v in x)], "vec_id long, embedding array<double>")
+    for block in (8192, 40):
+        monkeypatch.setattr(embedding_pq, "BLOCK", block)
+        got = {x.id: x.n_links for x in embedding_pq.near_duplicates(df).collect()}
+        assert [got[k] for k in range(len(want))] == want
+
+
 @pytest.mark.parametrize("combine, meeting", [(400_000, 100_000), (300, 1)])
 def test_line_dedup_is_brute_force(spark, monkeypatch, combine, meeting):
     monkeypatch.setattr(line_dedup, "COMBINE", combine)
