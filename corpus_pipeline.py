@@ -27,7 +27,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines within one edit of an earlier line; n_chars follows the text."""
     prepare(spark)
-    out = line_dedup.dedup_lines(docs).select(docs.columns)
+    out = line_dedup.dedup_lines(docs, characters=True).select(docs.columns)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 

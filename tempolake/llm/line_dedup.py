@@ -1,7 +1,9 @@
 """Line deduplication by a deletion-neighbourhood join: lines within one edit of an earlier line go.
 
-The unit of an edit is a word (insertion, deletion or substitution of one), so one changed, added or lost word, with any
-change of letters inside it, is within the bound. A line's deletion neighbourhood is itself and the line without each of
+The unit of an edit is a word (insertion, deletion or substitution of one) for lines of ``LEAST_WORDS`` words or more, so
+one changed, added or lost word, with any change of letters inside it, is within the bound. With ``characters`` the unit is
+a character besides, for lines of any number of words. That takes all places of shorter lines (scripts without blanks among
+them); in longer ones only edits of a blank aren't edits of a word, so places that are or can become a blank do. A line's deletion neighbourhood is itself and the line without each of
 its words. Two lines are within one edit if they are equal, or equal without the same one word (substitution), or one is
 the other without a word. Equal variants are grouped under hashed keys. A task compares the variants it has with the
 earliest of their group first and sends on only those earliest and what it couldn't settle, so hot groups are reduced
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import packed, prepare, released, stored
 
-#: Lines of fewer words go only if they are equal to an earlier line.
+#: Lines of fewer words have characters as their unit, or go only if they are equal to an earlier line.
 LEAST_WORDS = 8
 LAST = (1 << 63) - 1
 _digest, _digest128 = xxhash.xxh64_digest, xxhash.xxh3_128_digest
@@ -34,7 +36,7 @@ def split_lines(text: str) -> list[list[str]]:
 
 
 def edits(a: list[str], b: list[str]) -> int:
-    """Words to insert, delete or substitute to make ``b`` of ``a``; 2 stands for more than one."""
+    """Words (of strings: characters) to insert, delete or substitute to make ``b`` of ``a``; 2 stands for more than one."""
     if len(a) > len(b):
         a, b = b, a
     p = 0
@@ -46,6 +48,12 @@ def edits(a: list[str], b: list[str]) -> int:
     return min(2, max(len(a), len(b)) - p - s)
 
 
+def near(a: str, b: str, characters: bool) -> bool:
+    """Whether two lines are within one edit."""
+    v, w = a.split(" "), b.split(" ")
+    return (min(len(v), len(w)) >= LEAST_WORDS and edits(v, w) <= 1) or (characters and edits(a, b) <= 1)
+
+
 def _line_key(w: list[str]) -> bytes:
     """16 bytes that stand for a line's words; the first eight alone are k1."""
     return _digest128(_bytes(w))
@@ -71,6 +79,17 @@ def _half_keys(w: list[str]) -> tuple[bytes, set[bytes]]:
     return _digest128(b"%b %b" % (a, b)), keys | {_digest(a[: a.rindex(b" ")], h * 2 + 2), _digest(b[b.index(b" ") + 1 :], h * 2 + 1)}
 
 
+def _char_half_keys(norm: str) -> tuple[bytes, set[bytes]]:
+    """``_half_keys`` with characters for words."""
+    n = len(norm)
+    h = n // 2
+    key = lambda x, k: _digest(x.encode("utf-8", "surrogatepass"), h * 2 + k + (1 << 40))
+    keys = {key(norm[:h], 4), key(norm[n - h :], 3)}
+    if n % 2 == 0:
+        keys |= {key(norm[: h - 1], 2), key(norm[n - h + 1 :], 1)}
+    return _digest128(norm.encode("utf-8", "surrogatepass")), keys
+
+
 def _variant_keys(norm: bytes) -> tuple[bytes, list[bytes]]:
     """Hashes of a line and of the line without each of its words; a line's own is that of a longer one without the word."""
     w = norm.split(b" ")
@@ -91,6 +110,53 @@ def _placed(keys: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(27))).view(np.int64)
 
 
+def _mixed(x: np.ndarray, *more: np.ndarray) -> np.ndarray:
+    for m in more:
+        x = (x ^ (m.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+    return x.view(np.int64)
+
+
+def _powers(n: int, base: int, prime: int) -> np.ndarray:
+    out = np.ones(1, np.uint64)
+    while len(out) < n:
+        out = np.concatenate((out, out * np.uint64(pow(base, len(out), prime)) % np.uint64(prime)))
+    return out
+
+
+def _char_keys(norms: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, role, key) of the lines and of the lines without a character, by sums of powers over two primes.
+
+    Lines of ``LEAST_WORDS`` words or more give their own key, and those without a character only for places that are a
+    blank or, for substitutions, can become one.
+    """
+    sizes = np.array([len(x) for x in norms])
+    ends = np.cumsum(sizes)
+    of = np.repeat(np.arange(len(norms)), sizes)
+    pos = np.arange(ends[-1]) - (ends - sizes)[of]
+    c = np.frombuffer("".join(norms).encode("utf-32-le", "surrogatepass"), np.uint32)
+    blank = c == 32
+    short = np.array([x.count(" ") + 1 < LEAST_WORDS for x in norms])[of]
+    beside = np.append(True, blank[:-1]) | np.append(blank[1:], True) | (pos == 0) | (pos == sizes[of] - 1)
+    own, less = np.zeros(len(norms), np.uint64), np.zeros(len(c), np.uint64)
+    for prime, base in ((2147483647, 1103515245), (2147483629, 1812433253)):
+        p = np.uint64(prime)
+        term = (c.astype(np.uint64) + np.uint64(1)) * _powers(int(sizes.max()), base, prime)[pos] % p
+        total = np.cumsum(term)
+        start = np.append(np.uint64(0), total)[ends - sizes]
+        whole = total[ends - 1] - start
+        after = total - start[of]
+        without = (after - term + (whole[of] - after) % p * np.uint64(pow(base, -1, prime))) % p
+        own = (own << np.uint64(31)) | whole % p
+        less = (less << np.uint64(31)) | without
+    one, two = np.flatnonzero(short | blank), np.flatnonzero(short | blank | ~beside)
+    n = sizes[of]
+    line = np.concatenate((np.arange(len(norms)), of[one], of[two]))
+    role = np.repeat([0, 1, 2], [len(norms), len(one), len(two)])
+    return line, role, np.concatenate((_mixed(own, sizes), _mixed(less[one], n[one] - 1), _mixed(less[two], n[two], pos[two])))
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """(k1, k2, o, th, pos) of every line that isn't blank; k1 and k2 stand for its words."""
 
@@ -109,7 +175,7 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.select("o", "th", "text").mapInArrow(released(run), "k1 long, k2 long, o long, th long, pos int")
 
 
-def _likely(docs: DataFrame) -> DataFrame:
+def _likely(docs: DataFrame, characters: bool) -> DataFrame:
     """(k1) of every line that is long enough for an edit and shares a half with another line; a few may come twice.
 
     A task that sees a half in several lines tells them at once and sends one of them alone to meet other tasks' lines,
@@ -122,10 +188,15 @@ def _likely(docs: DataFrame) -> DataFrame:
             halves, k1 = [], []
             for t in b.column(0).to_pylist():
                 for w in split_lines(t):
-                    if len(w) >= LEAST_WORDS:
+                    # a blank more makes a line of LEAST_WORDS of one with a word less
+                    if len(w) >= LEAST_WORDS - characters:
                         own, keys = _half_keys(w)
                         halves += keys
                         k1 += [own[:8]] * len(keys)
+                    if characters and 0 < len(w) < LEAST_WORDS:
+                        own, keys = _char_half_keys(" ".join(w))
+                        halves += keys
+                        k1 += [own[:8]] * len(keys)
             held.append((_longs(halves), _longs(k1)))
             n += len(halves)
             if n >= COMBINE:
@@ -216,26 +287,29 @@ def _firsts(key: np.ndarray, role: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return has, other, head
 
 
-def _candidates(lines: DataFrame) -> DataFrame:
+def _candidates(lines: DataFrame, characters: bool) -> DataFrame:
     """(o, th, pos, bo, bth, bpos): lines with an earlier one of an equal variant; without it where they are known to be near.
 
-    Keys have three roles: 0 is the line, 1 the line without a word, 2 the same at that place, for substitutions.
+    Keys have three roles: 0 is the line, 1 the line without a word or character, 2 the same at that place, for
+    substitutions.
     """
     names, kinds = ["sent", "key", "role", "o", "th", "pos"], [pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
 
     def run(batches):
-        own, without, sizes, held, norms = [], [], [], [], []
+        own, without, sizes, held, norms, chars = [], [], [], [], [], 0
         for b in batches:
             held.append([b.column(k).to_numpy() for k in range(3)])
             for norm in b.column(3).to_pylist():
-                key, found = _variant_keys(norm.encode("utf-8", "surrogatepass"))
+                long = norm.count(" ") + 1 >= LEAST_WORDS
+                key, found = _variant_keys(norm.encode("utf-8", "surrogatepass")) if long else (bytes(8), [])
                 own.append(key)
                 without += found
                 sizes.append(len(found))
                 norms.append(norm)
-            if 2 * len(without) >= COMBINE:
+                chars += characters * (len(norm) if long else 2 * len(norm))
+            if 2 * len(without) + chars >= COMBINE:
                 yield combined(own, without, sizes, held, norms)
-                own, without, sizes, held, norms = [], [], [], [], []
+                own, without, sizes, held, norms, chars = [], [], [], [], [], 0
         if own:
             yield combined(own, without, sizes, held, norms)
 
@@ -246,18 +320,22 @@ def _candidates(lines: DataFrame) -> DataFrame:
         rank[order] = np.arange(len(order))
         sizes = np.array(sizes)
         each, key = np.repeat(rank, sizes), _longs(without)
-        line, role = np.concatenate((rank, each, each)), np.repeat([0, 1, 2], [len(rank), len(each), len(each)])
-        key = np.concatenate((_longs(own), key, _placed(key, sizes)))
+        long = sizes > 0
+        line, role = np.concatenate((rank[long], each, each)), np.repeat([0, 1, 2], [int(long.sum()), len(each), len(each)])
+        key = np.concatenate((_longs(own)[long], key, _placed(key, sizes)))
+        if characters:
+            of, roles, keys = _char_keys(norms)
+            line, role, key = np.concatenate((line, rank[of])), np.concatenate((role, roles)), np.concatenate((key, keys))
         by = np.lexsort((line, role, key))
         key, role, line = key[by], role[by], line[by]
         new = np.append(True, (key[1:] != key[:-1]) | (role[1:] != role[:-1]) | (line[1:] != line[:-1]))  # of equal words one goes
         key, role, line = key[new], role[new], line[new]
         has, other, first = _firsts(key, role)
         earlier = np.flatnonzero(has & (line[other] < line))
-        near = np.zeros(len(order), bool)
+        settled = np.zeros(len(order), bool)
         for a, b in set(zip(line[earlier].tolist(), line[other[earlier]].tolist(), strict=True)):
-            near[a] = near[a] or edits(norms[order[a]].split(" "), norms[order[b]].split(" ")) <= 1
-        go, told = np.flatnonzero(first | ~near[line]), order[near]
+            settled[a] = settled[a] or near(norms[order[a]], norms[order[b]], characters)
+        go, told = np.flatnonzero(first | ~settled[line]), order[settled]
         at = order[line[go]]
         none = np.zeros(len(told), np.int64)
         cols = [np.append(none, np.ones(len(go))).astype(bool), np.append(none, key[go]), np.append(none, role[go]), *(np.append(x[told], x[at]) for x in (o, th, pos))]
@@ -304,43 +382,43 @@ def _candidates(lines: DataFrame) -> DataFrame:
     return rows.mapInArrow(released(meet), "o long, th long, pos int, bo long, bth long, bpos int").distinct()
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
+def removed_lines(docs: DataFrame, characters: bool = False) -> DataFrame:
     """(o, th, gone array<int>) for documents (o, th, text) that lose lines."""
     at = F.struct("o", "th", "pos")
     lines = stored(_lines(docs), "all-lines")  # 16 bytes a line and little more: documents and places repeat
     firsts = stored(lines.groupBy("k1", "k2").agg(F.min(at).alias("first"), F.max(at).alias("last")), "lines")
     # lines that share a half with another line; the others have no neighbour
-    likely = stored(_likely(docs).distinct(), "likely")
+    likely = stored(_likely(docs, characters).distinct(), "likely")
     picked = firsts.join(likely, "k1").select("first.*").groupBy("o", "th").agg(F.collect_set("pos").alias("picked"))
     texts = stored(_picked(packed(docs).join(picked, ["o", "th"])).dropDuplicates(["o", "th", "pos"]), "neighbours")
-    found = stored(_candidates(texts), "candidates")
+    found = stored(_candidates(texts, characters), "candidates")
     pairs = found.where("bo is not null").select(at.alias("at"), F.struct(F.col("bo").alias("o"), F.col("bth").alias("th"), F.col("bpos").alias("pos")).alias("by"))
     norms = texts.select(at.alias("at"), "norm")
     pairs = pairs.join(norms, "at").join(norms.select(F.col("at").alias("by"), F.col("norm").alias("earlier")), "by")
 
     @F.pandas_udf("boolean")
     def within(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([edits(x.split(" "), y.split(" ")) <= 1 for x, y in zip(a, b, strict=True)], dtype=np.bool_)
+        return pd.Series([near(x, y, characters) for x, y in zip(a, b, strict=True)], dtype=np.bool_)
 
     told = found.where("bo is null").select(at.alias("first"))
-    near = stored(pairs.where(within("norm", "earlier")).select(F.col("at").alias("first")).union(told).distinct(), "near")
-    judged = firsts.join(near.withColumn("near", F.lit(True)), "first", "left").where("near or first <> last").drop("last")
+    told = stored(pairs.where(within("norm", "earlier")).select(F.col("at").alias("first")).union(told).distinct(), "near")
+    judged = firsts.join(told.withColumn("near", F.lit(True)), "first", "left").where("near or first <> last").drop("last")
     gone = lines.select("k1", "k2", at.alias("at")).join(judged, ["k1", "k2"]).where((F.col("at") != F.col("first")) | F.col("near"))
     return stored(gone.select("at.*").groupBy("o", "th").agg(F.collect_set("pos").alias("gone")), "gone")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", characters: bool = False) -> DataFrame:
     """``docs`` without the lines that are equal to, or one edit from, an earlier line; adds n_lines, n_removed.
 
     Earlier: in a document of smaller id, or higher up in the same one; lines are judged on the input, whether or not the
-    earlier one itself goes. Blank lines stay. Lines of fewer than ``LEAST_WORDS`` words go only if equal. Null texts stay
-    null, with no lines. Null ids come last; documents of one id go by a hash of their text, and rows with the same id and
+    earlier one itself goes. Blank lines stay. An edit is one of a word for lines of at least ``LEAST_WORDS`` words; with
+    ``characters``, one of a character for all lines too, else shorter lines go only if equal. Null texts stay null, with no lines. Null ids come last; documents of one id go by a hash of their text, and rows with the same id and
     text are one document that comes out alike in each. Other columns are kept; an empty table gives no rows.
     """
     prepare(docs.sparkSession)
     o, th = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), F.xxhash64(F.col(text_col).cast("string"))
     slim = docs.select(o.alias("o"), th.alias("th"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    gone = removed_lines(slim).select(F.col("o").alias("__o"), F.col("th").alias("__th"), F.col("gone").alias("__gone"))
+    gone = removed_lines(slim, characters).select(F.col("o").alias("__o"), F.col("th").alias("__th"), F.col("gone").alias("__gone"))
     names = [c for c in docs.columns if c != text_col]
     zipped = packed(docs.withColumns({"__o2": o, "__th2": th}).withColumnRenamed(text_col, "text"))
     out = zipped.join(gone, (F.col("__o2") == F.col("__o")) & (F.col("__th2") == F.col("__th")), "left")

@@ -136,6 +136,50 @@ def test_line_dedup_is_brute_force(spark, monkeypatch, combine, meeting):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("combine, meeting", [(400_000, 100_000), (300, 1)])
+def test_line_dedup_by_characters_is_brute_force(spark, monkeypatch, combine, meeting):
+    monkeypatch.setattr(line_dedup, "COMBINE", combine)
+    monkeypatch.setattr(line_dedup, "MEETING", meeting)
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcde") for _ in range(r.randrange(1, 7)))
+    pool = [" ".join(word() for _ in range(r.choice([1, 2, 5, 6, 7, 7, 8, 8, 9, 14]))) for _ in range(40)] + ["春眠不覚暁処処聞啼鳥夜来風雨声", "Contact us", "日"]
+
+    def line():
+        x = r.choice(pool)
+        k = r.randrange(len(x))
+        blanks = [p for p, c in enumerate(x) if c == " "]
+        if blanks and r.random() < 0.5:
+            k = r.choice(blanks)
+        return r.choice([x, x[:k] + r.choice("abx花 ") + x[k + 1 :], x[:k] + x[k + 1 :], x[:k] + r.choice("abx花 ") + x[k:]])
+
+    docs = [(k, "\n".join(r.choice([line(), line(), line(), ""]) for _ in range(r.randrange(0, 9)))) for k in range(70)]
+    docs += [(80, "foo bar"), (81, "foobar"), (82, "foo-bar"), (83, "one two three four five six seven eight nine"), (84, "one two-three four five six seven eight nine"), (85, "one two three four five six seven eightnine")]
+    r.shuffle(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    flat = [(i, p, " ".join(x.lower().split())) for i, t in sorted(docs) for p, x in enumerate(t.split("\n"))]
+
+    def edits(a, b):
+        row = [*range(len(b) + 1)]
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    gone = defaultdict(set)
+    for k, (i, p, x) in enumerate(flat):
+        for _, _, y in flat[:k]:
+            a, b = x.split(), y.split()
+            if x and y and abs(len(x) - len(y)) < 9 and (x == y or (min(len(a), len(b)) >= 8 and edits(a, b) <= 1) or (abs(len(x) - len(y)) < 2 and edits(x, y) <= 1)):
+                gone[i].add(p)
+                break
+    got = {x.doc_id: (x.n_removed, x.text) for x in line_dedup.dedup_lines(df, characters=True).collect()}
+    assert got == {i: (len(gone[i]), "\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone[i])) for i, t in docs}
+    assert all(got[k][0] == 1 for k in (81, 82, 84, 85))
+    assert sum(x[0] for x in got.values()) > sum(x.n_removed for x in line_dedup.dedup_lines(df).collect())
+
+
 def test_column_index_is_the_suffix_order():
     r = random.Random(7)
     segs = [bytes(r.choice(b"ab\x00\xff") for _ in range(r.randrange(1, 30))) for _ in range(40)]
