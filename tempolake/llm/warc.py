@@ -107,7 +107,7 @@ def reconstruct(heads: DataFrame, blobs: DataFrame) -> DataFrame:
 
 def field(record: Column, name: str) -> Column:
     """A field of a record's header, null where it has none."""
-    head = F.split_part(F.decode(F.substring(record, 1, 65536), "ISO-8859-1"), F.lit("\r\n\r\n"), F.lit(1))
+    head = F.split_part(F.decode(record, "ISO-8859-1"), F.lit("\r\n\r\n"), F.lit(1))
     return F.nullif(F.regexp_extract(head, rf"(?m)^{name}: ([^\r\n]*)", 1), F.lit(""))
 
 

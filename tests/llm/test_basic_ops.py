@@ -8,6 +8,7 @@ from collections import defaultdict
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tempolake.llm import chat, decontam, packing, simhash, warc
 
@@ -161,6 +162,20 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.summary(spark, f"file://{tmp_path}/e").count() == 0
 
 
+def test_warc_of_long_urls(spark, tmp_path):
+    body, url = "<p>" + "b" * 200, "data:," + "u" * 100_000
+    edge = "e" * (65_536 - 250)  # some field crosses byte 65,536
+    rows = [(1, url, body), (2, url, body), (3, "u", body), (4, url, "short"), *((k, edge + "e" * (4 * k), body) for k in range(5, 60))]
+    warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), f"file://{tmp_path}/a")
+    got = {(r.page_id, r.record_type, r.refers_to, r.payload_digest, r.payload_bytes) for r in warc.summary(spark, f"file://{tmp_path}/a").collect()}
+    digest = hashlib.sha256(body.encode()).hexdigest()
+    want = {(i, "revisit", 1, digest, len(body)) for i, *_ in rows if i not in (1, 4)}
+    assert got == want | {(1, "response", None, digest, len(body)), (4, "response", None, hashlib.sha256(b"short").hexdigest(), 5)}
+    # a field is read from the header alone, however long the payload
+    record = F.lit(b"WARC/1.1\r\nWARC-Type: response\r\n\r\nWARC-Refers-To: <urn:page:5>\r\n\r\n")
+    assert spark.range(1).select(warc.field(record, "WARC-Type"), warc.field(record, "WARC-Refers-To")).first()[:] == ("response", None)
+
+
 def slow_leaks(text, items):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     hit, found = set(), set()
