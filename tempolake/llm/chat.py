@@ -48,27 +48,29 @@ def windows(turns, budget: int = BUDGET, history: float = HISTORY, count=count_t
     """
     system, past, new, used, later = None, [], [], 0, False
 
-    def close():
-        left, k = budget * history, len(past)
-        while k and past[k - 1][2] <= left:
+    def shared(turns):
+        left, k = budget * history, len(turns)
+        while k and turns[k - 1][2] <= left:
             k -= 1
-            left -= past[k][2]
+            left -= turns[k][2]
+        return turns[k:]
+
+    def close():
         text, mask = "", []
-        for sign, (role, body, _) in [*((OLD, t) for t in ([system] if system and later else []) + past[k:]), *((NEW, t) for t in new)]:
+        for sign, (role, body, _) in [*((OLD, t) for t in ([system] if system and later else []) + past), *((NEW, t) for t in new)]:
             text += OPEN + sign + escape(role) + MID
             if sign == NEW and role == "assistant":
                 mask.append((len(text), len(text) + len(escape(body))))
             text += escape(body) + CLOSE
-        return text, mask, past[k:]
+        return text, mask
 
     first = True
     for role, text in turns:
         t = (role, text, count(text))
         if new and used + t[2] > budget:
-            out = close()
-            yield out[:2]
+            yield close()
             later = True
-            past = [x for x in past[-64:] + new if x is not system][-64:]
+            past = shared(past + [x for x in new if x is not system])
             new, used = [], (system[2] if system else 0) + int(budget * history)
         if first and role == "system":
             system = t
@@ -76,7 +78,7 @@ def windows(turns, budget: int = BUDGET, history: float = HISTORY, count=count_t
         new.append(t)
         used += t[2]
     if new:
-        yield close()[:2]
+        yield close()
 
 
 def read_window(formatted: str):

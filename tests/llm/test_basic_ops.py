@@ -236,3 +236,18 @@ def test_chat_round_trip(spark):
         if role == "system":
             assert chat.read_window(w.formatted)[0] == (False, role, text)
     assert chat.digests(chat.format_conversations(df.limit(0))).count() == 0
+
+
+def test_history_is_bounded_by_tokens_alone():
+    turns = [("user" if k % 2 else "assistant", "ok" if k % 3 else "") for k in range(2000)]
+    budget, at = 400, 0
+    for n, (text, _) in enumerate(chat.windows(iter(turns), budget=budget)):
+        told = chat.read_window(text)
+        old = [(role, body) for new, role, body in told if not new]
+        left, k = budget * chat.HISTORY, at
+        while n and k and chat.count_tokens(turns[k - 1][1]) <= left:
+            k -= 1
+            left -= chat.count_tokens(turns[k][1])
+        assert old == turns[k:at] and (not n or len(old) > 64)
+        at += len(told) - len(old)
+    assert at == len(turns)
