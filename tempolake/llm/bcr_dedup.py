@@ -211,7 +211,7 @@ def _repeated(rows: DataFrame) -> DataFrame:
     rows = rows.repartition(F.when(F.col("sent"), F.col("h")).otherwise(F.xxhash64("o", "start"))).sortWithinPartitions("h")
 
     def run(batches):
-        rest = None
+        rest, hot = None, None
         for b in batches:
             t = pa.Table.from_batches([b])
             rest = t if rest is None else pa.concat_tables([rest, t])
@@ -220,22 +220,23 @@ def _repeated(rows: DataFrame) -> DataFrame:
             h = rest.column("h").to_numpy()
             cut = int(np.searchsorted(h, h[-1]))
             if cut:
-                yield from picked(rest.slice(0, cut))
+                yield from picked(rest.slice(0, cut), hot)
                 rest = rest.slice(cut)
-            else:  # a minimizer with so many rows is repeated; two of them tell it further on
-                yield from picked(rest)
-                rest = rest.slice(0, 2)
+            else:  # a minimizer with so many rows is repeated, here and further on
+                hot = h[-1]
+                yield from picked(rest, hot)
+                rest = None
         if rest is not None:
-            yield from picked(rest)
+            yield from picked(rest, hot)
 
-    def picked(t):
+    def picked(t, hot):
         h, sent, known = (t.column(c).to_numpy() for c in ("h", "sent", "known"))
         k = np.flatnonzero(sent)
         keep = known.copy()
         if len(k):
             starts = np.flatnonzero(np.append(True, h[k][1:] != h[k][:-1]))
             counts = np.diff(np.append(starts, len(k)))
-            keep[k] |= np.repeat(counts > 1, counts)
+            keep[k] |= np.repeat(counts > 1, counts) | (h[k] == hot if hot is not None else False)
         if keep.any():
             yield from t.filter(pa.array(keep)).select(["h", "o", "start", "n"]).combine_chunks().to_batches()
 

@@ -197,6 +197,17 @@ def test_column_index_is_the_suffix_order():
     assert lcp.tolist()[1:] == [common(a, b) for a, b in zip(got, got[1:], strict=False)]
 
 
+def test_hot_minimizers_keep_every_place(spark):
+    # one minimizer: a task's 250,000 places, one of them sent, and at the end another task's only one
+    places, was = 250_000, spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        rows = spark.range(0, places, 1, 1).selectExpr("7L as h", "id as o", "0 as start", "1S as n", f"id <> {places - 1} as known", f"id in (5, {places - 1}) as sent")
+        assert bcr_dedup._repeated(rows).select("o").distinct().count() == places
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
 @pytest.mark.parametrize("most", [20_000, 1])
 def test_byte_dedup_is_brute_force(spark, monkeypatch, most):
     monkeypatch.setattr(bcr_dedup, "MOST_SEGMENTS", most)
