@@ -2,33 +2,37 @@
 
 A window is a string of ``WINDOW`` bytes. Windows are dealt out by their minimizer (the least hash of the grams inside), so
 equal windows always meet; consecutive windows of one minimizer travel as one segment of under 200 bytes. Only
-minimizers that occur in two places matter. The distinct segments of such minimizers form small collections; each is
-indexed by inserting one symbol of every segment a round, from the last to the first, updating the transform, the
-longest common prefixes and the suffix order. Runs of common prefixes of ``WINDOW`` or more are equal windows.
+minimizers that occur in two places matter. The distinct segments of such minimizers form collections; each is
+indexed by inserting one symbol of every segment a round, from the last to the first, updating the transform and the
+longest common prefixes. Runs of common prefixes of ``WINDOW`` or more are equal windows. A round reads the sequence of the
+round before from its start to its end and writes its own; the sequences of larger collections are files in the shared
+folder, in blocks, and a round holds one block of them.
 """
 
 from __future__ import annotations
 
 import hashlib
-import os
-import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, prepare, released, stored
+from .common import drop, packed, prepare, released, shared_dir, stored
 
 WINDOW, GRAM = 100, 40
 SPAN = WINDOW - GRAM + 1
-#: Segments that are indexed together, if a minimizer has no more by itself; suffixes beyond which arrays are files.
-BLOCK_SEGMENTS, MEMORY_SUFFIXES = 400, 8_000_000
-#: Places of a minimizer beyond which its windows are grouped one by one over all tasks.
+#: Segments that are indexed together, if a minimizer has no more by itself.
+BLOCK_SEGMENTS = 400
+#: Suffixes of a collection beyond which its sequences are files, and of a block of such a file.
+MEMORY_SUFFIXES, FILE_BLOCK = 400_000, 1 << 18
+#: Places of a minimizer beyond which its windows are grouped one by one over all tasks: a collection is one task's work.
 MOST_SEGMENTS = 20_000
-#: Minimizers that a task combines before it sends them on.
-COMBINE = 400_000
+#: Minimizers that a task combines before it sends them on, texts and segments that it remembers.
+COMBINE, REMEMBERED = 400_000, 50_000
 #: More than a segment's bytes.
 OFFSETS = 256
 LAST = (1 << 63) - 1
@@ -63,24 +67,137 @@ def window_runs(data: np.ndarray):
     return h[starts][of], first, np.minimum(SPAN, starts[of] + sizes[of] - first)
 
 
-class _Arrays:
-    """Arrays of a round: in memory, or in two sets of files written and read in turn."""
+class _Memory:
+    """The transform and the common prefixes of all suffixes in order, as one block."""
 
-    def __init__(self, most: int):
-        self.folder = tempfile.TemporaryDirectory() if most > MEMORY_SUFFIXES else None
-        self.turn = 0
+    def __init__(self, kind):
+        self.blocks, self.sizes = [], ()
 
-    def new(self, name: str, n: int, kind) -> np.ndarray:
-        if self.folder is None:
-            return np.empty(n, kind)
-        return np.memmap(os.path.join(self.folder.name, f"{name}{self.turn % 2}"), kind, "w+", shape=(n,))
+    def new(self):
+        return _Memory(None)
 
+    def add(self, bwt: np.ndarray, lcp: np.ndarray) -> None:
+        self.blocks.append((bwt, lcp))
 
-def column_index(segments: list[bytes]):
+    def close(self) -> None:
+        pass
+
+    def read(self):
+        return iter(self.blocks)
+
+    drop = close
+
+
+class _File:
+    """The same in blocks of a file, which is written once from start to end and read in the same order."""
+
+    def __init__(self, kind, folder: str):
+        self.kind, self.folder, self.sizes = np.dtype(kind), folder, []
+        self.fs, path = fs.FileSystem.from_uri(folder)
+        self.path = f"{path.rstrip('/')}/suffixes-{uuid.uuid4().hex}"
+        self.out = self.fs.open_output_stream(self.path)
+
+    def new(self):
+        return _File(self.kind, self.folder)
+
+    def add(self, bwt: np.ndarray, lcp: np.ndarray) -> None:
+        for at in range(0, len(bwt), FILE_BLOCK):
+            part = bwt[at : at + FILE_BLOCK]
+            self.sizes.append(len(part))
+            self.out.write(part.tobytes())
+            self.out.write(lcp[at : at + FILE_BLOCK].tobytes())
+
+    def close(self) -> None:
+        self.out.close()
+
+    def read(self):
+        with self.fs.open_input_stream(self.path) as f:
+            for n in self.sizes:
+                yield np.frombuffer(f.read(n * self.kind.itemsize), self.kind), np.frombuffer(f.read(n * 2), np.int16)
+
+    def drop(self) -> None:
+        self.fs.delete_file(self.path)
+
+
+def _least(lcp: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least of lcp[a + 1 .. b] for each pair a < b."""
+    if not len(a):
+        return np.zeros(0, np.int16)
+    cuts = np.stack([a + 1, b + 1], axis=1).ravel()
+    padded = np.append(lcp, np.int16(32767))
+    return np.minimum.reduceat(padded, cuts)[::2]
+
+
+def _scan(sequence, place: np.ndarray, base: np.ndarray):
+    """For places in order: where the suffix with the place's symbol before it belongs, and its common prefixes there.
+
+    ``base`` is where the suffixes of each first symbol begin. The common prefixes are one more than the least between
+    the place and the one before (after) it with the same symbol, and 0 without such.
+    """
+    rank, low, high = np.empty(len(place), np.int64), np.zeros(len(place), np.int16), np.zeros(len(place), np.int16)
+    seen, at = base.copy(), 0
+    # of each symbol: the least prefix since its last occurrence in the blocks before, and the place there that has no next yet
+    met, since, left = np.zeros(len(base), bool), np.full(len(base), 32767, np.int16), np.full(len(base), -1)
+    for bwt, lcp in sequence.read():
+        i, j = np.searchsorted(place, [at, at + len(bwt)])
+        p = place[i:j] - at
+        order = np.argsort(bwt, kind="stable")
+        counts = np.bincount(bwt, minlength=len(base))
+        starts = np.cumsum(counts) - counts
+        where = np.empty(len(bwt), np.int64)
+        where[order] = np.arange(len(bwt))
+        c, w = bwt[p], where[p]
+        rank[i:j] = seen[c] + w - starts[c]
+        k = np.flatnonzero(w > starts[c])
+        low[i + k] = 1 + _least(lcp, order[w[k] - 1], p[k])
+        k = np.flatnonzero(w < starts[c] + counts[c] - 1)
+        high[i + k] = 1 + _least(lcp, p[k], order[w[k] + 1])
+        if len(sequence.sizes) > 1:
+            so_far, here = np.minimum.accumulate(lcp), np.flatnonzero(counts)
+            first, final = order[starts[here]], order[starts[here] + counts[here] - 1]
+            k = np.flatnonzero((w == starts[c]) & met[c])
+            low[i + k] = 1 + np.minimum(since[c[k]], so_far[p[k]])
+            k = left[here] >= 0
+            high[left[here][k]] = 1 + np.minimum(since[here], so_far[first])[k]
+            after = np.append(np.minimum.accumulate(lcp[::-1])[::-1], np.int16(32767))
+            since = np.minimum(since, so_far[-1])
+            since[here], left[here], met[here] = after[final + 1], -1, True
+            k = np.flatnonzero(w == starts[c] + counts[c] - 1)
+            left[c[k]] = i + k
+        seen += counts
+        at += len(bwt)
+    return rank, low, high
+
+
+def _insert(blocks, n: int, out, new: np.ndarray, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+    """Writes the ``n`` suffixes of ``blocks`` and those that belong at ``new``, in order."""
+    spot, at, i = new - np.arange(len(new)), 0, 0  # spot: the old suffix that each comes before
+    for bwt, lcp in blocks:
+        end = at + len(bwt)
+        j = len(new) if end == n else int(np.searchsorted(spot, end))
+        s = spot[i:j] - at
+        lcp = lcp.copy()
+        follows = np.append(s[1:] != s[:-1], True)[: len(s)] & (s < len(bwt))
+        lcp[s[follows]] = high[i:j][follows]
+        put = new[i:j] - at - i
+        old = np.ones(len(bwt) + len(put), bool)
+        old[put] = False
+        grown = []
+        for x, y in ((bwt, symbol), (lcp, low)):
+            g = np.empty(len(old), x.dtype)
+            g[old], g[put] = x, y[i:j]
+            grown.append(g)
+        out.add(*grown)
+        at, i = end, j
+    out.close()
+
+
+def column_index(segments: list[bytes], folder: str | None = None):
     """(suffixes in order as segment * ``OFFSETS`` + offset, common prefix of each with the one before) of a collection.
 
     Round t inserts the suffix of length t of every segment that has one: its place follows from the rank of its first
-    symbol in the transform so far, its common prefixes from the least one between two of that symbol.
+    symbol in the transform so far, its common prefixes from the least one between two of that symbol. With ``folder``,
+    sequences of over ``MEMORY_SUFFIXES`` are files there.
     """
     count = len(segments)
     sizes = np.array([len(s) for s in segments])
@@ -93,76 +210,59 @@ def column_index(segments: list[bytes]):
     column = np.zeros((width + 1, count), kind)
     for k, s in enumerate(segments):
         column[: len(s), k] = number[np.frombuffer(s, np.uint8)[::-1]]
-    arrays = _Arrays(int(sizes.sum()))
-    bwt, lcp, name = column[0].copy(), np.zeros(count, np.int16), (np.arange(count) * OFFSETS + sizes).astype(np.int64 if count * OFFSETS >= 1 << 31 else np.int32)
-    place = np.arange(count)
+    sequence = _File(kind, folder) if folder and int(sizes.sum()) > MEMORY_SUFFIXES else _Memory(kind)
+    sequence.add(column[0].copy(), np.zeros(count, np.int16))
+    sequence.close()
+    total, n = np.bincount(column[0], minlength=len(used) + 1), count
     live = np.flatnonzero(sizes > 0)
+    place = live
     for t in range(1, width + 1):
-        n = len(bwt)
-        order = np.argsort(bwt, kind="stable")
-        rank = np.empty(n, np.int64)
-        rank[order] = np.arange(n)
-        ends = int(np.count_nonzero(bwt == 0))
-        p = place[live]
-        r = rank[p]
-        new = r - ends + count
-        by = np.argsort(new)
-        live, p, r, new = live[by], p[by], r[by], new[by]
-        # common prefixes with the neighbours of the same first symbol, before and after
-        symbol = bwt[p]
-        before, after = order[np.maximum(r - 1, 0)], order[np.minimum(r + 1, n - 1)]
-        has_before = (r - 1 >= ends) & (bwt[before] == symbol)
-        has_after = (r + 1 < n) & (bwt[after] == symbol)
-        low, high = np.zeros(len(p), np.int16), np.zeros(len(p), np.int16)
-        low[has_before] = 1 + _least(lcp, before[has_before], p[has_before])
-        high[has_after] = 1 + _least(lcp, p[has_after], after[has_after])
-        arrays.turn = t
-        total = n + len(new)
-        old = np.ones(total, bool)
-        old[new] = False
-        grown = [arrays.new(k, total, x.dtype) for k, x in (("bwt", bwt), ("lcp", lcp), ("name", name))]
-        for g, x in zip(grown, (bwt, lcp, name), strict=True):
-            g[old] = x
-        bwt, lcp, name = grown
-        bwt[new] = column[t, live] if t <= width else 0
-        lcp[new] = low
-        name[new] = live * OFFSETS + sizes[live] - t
-        follows = new + 1 < total
-        nxt = new[follows] + 1
-        stays = old[nxt]  # a new successor has set its own
-        lcp[nxt[stays]] = high[follows][stays]
-        place[live] = new
-        live = np.sort(live[sizes[live] > t])
-    return np.asarray(name), np.asarray(lcp)
-
-
-def _least(lcp: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Least of lcp[a + 1 .. b] for each pair a < b."""
-    if not len(a):
-        return np.zeros(0, np.int16)
-    cuts = np.stack([a + 1, b + 1], axis=1).ravel()
-    padded = np.append(lcp, np.int16(32767))
-    return np.minimum.reduceat(padded, cuts)[::2]
-
-
-def repeats(segments: list[bytes], orders: list[tuple]) -> list[tuple[int, int, int]]:
+        rank, low, high = _scan(sequence, place, _bases(total, count))
+        by = np.argsort(rank)
+        live, place = live[by], rank[by]
+        symbol, grown = column[t, live], sequence.new()
+        _insert(sequence.read(), n, grown, place, symbol, low[by], high[by])
+        sequence.drop()
+        sequence, n = grown, n + len(live)
+        total = total + np.bincount(symbol, minlength=len(total))
+        stay = sizes[live] > t
+        live, place = live[stay], place[stay]
+    bwt, lcp = (np.concatenate(x) for x in zip(*sequence.read(), strict=True))
+    sequence.drop()
+    # from the empty suffixes, the first ones, each step leads to the suffix with one symbol more
+    order = np.argsort(bwt, kind="stable")
+    step = np.empty(n, np.int64)
+    step[order] = np.arange(n) - np.count_nonzero(bwt == 0) + count
+    name = np.empty(n, np.int64)
+    live = place = np.arange(count)
+    for t in range(width + 1):
+        name[place] = live * OFFSETS + sizes[live] - t
+        stay = sizes[live] > t
+        live, place = live[stay], step[place[stay]]
+    return name, lcp
+
+
+def _bases(total: np.ndarray, count: int) -> np.ndarray:
+    """Where the suffixes of each first symbol begin, behind the ``count`` empty ones."""
+    full = np.where(np.arange(len(total)) == 0, 0, total)
+    return count + np.cumsum(full) - full
+
+
+def repeats(segments: list[bytes], orders: list[tuple[int, int]], folder: str | None = None) -> list[tuple[int, int, int]]:
     """(segment, first window, windows) of each run of windows that have an equal earlier one in the collection.
 
-    ``orders`` are the (document, text, start) places of the segments' first bytes.
+    ``orders`` are the (document, start) places of the segments' first bytes.
     """
-    name, lcp = column_index(segments)
+    name, lcp = column_index(segments, folder)
     sizes = np.array([len(s) for s in segments])
     seg, at = name // OFFSETS, name % OFFSETS
     whole = sizes[seg] - at >= WINDOW
     group = np.cumsum(lcp < WINDOW)[whole]
     seg, at = seg[whole], at[whole]
-    rank = np.empty(len(segments), np.int64)
-    docs = sorted({o[:2] for o in orders})
-    doc = {d: k for k, d in enumerate(docs)}
-    rank = np.array([doc[o[:2]] for o in orders])
-    start = np.array([o[2] for o in orders])[seg] + at
-    by = np.lexsort((start, rank[seg], group))
-    g, s, x, d = group[by], start[by], seg[by], rank[seg[by]]
+    doc, first = (np.array(x, np.int64) for x in zip(*orders, strict=True))
+    d, start = doc[seg], first[seg] + at
+    by = np.lexsort((start, d, group))
+    g, s, x, d = group[by], start[by], seg[by], d[by]
     new = np.append(True, g[1:] != g[:-1])
     head = np.flatnonzero(new)[np.cumsum(new) - 1]
     later = (d != d[head]) | (s != s[head])
@@ -175,18 +275,25 @@ def repeats(segments: list[bytes], orders: list[tuple]) -> list[tuple[int, int,
 
 
 def _minimizers(docs: DataFrame) -> DataFrame:
-    """(h, o, start, n, known, sent): runs of windows; ``known`` if the same task saw the minimizer elsewhere too.
+    """(h, k, tag) of documents (th, k, text): runs of windows of the texts; ``k`` is a hash of the text.
 
-    Of a minimizer that a task sees in several places one row alone is ``sent`` to meet other tasks' rows.
+    ``tag`` is start << 16 | windows << 2 | known << 1 | sent. Known: the same task saw the minimizer in another place
+    too; of a minimizer that a task sees in several places one row alone is sent to meet other tasks' rows. A task looks
+    into equal texts once, as far as it remembers them.
     """
 
     def run(batches):
-        held, n = [], 0
+        held, n, seen = [], 0, set()
         for b in batches:
-            for o, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                h, a, k = window_runs(np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8))
+            for th, k, t in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
+                if th in seen:
+                    continue
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
+                seen.add(th)
+                h, a, count = window_runs(np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8))
                 if len(h):
-                    held.append((h, np.full(len(h), o, np.int64), a, k))
+                    held.append((h.view(np.int64), np.full(len(h), k, np.int64), a << 16 | count << 2))
                     n += len(h)
             if n >= COMBINE:
                 yield combined(held)
@@ -195,108 +302,146 @@ def _minimizers(docs: DataFrame) -> DataFrame:
             yield combined(held)
 
     def combined(held):
-        h, o, a, k = (np.concatenate(x) for x in zip(*held, strict=True))
-        by = np.lexsort((a, o, h))
-        h, o, a, k = h[by], o[by], a[by], k[by]
+        h, k, tag = (np.concatenate(x) for x in zip(*held, strict=True))
+        by = np.argsort(h, kind="stable")
+        h, k, tag = h[by], k[by], tag[by]
         first = np.append(True, h[1:] != h[:-1])
         counts = np.diff(np.append(np.flatnonzero(first), len(h)))
-        cols = [pa.array(h.view(np.int64)), pa.array(o), pa.array(a, pa.int32()), pa.array(k, pa.int16()), pa.array(np.repeat(counts > 1, counts)), pa.array(first)]
-        return pa.RecordBatch.from_arrays(cols, names=["h", "o", "start", "n", "known", "sent"])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (h, k, tag | np.repeat(counts > 1, counts) << 1 | first)], names=["h", "k", "tag"])
 
-    return docs.select("o", "text").mapInArrow(released(run), "h long, o long, start int, n short, known boolean, sent boolean")
+    return docs.select("th", "k", "text").mapInArrow(released(run), "h long, k long, tag long")
 
 
 def _repeated(rows: DataFrame) -> DataFrame:
-    """(h, o, start, n): the rows of ``_minimizers`` whose minimizer occurs in more than one place; a few may be twice."""
-    rows = rows.repartition(F.when(F.col("sent"), F.col("h")).otherwise(F.xxhash64("o", "start"))).sortWithinPartitions("h")
+    """(h, k, start, n): the rows of ``_minimizers`` whose minimizer occurs in more than one place; a few may be twice."""
+    rows = rows.repartition(F.when(F.col("tag").bitwiseAND(F.lit(1)) == 1, F.col("h")).otherwise(F.xxhash64("k", "tag"))).sortWithinPartitions("h")
 
     def run(batches):
         rest, hot = None, None
         for b in batches:
-            t = pa.Table.from_batches([b])
-            rest = t if rest is None else pa.concat_tables([rest, t])
-            if rest.num_rows < 100_000:
+            t = [b.column(c).to_numpy() for c in range(3)]
+            rest = t if rest is None else [np.concatenate(x) for x in zip(rest, t, strict=True)]
+            if len(rest[0]) < 100_000:
                 continue
-            h = rest.column("h").to_numpy()
+            h = rest[0]
             cut = int(np.searchsorted(h, h[-1]))
             if cut:
-                yield from picked(rest.slice(0, cut), hot)
-                rest = rest.slice(cut)
+                yield picked(*(x[:cut] for x in rest), hot)
+                rest = [x[cut:] for x in rest]
             else:  # a minimizer with so many rows is repeated, here and further on
                 hot = h[-1]
-                yield from picked(rest, hot)
+                yield picked(*rest, hot)
                 rest = None
         if rest is not None:
-            yield from picked(rest, hot)
+            yield picked(*rest, hot)
 
-    def picked(t, hot):
-        h, sent, known = (t.column(c).to_numpy() for c in ("h", "sent", "known"))
-        k = np.flatnonzero(sent)
-        keep = known.copy()
-        if len(k):
-            starts = np.flatnonzero(np.append(True, h[k][1:] != h[k][:-1]))
-            counts = np.diff(np.append(starts, len(k)))
-            keep[k] |= np.repeat(counts > 1, counts) | (h[k] == hot if hot is not None else False)
-        if keep.any():
-            yield from t.filter(pa.array(keep)).select(["h", "o", "start", "n"]).combine_chunks().to_batches()
+    def picked(h, k, tag, hot):
+        keep, sent = tag & 2 != 0, np.flatnonzero(tag & 1)
+        if len(sent):
+            mine = h[sent]
+            starts = np.flatnonzero(np.append(True, mine[1:] != mine[:-1]))
+            places = np.zeros(len(starts), bool)  # the same place of equal texts, told by several tasks, is one
+            for x in (k[sent], tag[sent] >> 16):
+                places |= np.minimum.reduceat(x, starts) != np.maximum.reduceat(x, starts)
+            keep[sent] |= np.repeat(places, np.diff(np.append(starts, len(mine)))) | (False if hot is None else mine == hot)
+        h, k, tag = h[keep], k[keep], tag[keep]
+        cols = [pa.array(h), pa.array(k), pa.array((tag >> 16).astype(np.int32)), pa.array((tag >> 2 & 0x3FFF).astype(np.int16))]
+        return pa.RecordBatch.from_arrays(cols, names=["h", "k", "start", "n"])
 
-    return rows.mapInArrow(released(run), "h long, o long, start int, n short")
+    return rows.mapInArrow(released(run), "h long, k long, start int, n short")
 
 
 _unpacked = zstandard.decompress
 
 
-_RUNS = "o long, th long, start int, n int, window binary"
+def _batch(rows, names, kinds):
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
-def _run_batch(rows):
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["o", "th", "start", "n", "window"])
+def _once(rows: DataFrame) -> DataFrame:
+    """(th, o, packed): the texts of rows (th, o, text); a row goes out unless its task remembers an equal text before it."""
+
+    def run(batches):
+        pack, least = zstandard.ZstdCompressor(level=1).compress, {}
+        for b in batches:
+            out = []
+            for th, o, t in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
+                if least.get(th, o + 1) <= o:
+                    continue
+                if len(least) >= REMEMBERED:
+                    least.clear()
+                least[th] = o
+                out.append((th, o, pack(t.encode("utf-8", "surrogatepass"))))
+            if out:
+                yield _batch(out, ["th", "o", "packed"], [pa.binary(), pa.int64(), pa.binary()])
+
+    return rows.select("th", "o", "text").mapInArrow(released(run), "th binary, o long, packed binary")
 
 
 def _pieces(spotted: DataFrame) -> DataFrame:
-    """(h, segment, o, th, start, n, window) of documents (o, th, packed, spots).
+    """(h, segment, d, start, n, window) of documents (d, packed, spots).
 
-    Segments go out once a batch, with their first place in it; other places of theirs are known to repeat and go without
-    bytes. Minimizers of very many places go out as the digests of their single windows.
+    A task sends a segment once, with its first place in the task; other places of it are known to repeat and go without
+    bytes. Minimizers of very many places go as the digests of their single windows, each once likewise.
     """
+    names, kinds = ["h", "segment", "d", "start", "n", "window"], [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 
     def run(batches):
+        firsts: dict[tuple, tuple] = {}
+        out: list[tuple] = []
+
+        def told(key, place, n):
+            old = firsts.setdefault(key, place)
+            if old != place:
+                firsts[key] = min(old, place)
+                out.append((key[0], None, *max(old, place), n, None))
+
+        def flushed():
+            for (h, segment, window), place in firsts.items():
+                out.append((h, segment, *place, 1 if segment is None else len(segment) - WINDOW + 1, window))
+            firsts.clear()
+
         for b in batches:
-            firsts: dict[tuple, tuple] = {}
-            out = []
-            for o, th, t, spots in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+            for d, t, spots in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 data = _unpacked(t)
                 for s in spots:
                     h, a, n = s["h"], s["start"], s["n"]
-                    if a + n + WINDOW - 1 > len(data):  # of another text with the same id
+                    if a + n + WINDOW - 1 > len(data):  # of another text with the same hash
                         continue
                     if s["hot"]:
-                        out += [(h, None, o, th, a + k, 1, hashlib.sha256(data[a + k : a + k + WINDOW]).digest()) for k in range(n)]
-                        continue
-                    key, place = (h, data[a : a + n + WINDOW - 1]), (o, th, a)
-                    old = firsts.setdefault(key, place)
-                    if old != place:
-                        firsts[key] = min(old, place)
-                        out.append((h, None, *max(old, place), n, None))
-            out += [(h, segment, *place, len(segment) - WINDOW + 1, None) for (h, segment), place in firsts.items()]
-            kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+                        for k in range(a, a + n):
+                            told((h, None, hashlib.sha256(data[k : k + WINDOW]).digest()), (d, k), 1)
+                    else:
+                        told((h, data[a : a + n + WINDOW - 1], None), (d, a), n)
+            if len(firsts) >= REMEMBERED:
+                flushed()
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["h", "segment", "o", "th", "start", "n", "window"])
+                yield _batch(out, names, kinds)
+                out = []
+        flushed()
+        if out:
+            yield _batch(out, names, kinds)
 
-    return spotted.select("o", "th", "packed", "spots").mapInArrow(released(run), "h long, segment binary, o long, th long, start int, n int, window binary")
+    return spotted.select("d", "packed", "spots").mapInArrow(released(run), "h long, segment binary, d long, start int, n int, window binary")
 
 
-def _indexed(pieces: DataFrame) -> DataFrame:
-    """Runs (o, th, start, n) of windows that have an equal earlier one, and single windows that are yet to be compared."""
-    rows = pieces.repartition(F.when(F.col("segment").isNull(), F.xxhash64("o", "start")).otherwise(F.col("h"))).sortWithinPartitions("h", "o", "th", "start")
+_RUNS = "d long, start int, n int, window binary"
+
+
+def _run_batch(rows):
+    return _batch(rows, ["d", "start", "n", "window"], [pa.int64(), pa.int32(), pa.int32(), pa.binary()])
+
+
+def _indexed(pieces: DataFrame, folder: str) -> DataFrame:
+    """Runs (d, start, n) of windows that have an equal earlier one, and single windows that are yet to be compared."""
+    rows = pieces.repartition(F.when(F.col("segment").isNull(), F.xxhash64("d", "start")).otherwise(F.col("h"))).sortWithinPartitions("h", "d", "start")
 
     def run(batches):
         segments, orders, group, last, out = [], [], {}, None, []
         for b in batches:
-            for h, segment, o, th, a, n, window in zip(*(b.column(k).to_pylist() for k in range(7)), strict=True):
+            for h, segment, d, a, n, window in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
                 if segment is None:
-                    out.append((o, th, a, n, window))
+                    out.append((d, a, n, window))
                     continue
                 if h != last:
                     if len(group) > 1:  # a segment alone repeats in its copies only
@@ -306,8 +451,8 @@ def _indexed(pieces: DataFrame) -> DataFrame:
                         out += found(segments, orders)
                         segments, orders = [], []
                     group, last = {}, h
-                if group.setdefault(segment, (o, th, a)) != (o, th, a):
-                    out.append((o, th, a, n, None))
+                if group.setdefault(segment, (d, a)) != (d, a):
+                    out.append((d, a, n, None))
             if out:
                 yield _run_batch(out)
                 out = []
@@ -318,50 +463,55 @@ def _indexed(pieces: DataFrame) -> DataFrame:
             yield _run_batch(out)
 
     def found(segments, orders):
-        return [(*orders[s][:2], orders[s][2] + a, n, None) for s, a, n in repeats(segments, orders)]
+        return [(orders[s][0], orders[s][1] + a, n, None) for s, a, n in repeats(segments, orders, folder)]
 
-    return rows.select("h", "segment", "o", "th", "start", "n", "window").mapInArrow(released(run), _RUNS)
+    return rows.select("h", "segment", "d", "start", "n", "window").mapInArrow(released(run), _RUNS)
 
 
-def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """For documents (o, th, text): (first o of each text th), and (o, th, start, n) runs of windows that start earlier too.
+def repeated_windows(rows: DataFrame) -> DataFrame:
+    """(th, o, gone array<struct<start, n>>) for each distinct text ``th`` of rows (o, th, k, text), with its first o.
 
-    Of documents with equal texts the first alone is looked into.
+    ``gone`` are runs of windows that start earlier too, null without any. Later rows of equal text aren't looked into.
     """
-    texts = docs.groupBy("th").agg(F.min("o").alias("o")).checkpoint()
-    spots = stored(_repeated(_minimizers(docs)), "minimizers")
+    folder = shared_dir(rows.sparkSession)
+    # texts numbered in the order of their first rows
+    numbers = stored(rows.groupBy("th", "k").agg(F.min("o").alias("o")).orderBy("o", "th").withColumn("d", F.monotonically_increasing_id()), "numbers")
+    spots = stored(_repeated(_minimizers(rows)), "minimizers")
     hot = spots.groupBy("h").count().where(F.col("count") > MOST_SEGMENTS).select("h", F.lit(True).alias("hot"))
-    spots = spots.join(hot, "h", "left").groupBy("o").agg(F.collect_set(F.struct("h", "start", "n", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("spots"))
-    spots = spots.join(texts.select("o").distinct(), "o", "left_semi")
-    runs = stored(_indexed(_pieces(packed(docs).join(spots, "o"))), "runs")
-    # windows of minimizers with very many places meet one by one, reduced before they move
-    at = F.struct("o", "th", "start")
+    spot = F.struct("h", "start", "n", F.coalesce("hot", F.lit(False)).alias("hot"))
+    by_text = spots.join(hot, "h", "left").groupBy("k").agg(F.collect_set(spot).alias("spots"))
+    spotted = _once(rows).join(by_text.join(numbers, "k").select("th", "o", "d", "spots"), ["th", "o"])
+    runs = stored(_indexed(_pieces(spotted), folder), "runs")
+    drop(spots)
+    # windows of minimizers with very many places meet one by one; a task has sent each once
+    at = F.struct("d", "start")
     single = runs.where("window is not null")
     least = single.groupBy("window").agg(F.min(at).alias("first"))
-    later = single.join(least, "window").where(at != F.col("first")).select("o", "th", "start", "n")
-    return texts, runs.where("window is null").select("o", "th", "start", "n").union(later)
+    later = single.join(least, "window").where(at != F.col("first")).select("d", "start", "n")
+    gone = runs.where("window is null").select("d", "start", "n").union(later).groupBy("d").agg(F.collect_set(F.struct("start", "n")).alias("gone"))
+    found = stored(numbers.join(gone, "d", "left").select("th", "o", "gone"), "repeats")
+    drop(numbers, runs)
+    return found
 
 
 def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept binary) for every row: what a ``WINDOW``-byte string that starts earlier covers goes.
 
     Earlier: in a document of smaller id, or before in the same one, all judged on the input. Null texts are empty. Null
-    ids come last; of one id, documents go by a hash of the text, and rows of the same id and text are one document.
-    Other columns are not read; an empty table gives no rows.
+    ids come last; of one id, documents go by the SHA-256 of the text, of which 16 bytes tell texts apart, and rows of the
+    same id and text are one document. Other columns are not read; an empty table gives no rows.
     """
     prepare(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("o"), F.xxhash64(text).alias("th"), text.alias("text"))
-    texts, runs = repeated_windows(rows.select("o", "th", "text"))
-    gone = runs.groupBy("th").agg(F.collect_list(F.struct("start", "n")).alias("gone"))
-    facts = texts.withColumnRenamed("o", "first").join(gone, "th", "left")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("o"), F.unhex(F.substring(F.sha2(text.cast("binary"), 256), 1, 32)).alias("th"), text.alias("text"))
+    facts = repeated_windows(rows.select("o", "th", F.xxhash64("th").alias("k"), "text")).withColumn("first", F.lit(True))
 
     def cut(batches):
         for b in batches:
             out = []
-            for i, o, first, t, gone in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+            for i, first, t, gone in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
                 data = _unpacked(t)
-                if o != first:
+                if not first:  # its text is that of an earlier row
                     gone = [{"start": 0, "n": len(data) - WINDOW + 1}] if len(data) >= WINDOW else []
                 spans: list[list[int]] = []
                 for a, e in sorted((g["start"], g["start"] + g["n"] + WINDOW - 1) for g in gone or []):
@@ -372,10 +522,8 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 cuts = [0, *(x for s in spans for x in s), len(data)]
                 kept = b"".join(data[a:e] for a, e in zip(cuts[::2], cuts[1::2], strict=True))
                 out.append((i, len(data), len(data) - len(kept), len(spans), kept))
-            kinds = [pa.int64()] * 4 + [pa.binary()]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["id", "n_bytes", "n_removed", "n_spans", "kept"])
-
-    return packed(rows).join(facts, "th").select("id", "o", "first", "packed", "gone").mapInArrow(cut, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
-
+                yield _batch(out, ["id", "n_bytes", "n_removed", "n_spans", "kept"], [pa.int64()] * 4 + [pa.binary()])
 
+    out = packed(rows).join(facts, ["th", "o"], "left").select("id", "first", "packed", "gone")
+    return out.mapInArrow(released(cut), "id long, n_bytes long, n_removed long, n_spans long, kept binary")

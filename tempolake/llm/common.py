@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
-import gc
 import os
 import uuid
 
@@ -14,16 +14,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Used only where the session names no checkpoint folder (tests, a single machine).
+#: Used only where a local session names no checkpoint folder (tests, a single machine).
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
-#: Rows of an Arrow batch, so that a batch of long texts stays within tens of MB.
-BATCH_ROWS = 128
+#: Bytes of an Arrow batch at most (but for a longer row), so that what a task makes of one stays within tens of MB.
+BATCH_BYTES = 256 << 10
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Scratch tables that are still there, with their sessions.
+_left: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local session may do without it."""
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not there:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         os.makedirs(LOCAL_CHECKPOINTS, exist_ok=True)
         there = LOCAL_CHECKPOINTS
     if not spark.sparkContext.getCheckpointDir():
@@ -32,35 +38,81 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Sets the checkpoint folder where there is none, and Arrow batches that suit long texts."""
+    """Sets the checkpoint folder where there is none, and a bound in bytes on Arrow batches where there is a wider one.
+
+    The bound has to hold when the caller runs the plan, so it stays set. Batches of short rows keep their size in rows.
+    """
     shared_dir(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BYTES))
+    if size <= 0 or size > BATCH_BYTES:
+        spark.conf.set(_BYTES, str(BATCH_BYTES))
     return spark
 
 
+@contextlib.contextmanager
+def _setting(spark: SparkSession, key: str, value: str):
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was) if was is not None else spark.conf.unset(key)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a Parquet table in the shared folder and read again: its lineage ends there."""
+    """``df`` written as a Parquet table in the shared folder and read again: its lineage ends there.
+
+    The shuffle files behind it go as soon as it is written. ``drop`` removes the table; what is left goes when Python ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
-    # the shuffle files behind it are let go as soon as the driver's garbage is
-    gc.collect()
-    spark._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    with _setting(spark, _CLEANUP, "true"):
+        df.write.parquet(path)
+    _left[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Removes tables that ``stored`` made and nothing will read again."""
+    for t in tables:
+        _remove(t._scratch, _left.pop(t._scratch))
+
+
+def _remove(path: str, spark: SparkSession) -> None:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
+@atexit.register
+def _drop_left() -> None:
+    for path, spark in _left.items():
+        if spark.sparkContext._jsc is not None:
+            with contextlib.suppress(Exception):  # the JVM may be gone already
+                _remove(path, spark)
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """``name`` with underscores before it until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
-def packed(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``packed``, the UTF-8 of ``text`` under zstd, in its place: texts move at under half their size."""
-    keys = [c for c in docs.columns if c != "text"]
-    schema = T.StructType([docs.schema[c] for c in keys] + [T.StructField("packed", T.BinaryType())])
+def packed(docs: DataFrame, text: str = "text", name: str = "packed") -> DataFrame:
+    """``docs`` with ``name``, the UTF-8 of column ``text`` under zstd, in its place: texts move at under half their size."""
+    keys = [c for c in docs.columns if c != text]
+    schema = T.StructType([docs.schema[c] for c in keys] + [T.StructField(name, T.BinaryType())])
 
     def run(batches):
         pack = zstandard.ZstdCompressor(level=1).compress
         for b in batches:
             zipped = [None if t is None else pack(t.encode("utf-8", "surrogatepass")) for t in b.column(len(keys)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(zipped, pa.binary())], names=[*keys, "packed"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(zipped, pa.binary())], names=[*keys, name])
 
-    return docs.select(*keys, "text").mapInArrow(released(run), schema)
+    return docs.select(*keys, text).mapInArrow(released(run), schema)
 
 
 def released(run):

@@ -180,11 +180,15 @@ def test_line_dedup_by_characters_is_brute_force(spark, monkeypatch, combine, me
     assert sum(x[0] for x in got.values()) > sum(x.n_removed for x in line_dedup.dedup_lines(df).collect())
 
 
-def test_column_index_is_the_suffix_order():
+@pytest.mark.parametrize("memory, block", [(1 << 20, 1 << 18), (10, 1 << 18), (10, 7), (10, 64)])
+def test_column_index_is_the_suffix_order(monkeypatch, tmp_path, memory, block):
+    monkeypatch.setattr(bcr_dedup, "MEMORY_SUFFIXES", memory)
+    monkeypatch.setattr(bcr_dedup, "FILE_BLOCK", block)
     r = random.Random(7)
     segs = [bytes(r.choice(b"ab\x00\xff") for _ in range(r.randrange(1, 30))) for _ in range(40)]
     segs += [segs[0], b"a" * 25]
-    name, lcp = bcr_dedup.column_index(segs)
+    name, lcp = bcr_dedup.column_index(segs, f"file:{tmp_path}")
+    assert not list(tmp_path.iterdir())
     got = [segs[x // bcr_dedup.OFFSETS][x % bcr_dedup.OFFSETS :] for x in name.tolist()]
     assert got == sorted(got) and len(got) == sum(map(len, segs)) + len(segs)
 
@@ -202,15 +206,21 @@ def test_hot_minimizers_keep_every_place(spark):
     places, was = 250_000, spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "1")
     try:
-        rows = spark.range(0, places, 1, 1).selectExpr("7L as h", "id as o", "0 as start", "1S as n", f"id <> {places - 1} as known", f"id in (5, {places - 1}) as sent")
-        assert bcr_dedup._repeated(rows).select("o").distinct().count() == places
+        rows = spark.range(0, places, 1, 1).selectExpr("7L as h", "id as k", f"4L + if(id <> {places - 1}, 2L, 0L) + if(id in (5, {places - 1}), 1L, 0L) as tag")
+        assert bcr_dedup._repeated(rows).select("k").distinct().count() == places
+        # one place that many tasks tell is one
+        rows = spark.range(3).selectExpr("7L as h", "5L as k", "(9L << 16) + 5L as tag").union(spark.range(1).selectExpr("8L", "5L", "5L")).union(spark.range(1).selectExpr("8L", "5L", "(1L << 16) + 5L"))
+        assert sorted((x.h, x.start) for x in bcr_dedup._repeated(rows).collect()) == [(8, 0), (8, 1)]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", was)
 
 
-@pytest.mark.parametrize("most", [20_000, 1])
-def test_byte_dedup_is_brute_force(spark, monkeypatch, most):
+@pytest.mark.parametrize("most, memory, remembered", [(20_000, 400_000, 50_000), (20_000, 100, 50_000), (20_000, 400_000, 1), (1, 400_000, 50_000), (1, 400_000, 1)])
+def test_byte_dedup_is_brute_force(spark, monkeypatch, most, memory, remembered):
     monkeypatch.setattr(bcr_dedup, "MOST_SEGMENTS", most)
+    monkeypatch.setattr(bcr_dedup, "MEMORY_SUFFIXES", memory)
+    monkeypatch.setattr(bcr_dedup, "FILE_BLOCK", 1000)
+    monkeypatch.setattr(bcr_dedup, "REMEMBERED", remembered)
     r = random.Random(6)
     shared = ["".join(r.choice("abcdé ") for _ in range(r.randrange(90, 400))) for _ in range(6)]
     docs = []
@@ -218,9 +228,9 @@ def test_byte_dedup_is_brute_force(spark, monkeypatch, most):
         own = lambda: "".join(r.choice("abcdefgh é") for _ in range(r.randrange(0, 150)))
         s = r.choice(shared)
         docs.append((k, own() + s[r.randrange(0, 50) :] + own() + r.choice(["", r.choice(shared), "z" * r.randrange(90, 260), "xy" * 90]) + own()))
-    docs += [(60, docs[3][1]), (61, None), (62, ""), (63, "q" * 99), (64, "q" * 99), (65, "w" * 100), (66, "w" * 100), (None, docs[8][1]), (3, docs[3][1])]
+    docs += [(60, docs[3][1]), (61, None), (62, ""), (63, "q" * 99), (64, "q" * 99), (65, "w" * 100), (66, "w" * 100), (None, docs[8][1]), (3, docs[3][1]), (3, docs[4][1] + docs[5][1]), (70, docs[9][1] * 300), (None, "n" * 120 + docs[2][1]), (None, "n" * 150)]
     df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, th int")
-    rows = sorted({(10**9 if i is None else i, (t or "").encode()) for i, t in docs})
+    rows = sorted({(10**9 if i is None else i, (t or "").encode()) for i, t in docs}, key=lambda x: (x[0], hashlib.sha256(x[1]).digest()))
     seen, gone = set(), {}
     for d in rows:
         out = np.zeros(len(d[1]), bool)
