@@ -102,7 +102,7 @@ def test_line_dedup_is_brute_force(spark, monkeypatch, combine, meeting):
 
     docs = [(k, "\n".join(r.choice([line(), line(), "", "short one", f"own {k} {r.random()} x y z u v w"]) for _ in range(r.randrange(0, 8)))) for k in range(60)]
     docs += [(70, None), (71, ""), (None, docs[5][1]), (5, docs[5][1])]
-    df = spark.createDataFrame([(*d, 1, 2) for d in docs], "doc_id long, text string, o int, n_lines int")
+    df = spark.createDataFrame([(*d, 1, 2, 3, 4) for d in docs], "doc_id long, text string, o int, n_lines int, packed int, __o int")
     rows = sorted({(10**9 if i is None else i, t) for i, t in docs if t is not None})
     flat = [(i, t, p, " ".join(x.lower().split())) for i, t in rows for p, x in enumerate(t.split("\n"))]
 
@@ -129,7 +129,7 @@ def test_line_dedup_is_brute_force(spark, monkeypatch, combine, meeting):
     want = []
     for i, t in docs:
         g = gone[10**9 if i is None else i, t] if t is not None else set()
-        want.append((i, None if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if p not in g), 1, 2, len(g)))
+        want.append((i, None if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if p not in g), 1, 2, 3, 4, len(g)))
     got = [tuple(x) for x in line_dedup.dedup_lines(df).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert sum(x[-1] for x in got) > 20
@@ -180,6 +180,12 @@ def test_line_dedup_by_characters_is_brute_force(spark, monkeypatch, combine, me
     assert sum(x[0] for x in got.values()) > sum(x.n_removed for x in line_dedup.dedup_lines(df).collect())
 
 
+def test_lines_of_any_text_column(spark):
+    df = spark.createDataFrame([(1, "Same line\nown", 7), (2, "Same line\n" + "x" * 300_000, 8), (3, None, 9)], "id long, body string, text int")
+    got = sorted(tuple(r) for r in line_dedup.dedup_lines(df, "id", "body", characters=True).collect())
+    assert got == [(1, "Same line\nown", 7, 2, 0), (2, "x" * 300_000, 8, 2, 1), (3, None, 9, 0, 0)]
+
+
 @pytest.mark.parametrize("memory, block", [(1 << 20, 1 << 18), (10, 1 << 18), (10, 7), (10, 64)])
 def test_column_index_is_the_suffix_order(monkeypatch, tmp_path, memory, block):
     monkeypatch.setattr(bcr_dedup, "MEMORY_SUFFIXES", memory)
