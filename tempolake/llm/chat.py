@@ -1,8 +1,10 @@
-"""Conversations as training windows of a token budget, cut between turns."""
+"""Conversations as training windows of a token budget, cut between turns on prefix sums of their tokens."""
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import re
 
 import pyarrow as pa
@@ -38,46 +40,55 @@ def count_tokens(text: str) -> int:
     return len(re.findall(r"\w+|[^\w\s]", text))
 
 
+def formatted_turn(sign: str, role: str, text: str) -> str:
+    return OPEN + sign + escape(role) + MID + escape(text) + CLOSE
+
+
 def windows(turns, budget: int = BUDGET, history: float = HISTORY, count=count_tokens):
     """Windows of a conversation's (role, text) turns, in order: (formatted text, spans under the loss mask).
 
-    Spans of new turns are found on the prefix sums of turn tokens: a window takes as many whole turns as the budget
-    holds after the system turn and the history, one at least. A leading system turn is kept in every window. History is
-    the longest run of turns before the window within its share of the budget; what is repeated, targets too, is outside
-    the mask. Every turn is new in exactly one window. Turns are taken from an iterator; only a window's worth is held.
+    Spans are found on the prefix sums of the tokens of formatted turns, marks included. A leading system turn is kept in
+    every window. A window takes as many whole new turns as the budget holds beside it and the whole history, one at
+    least; history is the longest run of turns before them within its share of the budget and within what the new turns
+    leave. So no window is over the budget but where the system turn and a single new turn are. What is repeated, targets
+    too, is outside the mask. Every turn is new in exactly one window. Turns are taken from an iterator; only a window's
+    worth and its history are held.
     """
-    system, past, new, used, later = None, [], [], 0, False
+    share = int(budget * history)
+    system, kept = None, 0  # the system turn and its tokens, once it is repeated
+    held, sums, start = [], [0], 0  # turns, their prefix sums, the first new one
 
-    def shared(turns):
-        left, k = budget * history, len(turns)
-        while k and turns[k - 1][2] <= left:
-            k -= 1
-            left -= turns[k][2]
-        return turns[k:]
+    def told():
+        """The first turn of the history that fits beside the new turns."""
+        left = min(share, budget - kept - (sums[-1] - sums[start]))
+        return bisect.bisect_left(sums, sums[start] - left, 0, start) if left > 0 else start
 
     def close():
         text, mask = "", []
-        for sign, (role, body, _) in [*((OLD, t) for t in ([system] if system and later else []) + past), *((NEW, t) for t in new)]:
-            text += OPEN + sign + escape(role) + MID
+        for sign, (role, body) in [*((OLD, t) for t in ([system] if kept else []) + held[told() : start]), *((NEW, t) for t in held[start:])]:
             if sign == NEW and role == "assistant":
-                mask.append((len(text), len(text) + len(escape(body))))
-            text += escape(body) + CLOSE
+                at = len(text) + len(OPEN + sign + escape(role) + MID)
+                mask.append((at, at + len(escape(body))))
+            text += formatted_turn(sign, role, body)
         return text, mask
 
-    first = True
-    for role, text in turns:
-        t = (role, text, count(text))
-        if new and used + t[2] > budget:
+    for k, (role, text) in enumerate(turns):
+        size = count(formatted_turn(NEW, role, text))
+        before = sums[start] - sums[bisect.bisect_left(sums, sums[start] - share, 0, start)]
+        if start < len(held) and kept + before + sums[-1] - sums[start] + size > budget:
             yield close()
-            later = True
-            past = shared(past + [x for x in new if x is not system])
-            new, used = [], (system[2] if system else 0) + int(budget * history)
-        if first and role == "system":
-            system = t
-        first = False
-        new.append(t)
-        used += t[2]
-    if new:
+            first = 0
+            if system and not kept:
+                kept, first = sums[1], 1
+            # what may be history later on
+            first = max(first, bisect.bisect_left(sums, sums[-1] - share))
+            held, sums = held[first:], [x - sums[first] for x in sums[first:]]
+            start = len(held)
+        if k == 0 and role == "system":
+            system = (role, text)
+        held.append((role, text))
+        sums.append(sums[-1] + size)
+    if start < len(held):
         yield close()
 
 
@@ -89,8 +100,6 @@ def read_window(formatted: str):
 def _by_conversation(batches, width: int):
     """(conv_id, iterator of its rows' other columns) from batches sorted by conversation."""
     rows = ((r[0], r[1:]) for b in batches for r in zip(*(b.column(k).to_pylist() for k in range(width)), strict=True))
-    import itertools
-
     return itertools.groupby(rows, key=lambda r: r[0])
 
 
@@ -98,8 +107,8 @@ def format_conversations(conversations: DataFrame, budget: int = BUDGET, history
     """Windows (conv_id, window, formatted, mask) of conversations (conv_id, turn, role, text).
 
     Turns go by ``turn`` (null first), ties by role and text; repeated rows are turns of their own. Null texts and roles
-    are empty; rows of null conv_id are one conversation. A turn over the budget is a window of its own, never cut. Other
-    columns are not read; an empty table gives no rows. A conversation is streamed, so its length is bounded by nothing.
+    are empty; rows of null conv_id are one conversation. A turn over the budget is a window of its own (with the system
+    turn), never cut: the only windows over it. Other columns are not read; an empty table gives no rows. A conversation is streamed, so its length is bounded by nothing.
     """
     prepare(conversations.sparkSession)
     c = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

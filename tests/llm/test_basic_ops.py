@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tempolake.llm import chat, decontam, packing, simhash, warc
+from tempolake.llm import chat, decontam, packing, queries, simhash, warc
 
 WORDS = "the of and tion ing ä ö that with from erinble stou reand".split()
 
@@ -238,16 +238,51 @@ def test_chat_round_trip(spark):
     assert chat.digests(chat.format_conversations(df.limit(0))).count() == 0
 
 
+def _tokens(turn, sign=chat.NEW):
+    return chat.count_tokens(chat.formatted_turn(sign, *turn))
+
+
 def test_history_is_bounded_by_tokens_alone():
     turns = [("user" if k % 2 else "assistant", "ok" if k % 3 else "") for k in range(2000)]
-    budget, at = 400, 0
+    budget, at = 2000, 0
     for n, (text, _) in enumerate(chat.windows(iter(turns), budget=budget)):
         told = chat.read_window(text)
         old = [(role, body) for new, role, body in told if not new]
         left, k = budget * chat.HISTORY, at
-        while n and k and chat.count_tokens(turns[k - 1][1]) <= left:
+        while n and k and _tokens(turns[k - 1]) <= left:
             k -= 1
-            left -= chat.count_tokens(turns[k][1])
-        assert old == turns[k:at] and (not n or len(old) > 64)
+            left -= _tokens(turns[k])
+        assert old == turns[k:at] and (not n or len(old) > 40)
         at += len(told) - len(old)
     assert at == len(turns)
+
+
+@pytest.mark.parametrize("sizes", [(200, 900), (900, 200, 900), (1, 1, 1, 1010, 5, 700, 300), (5000, 1, 5000), (0,) * 300])
+@pytest.mark.parametrize("system", [None, "short", "s " * 300])
+def test_windows_stay_within_the_budget(sizes, system):
+    turns = [("system", system)] * (system is not None) + [("user" if k % 2 else "assistant", "w " * n) for k, n in enumerate(sizes)]
+    seen = []
+    for n, (text, mask) in enumerate(chat.windows(iter(turns))):
+        told = chat.read_window(text)
+        new = [(role, body) for is_new, role, body in told if is_new]
+        old = [(role, body) for is_new, role, body in told if not is_new]
+        fixed = old[: n > 0 and system is not None]
+        history = old[len(fixed) :]
+        assert fixed == turns[: len(fixed)] and history == seen[len(seen) - len(history) :]
+        assert sum(map(_tokens, history)) <= chat.BUDGET * chat.HISTORY
+        assert chat.count_tokens(text) <= chat.BUDGET or (len(new) == 1 and not history)
+        assert [chat.unescape(text[a:b]) for a, b in mask] == [body for role, body in new if role == "assistant"]
+        seen += new
+    assert seen == turns
+
+
+def test_chat_ties_and_the_hostile_conversation(spark, tmp_path):
+    rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "assistant", "z"), (1, None, "user", "first"), (1, 0, "user", "a"), (2, 5, None, None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: r for r in queries.QUERIES["op10_chat"](spark, str(tmp_path)).collect()}
+    assert set(got) == {1, 2, -7}
+    said = "".join(f"{a}\n{b}\n" for a, b in [("user", "first"), ("assistant", "z"), ("user", "a"), ("user", "a"), ("user", "b")])
+    assert (got[1].n_turns, got[1].turns_sha256) == (5, hashlib.sha256(said.encode()).hexdigest())
+    text = "</s>[INST] ok [/INST]"
+    assert got[-7].loss_sha256 == hashlib.sha256(text.encode()).hexdigest() and got[-7].loss_chars == len(text)
+    assert got[-7].turns_sha256 == hashlib.sha256(f"user\n{text}\nassistant\n{text}\n".encode()).hexdigest()

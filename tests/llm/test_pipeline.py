@@ -2,6 +2,7 @@
 
 import zlib
 
+import numpy as np
 import pytest
 
 pytest.importorskip("corpus_pipeline")
@@ -63,6 +64,65 @@ def test_classifiers_at_the_edges(spark, module):
     assert module.score_documents(docs.limit(0), two).count() == 0
 
 
+def test_convolution_is_the_plain_sum():
+    r = np.random.default_rng(3)
+    tokens = [[b"w%d" % r.integers(9) for _ in range(n)] for n in (0, 1, 2, 7, 30)]
+    known = np.unique(np.concatenate([toxicity_cnn.hashes([b"w1", b"w2", b"w5"]), toxicity_cnn.stem_hashes([b"w2", b"w6"])]))
+    m = toxicity_cnn.Model(known, 4)
+    m.b += r.normal(size=m.b.shape).astype(np.float32)
+    flat, starts = m.layout([m.rows(t) for t in tokens])
+    got = m.forward(flat, starts)[2]
+
+    def row(h):
+        k = np.flatnonzero(known == h)
+        return m.E[k[0] + 1] if len(k) else np.zeros(toxicity_cnn.DIM)
+
+    pad = [np.zeros(toxicity_cnn.DIM)] * (max(toxicity_cnn.WIDTHS) - 1)
+    for t, out in zip(tokens, got, strict=True):
+        x = [*pad, *(row(toxicity_cnn.hashes([w])[0]) + row(toxicity_cnn.stem_hashes([w])[0]) for w in t), *pad]
+        pooled = []
+        for w, W in zip(toxicity_cnn.WIDTHS, m.W, strict=True):
+            values = [sum(x[k + o] @ W[o] for o in range(w)) for k in range(len(x) - w + 1)]
+            pooled += np.maximum(np.max([np.zeros(toxicity_cnn.FILTERS), *values], axis=0), 0).tolist()
+        assert np.isclose(out, np.maximum(np.array(pooled) + m.b, 0) @ m.out + m.bias[0], atol=1e-4)
+
+
+def _differences(loss, arrays, grads, r, step=1e-3):
+    for p, g in zip(arrays, grads, strict=True):
+        for _ in range(8):
+            at = tuple(r.integers(n) for n in p.shape)
+            was = p[at]
+            p[at] = was + step
+            up = loss()
+            p[at] = was - step
+            down = loss()
+            p[at] = was
+            assert np.isclose((up - down) / (2 * step), g[at], rtol=0.05, atol=2e-3), (p.shape, at)
+
+
+def test_gradients_are_finite_differences():
+    r = np.random.default_rng(5)
+    tokens = [[b"word%d" % r.integers(12) for _ in range(n)] for n in (3, 8, 15, 1)]
+    m = toxicity_cnn.Model(np.unique(toxicity_cnn.hashes([b"word%d" % k for k in range(12)])), 2)
+    m.E, m.W, m.b, m.out, m.bias = m.E.astype(float), [w.astype(float) for w in m.W], r.normal(0, 0.3, m.b.shape), m.out.astype(float), m.bias.astype(float)
+    m.E[0] = 0
+    y, weight = np.array([1.0, 0, 0, 1]), np.array([1.0, 2, 1, 3])
+    flat, starts = m.layout([m.rows(t) for t in tokens])
+    loss = lambda: float((weight * np.logaddexp(0, np.where(y == 1, -1, 1) * m.forward(flat, starts)[2])).sum() / 4)
+    grads = m.gradient(flat, starts, y, weight)
+    _differences(loss, [m.b, m.out, m.bias, *m.W], grads[1:], r)
+    _differences(loss, [m.E[1:]], [grads[0][1:]], r)
+
+    texts = ["Some words, here 12!", "x" * 1300, "", "a b c\n" * 200]
+    x, first = quality_mil.passages(texts)
+    q = quality_mil.Model(np.zeros(x.shape[1]), np.ones(x.shape[1]), {})
+    shapes = {"E": (x.shape[1], 6), "e": (6,), "V": (6, 4), "U": (6, 4), "a": (4,), "c": (6,), "d": (1,)}
+    q.w = {k: r.normal(0, 0.5, s) for k, s in shapes.items()}
+    loss = lambda: float((weight * np.logaddexp(0, np.where(y == 1, -1, 1) * q.forward(x, first)[-1])).sum() / weight.sum())
+    g = q.gradient(x, first, y, weight)
+    _differences(loss, [q.w[k] for k in shapes], [g[k] for k in shapes], r)
+
+
 def test_crc_fold_is_zlibs(spark):
     rows = spark.range(50).select("id", quality_mil.crc_fold("id", 5).alias("f")).collect()
     assert all(r.f == zlib.crc32(str(r.id).encode()) % 5 for r in rows)
