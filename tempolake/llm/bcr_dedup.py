@@ -21,7 +21,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, packed, prepare, released, shared_dir, stored
+from .common import drop, packed, prepare, released, shared_dir, stored, text_key
 
 WINDOW, GRAM = 100, 40
 SPAN = WINDOW - GRAM + 1
@@ -33,6 +33,8 @@ MEMORY_SUFFIXES, FILE_BLOCK = 400_000, 1 << 18
 MOST_SEGMENTS = 20_000
 #: Minimizers that a task combines before it sends them on, texts and segments that it remembers.
 COMBINE, REMEMBERED = 400_000, 50_000
+#: Parts that the places of one minimizer are dealt out to where they are marked as very many.
+SALTS = 64
 #: More than a segment's bytes.
 OFFSETS = 256
 LAST = (1 << 63) - 1
@@ -478,8 +480,10 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
     numbers = stored(rows.groupBy("th", "k").agg(F.min("o").alias("o")).orderBy("o", "th").withColumn("d", F.monotonically_increasing_id()), "numbers")
     spots = stored(_repeated(_minimizers(rows)), "minimizers")
     hot = spots.groupBy("h").count().where(F.col("count") > MOST_SEGMENTS).select("h", F.lit(True).alias("hot"))
+    hot = hot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # its places are dealt out
+    salted = spots.withColumn("salt", F.pmod(F.xxhash64("k", "start"), F.lit(SALTS)).cast("int"))
     spot = F.struct("h", "start", "n", F.coalesce("hot", F.lit(False)).alias("hot"))
-    by_text = spots.join(hot, "h", "left").groupBy("k").agg(F.collect_set(spot).alias("spots"))
+    by_text = salted.join(hot, ["h", "salt"], "left").groupBy("k").agg(F.collect_set(spot).alias("spots"))
     spotted = _once(rows).join(by_text.join(numbers, "k").select("th", "o", "d", "spots"), ["th", "o"])
     runs = stored(_indexed(_pieces(spotted), folder), "runs")
     drop(spots)
@@ -503,7 +507,7 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     prepare(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("o"), F.unhex(F.substring(F.sha2(text.cast("binary"), 256), 1, 32)).alias("th"), text.alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("o"), text_key(text).alias("th"), text.alias("text"))
     facts = repeated_windows(rows.select("o", "th", F.xxhash64("th").alias("k"), "text")).withColumn("first", F.lit(True))
 
     def cut(batches):

@@ -10,7 +10,7 @@ import uuid
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -101,6 +101,17 @@ def fresh(name: str, columns: list[str]) -> str:
     return name
 
 
+def text_key(*columns: Column | str) -> Column:
+    """16 bytes of a SHA-256 that tell values of the columns apart; null and empty are one where there is a single column."""
+    values = [(F.col(c) if isinstance(c, str) else c).cast("string") for c in columns]
+    if len(values) == 1:
+        whole = F.coalesce(values[0], F.lit(""))
+    else:
+        # lengths go first, so that no two lists of values make one string
+        whole = F.concat(*(F.concat(F.coalesce(F.length(v).cast("string"), F.lit("null")), F.lit(" ")) for v in values), *(F.coalesce(v, F.lit("")) for v in values))
+    return F.unhex(F.substring(F.sha2(whole.cast("binary"), 256), 1, 32))
+
+
 def packed(docs: DataFrame, text: str = "text", name: str = "packed") -> DataFrame:
     """``docs`` with ``name``, the UTF-8 of column ``text`` under zstd, in its place: texts move at under half their size."""
     keys = [c for c in docs.columns if c != text]

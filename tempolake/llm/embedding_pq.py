@@ -177,7 +177,11 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vec"))
     bad = F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | ~F.exists("vec", lambda x: x != 0)
     good = F.col("vec").isNotNull() & ~F.coalesce(bad, F.lit(True))
-    whole = rows.where(good)
+    # far from 1, components are scaled by a power of two, which is exact, so that no square overflows or vanishes
+    most = F.array_max(F.transform("vec", F.abs))
+    by = F.pow(F.lit(2.0), F.greatest(F.lit(-1000.0), F.least(F.lit(1000.0), -F.floor(F.log2(most)).cast("double"))))
+    scaled = F.when((most > 1e100) | (most < 1e-100), F.transform("vec", lambda x: x * by)).otherwise(F.col("vec"))
+    whole = rows.where(good).withColumn("vec", scaled)
     # an id for each distinct vector; fixed by the checkpoint
     classes = whole.groupBy("vec").agg(F.min("id").alias("first"), F.count("*").alias("copies")).withColumn("uid", F.monotonically_increasing_id()).checkpoint()
     sizes = {r.dim: r["count"] for r in classes.groupBy(F.size("vec").alias("dim")).count().collect()}

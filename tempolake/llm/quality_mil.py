@@ -169,7 +169,7 @@ def _best_cut(out: np.ndarray, clean: np.ndarray, clean_weight: float = 4.0) ->
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, fold, rows: int, most_bytes: int):
-    """At most ``rows`` labelled (text, label) rows of either class outside the held-out fold, picked by hash of the text."""
+    """At most ``rows`` labelled (text, label) rows of either class outside the held-out fold, picked by hash of the id."""
     marks = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull() & fold).groupBy(id_col).agg(F.max(label).alias("y"))
     picked = None
     for y in (0, 1):

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, prepare, released
+from .common import connected_components, fresh, prepare, released, text_key
 
 MAX_BITS = 4
 WORDS = 4
@@ -45,7 +45,7 @@ def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, th, fp long) for every row, ``th`` a hash of the text; the 64 bits of ``fp`` are to be read as unsigned."""
+    """(id, th, fp long) for every row, ``th`` 16 bytes that tell texts apart; the 64 bits of ``fp`` are to be read as unsigned."""
 
     def run(batches):
         for b in batches:
@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp, pa.int64())], names=["id", "th", "fp"])
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text), text).mapInArrow(released(run), "id long, th long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), text_key(text), text).mapInArrow(released(run), "id long, th binary, fp long")
 
 
 def _anchors(half: Column, which: int) -> Column:
@@ -93,6 +93,8 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     if max_bits > 4:
         raise ValueError("the anchors cover at most 4 differing bits")
     low, high = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32)
+    # a fixed number of tasks: a fingerprint makes 34 rows, so their size before says little
+    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     rows = fps.select("fp", F.explode(F.concat(_anchors(low, 0), _anchors(high, 1))).alias("anchor"))
     full = rows.groupBy("anchor").count().where(F.col("count") > 1).select("anchor", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     rows = rows.join(full, "anchor")
@@ -170,10 +172,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """``docs`` with one row of each component: that of smallest id, null last; of one id by a hash of the text."""
-    o, th = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    keyed = docs.withColumns({"__o": o, "__th": th})
+    o, th = fresh("__o", docs.columns), fresh("__th", docs.columns)
+    keyed = docs.withColumns({o: F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)), th: text_key(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
     fps, named = _classes(keyed, id_col, text_col, max_bits)
     # the text's hash goes along with the fingerprint, so that rows of one id are told apart
-    least = fps.groupBy("fp").agg(F.min(F.struct(F.coalesce("id", F.lit((1 << 63) - 1)).alias("__o"), F.col("th").alias("__th"))).alias("w"))
+    least = fps.groupBy("fp").agg(F.min(F.struct(F.coalesce("id", F.lit((1 << 63) - 1)).alias(o), F.col("th").alias(th))).alias("w"))
     winners = least.join(named.select("fp", "root"), "fp").groupBy("root").agg(F.min("w").alias("w")).select("w.*")
-    return keyed.join(winners, ["__o", "__th"], "left_semi").dropDuplicates(["__o", "__th"]).drop("__o", "__th")
+    return keyed.join(winners, [o, th], "left_semi").dropDuplicates([o, th]).drop(o, th)

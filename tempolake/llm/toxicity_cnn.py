@@ -235,7 +235,11 @@ def _scorer(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, fold
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold=None) -> DataFrame:
-    """The rows of ``docs`` that score under 0.5, as they are; no shuffle. Without labels of either class (score 0.5) no row can be judged and all stay."""
+    """The rows of ``docs`` that score under 0.5, as they are, in whatever columns; no shuffle.
+
+    Null texts are empty and are judged like a text of unknown words; repeated rows go or stay together; null ids and an
+    empty table are like any other. Without labels of either class (score 0.5) no row can be judged and all stay.
+    """
     score = _scorer(docs, labels, id_col, text_col, fold)
     if score is None:
         return docs

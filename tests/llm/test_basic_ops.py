@@ -200,6 +200,9 @@ def test_decontamination_is_brute_force(spark, docs, monkeypatch):
         monkeypatch.setattr(decontam.window_blocks, "__defaults__", (10, block))
         got = sorted(((r.id, r.n_words, r.n_hit, r["items"]) for r in decontam.decontaminate(docs, bench).collect()), key=str)
         assert got == sorted(((r.doc_id, *slow_leaks(r.text, items)) for r in docs.collect()), key=str)
+    kept = decontam.without_contaminated(docs.withColumn("__key", F.lit(5)), bench)
+    assert sorted(str(tuple(r)) for r in kept.collect()) == sorted(str((*r, 5)) for r in docs.collect() if not slow_leaks(r.text, items)[1])
+    assert decontam.without_contaminated(docs, bench.limit(0)).count() == docs.count()
     assert decontam.decontaminate(docs.limit(0), bench).count() == 0
     assert decontam.decontaminate(docs, bench.limit(0)).where("n_hit > 0").count() == 0
 
