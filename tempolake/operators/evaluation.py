@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import chess
+from .relational import ranked_value
+
 
 def ir_metrics(queries: DataFrame, hits: DataFrame, qrels: DataFrame, k: int = 10, query_id: str = "qid", doc_id: str = "doc_id") -> DataFrame:
     """(query_id, n_relevant, recall, precision, rr, hit, ndcg) of every query; one without hits scores 0, recall is null without relevant ones."""
@@ -17,11 +22,25 @@ def ir_metrics(queries: DataFrame, hits: DataFrame, qrels: DataFrame, k: int = 1
 
 
 def temporal_split(df: DataFrame, keys: list[str], order: list[str], test_share: float = 0.25) -> DataFrame:
-    """Adds ``split``: the last floor(share * n) rows of each group, one at least, are "test"."""
+    """Adds ``split``: the last floor(share * n) rows of each group, one at least, are "test".
+
+    The cut is found on counts by the first column of ``order``; only rows that share its value there are ranked.
+    """
+    first, rest = order[0], order[1:] or order
     w = Window.partitionBy(*keys)
-    n = F.count("*").over(w)
-    left = n - F.row_number().over(w.orderBy(*order))
-    return df.withColumn("split", F.when(left < F.greatest(F.lit(1), F.floor(n * test_share)), "test").otherwise("train"))
+    counts = df.groupBy(*keys, first).agg(F.count("*").alias("__c"))
+    counts = counts.withColumns({"__upto": F.sum("__c").over(w.orderBy(first)), "__n": F.sum("__c").over(w)})
+    train = F.col("__n") - F.greatest(F.lit(1), F.floor(F.col("__n") * test_share))
+    cut = F.min(F.struct("__upto", F.col(first).alias("at"), (train - (F.col("__upto") - F.col("__c"))).alias("left")))
+    cuts = counts.where(F.col("__upto") > train).groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(cut.alias("__cut"))
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    rows = df.join(cuts, reduce(lambda a, b: a & b, same, F.lit(True)))
+    at = F.col("__cut.at")
+    there, later = F.col(first).eqNullSafe(at), F.coalesce(F.col(first) > at, F.col(first).isNotNull())
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*rest))
+    tied = rows.where(there).withColumn("split", F.when(place > F.col("__cut.left"), "test").otherwise("train"))
+    out = rows.where(~there).withColumn("split", F.when(later, "test").otherwise("train")).union(tied)
+    return out.select(*df.columns, "split")
 
 
 def average_rank(value: str, keys: list[str]) -> Column:
@@ -39,6 +58,68 @@ def spearman(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     return s.select(*keys, "n", F.when((F.col("n") > 1) & (down > 1e-12), cov("__a__b", "sa", "sb") / down).alias("rho"))
 
 
+def prediction(df: DataFrame, keys: list[str], label: str, train: Column) -> DataFrame:
+    """(keys, n_test, top1, top3, base, lift, coverage): how often a group's commonest labels before the cut name those after it.
+
+    ``base`` takes the commonest label over all groups; ``coverage`` is the share of later labels that some group had before.
+    Null and empty labels don't count; ties go by label.
+    """
+    counts = df.where(F.length(label) > 0).groupBy(*keys, label).agg(F.count_if(train).alias("tr"), F.count_if(~train).alias("te"))
+    w = Window.partitionBy(*keys).orderBy(F.desc("tr"), label)
+    known = counts.groupBy(label).agg(F.sum("tr").alias("all"))
+    usual = known.agg(F.min(F.struct((-F.col("all")).alias("less"), label)).getField(label).alias("usual"))  # one row
+    ranked = counts.withColumn("k", F.when(F.col("tr") > 0, F.row_number().over(w))).join(known, label).join(F.broadcast(usual))
+    share = lambda c: F.sum(F.when(c, F.col("te")).otherwise(0)) / F.sum("te")
+    shares = {"top1": F.col("k") == 1, "top3": F.col("k") <= 3, "base": F.col(label) == F.col("usual"), "coverage": F.col("all") > 0}
+    out = ranked.groupBy(*keys).agg(F.sum("te").alias("n_test"), *(share(c).alias(n) for n, c in shares.items())).where("n_test > 0")
+    return out.withColumn("lift", F.col("top1") - F.col("base"))
+
+
+def rate_persistence(df: DataFrame, keys: list[str], label: str, value: str, train: Column, k: int = 5) -> DataFrame:
+    """(keys, n_labels, n_train, n_test, rho, overlap): whether labels are as frequent after the cut as before.
+
+    ``rho`` is the rank correlation of their rates; ``overlap`` the share of the ``k`` labels of greatest total value
+    before the cut that are among the ``k`` after it. Groups with no row on one side are left out; ties go by label.
+    """
+    side = lambda c: F.when(c, F.coalesce(F.col(value), F.lit(0))).otherwise(0)
+    sums = df.groupBy(*keys, label).agg(F.count_if(train).alias("a"), F.count_if(~train).alias("b"), F.sum(side(train)).alias("va"), F.sum(side(~train)).alias("vb"))
+    w = Window.partitionBy(*keys)
+    rows = sums.withColumns({"ra": F.row_number().over(w.orderBy(F.desc("va"), label)), "rb": F.row_number().over(w.orderBy(F.desc("vb"), label))})
+    facts = rows.groupBy(*keys).agg(F.count("*").alias("n_labels"), F.sum("a").alias("n_train"), F.sum("b").alias("n_test"), (F.count_if((F.col("ra") <= k) & (F.col("rb") <= k)) / F.least(F.lit(k), F.count("*"))).alias("overlap"))
+    # rates are counts over one number a side, so their ranks are those of the counts
+    return facts.where("n_train > 0 and n_test > 0").join(spearman(sums, keys, "a", "b").select(*keys, "rho"), keys) if keys else facts.join(F.broadcast(spearman(sums, keys, "a", "b").select("rho")))
+
+
+def value_persistence(df: DataFrame, label: str, unit: str, value: str, train: Column, least_train: int = 4, least_test: int = 2, least_shared: int = 3) -> DataFrame:
+    """One row (n_shared, rho): rank correlation of labels' mean values before and after the cut.
+
+    Labels count that have values in ``least_train`` units before and ``least_test`` after; ``rho`` is null for fewer
+    than ``least_shared`` of them.
+    """
+    mean = lambda c: F.avg(F.when(c, F.col(value)))
+    units = lambda c: F.countDistinct(F.when(c & F.col(value).isNotNull(), F.col(unit)))
+    rows = df.where(F.length(label) > 0).groupBy(label).agg(mean(train).alias("a"), mean(~train).alias("b"), units(train).alias("ua"), units(~train).alias("ub"))
+    out = spearman(rows.where((F.col("ua") >= least_train) & (F.col("ub") >= least_test)), [], "a", "b")
+    return out.select(F.col("n").alias("n_shared"), F.when(F.col("n") >= least_shared, F.col("rho")).alias("rho"))
+
+
+def recommendations(chosen: DataFrame, deep: DataFrame) -> DataFrame:
+    """One row that holds recommended moves against a deeper search: n, agree_1, agree_2, mean, median and max cost, over_100.
+
+    ``chosen``: (pos_key, best_uci). ``deep``: a row for each move searched at the deeper depth, (pos_key, uci, rank, score_cp,
+    mate), rank 1 the best, scores from the mover's side; the recommended move's own row gives its price there. Positions
+    without the best or without the recommended move are left out.
+    """
+    priced = deep.withColumn("cp", chess.clamped(F.col("score_cp"), F.col("mate")))
+    best = priced.where("rank = 1").select("pos_key", F.col("cp").alias("most"))
+    mine = priced.select("pos_key", F.col("uci").alias("best_uci"), "cp", "rank")
+    rows = chosen.join(best, "pos_key").join(mine, ["pos_key", "best_uci"]).withColumn("cost", F.greatest(F.lit(0), F.col("most") - F.col("cp")))
+    share = lambda c: F.avg(c.cast("double"))
+    sums = rows.agg(share(F.col("rank") == 1).alias("agree_1"), share(F.col("rank") <= 2).alias("agree_2"), F.avg("cost").alias("mean_cost"), F.max("cost").alias("max_cost"), F.count_if(F.col("cost") >= 100).alias("over_100"))
+    median = ranked_value(rows.withColumn("__all", F.lit(0)), ["__all"], "cost", F.floor(F.col("n") / 2), "median_cost")
+    return sums.join(F.broadcast(median.drop("__all")), how="left").select(F.coalesce("n", F.lit(0)).alias("n"), "agree_1", "agree_2", "mean_cost", "median_cost", "max_cost", "over_100")  # one row each
+
+
 def ground(claims: DataFrame, facts: DataFrame, keys: list[str], value: str, tolerance: float = 1.0) -> DataFrame:
     """Claims with ``resolves`` (their keys exist among the facts), ``supported`` (and the value is right within the tolerance)."""
     known = facts.select(*keys, F.col(value).alias("__fact"))

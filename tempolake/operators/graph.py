@@ -106,12 +106,13 @@ def positions_for_opening(edges: DataFrame, opening: str, min_count: int = 1) ->
     return edges.where((F.col("rel") == "leads_to") & (F.col("src") == f"opening:{opening}") & (F.col("count") >= min_count))
 
 
-def mistakes_in_opening(edges: DataFrame, player: str, opening: str) -> DataFrame:
-    """Where the opening leads and the player errs, with the themes shown there; worst first."""
-    led = positions_for_opening(edges, opening).select("dst").distinct()
-    erred = edges.where((F.col("rel") == "blunders_at") & (F.col("src") == f"player:{player.lower()}")).select("dst", "count", "avg_cp_loss", "examples").join(led, "dst", "left_semi")
+def mistakes_in_opening(edges: DataFrame, player: str | None, opening: str, min_count: int = 1) -> DataFrame:
+    """Where the opening leads and the player (null: any player) errs, with the themes shown there; worst first."""
+    led = positions_for_opening(edges, opening, min_count).select("dst").distinct()
+    who = F.lit(True) if player is None else F.col("src") == f"player:{player.lower()}"
+    erred = edges.where((F.col("rel") == "blunders_at") & who).select(F.col("src").alias("player"), "dst", "count", "avg_cp_loss", "examples").join(led, "dst", "left_semi")
     shown = edges.where(F.col("rel") == "exhibits").groupBy(F.col("src").alias("dst")).agg(F.array_sort(F.collect_set(F.substring_index("dst", ":", -1))).alias("themes"))
-    return erred.join(shown, "dst", "left").orderBy(F.desc(F.col("avg_cp_loss") * F.col("count")), "dst")
+    return erred.join(shown, "dst", "left").orderBy(F.desc(F.col("avg_cp_loss") * F.col("count")), "dst", "player")
 
 
 def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:

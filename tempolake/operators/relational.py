@@ -28,6 +28,60 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return both.groupBy(*keys).agg(F.max(F.struct("__turn", *rest)).alias("__row")).select(*keys, *(F.col(f"__row.{c}").alias(c) for c in rest)).select(old.columns)
 
 
+def top_totals(rows: DataFrame, keys: list[str], value: str, k: int) -> DataFrame:
+    """(keys, n, mean, total): the ``k`` groups whose values sum up to most; ties go by key."""
+    out = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.sum(value).alias("total"))
+    return out.orderBy(F.desc_nulls_last("total"), *keys).limit(k)
+
+
+def worst_means(rows: DataFrame, key: str, unit: str, value: str, least: int, k: int, *more: Column) -> DataFrame:
+    """(key, units, mean, n, more): the ``k`` keys of highest mean value among those seen in ``least`` units or more."""
+    out = rows.groupBy(key).agg(F.countDistinct(unit).alias("units"), F.avg(value).alias("mean"), F.count("*").alias("n"), *more)
+    return out.where(F.col("units") >= least).orderBy(F.desc_nulls_last("mean"), key).limit(k)
+
+
+def counts_of(column: str, names: dict[str, str]) -> list[Column]:
+    """Aggregates that count the rows with each value of ``names``, under its name: a pivot over known values."""
+    return [F.count_if(F.col(column) == value).alias(name) for value, name in names.items()]
+
+
+def flipped(column: str, a: str, b: str) -> Column:
+    """``b`` where the column is ``a``, else ``a``: the other side."""
+    return F.when(F.col(column) == a, b).otherwise(a)
+
+
+def listed(value: str, separator: str = ",") -> Column:
+    """Aggregate: the distinct values in order, joined; empty without any."""
+    return F.array_join(F.array_sort(F.collect_set(value)), separator)
+
+
+def missing(df: DataFrame, have: DataFrame, on: list[str]) -> DataFrame:
+    """Rows whose key ``have`` lacks."""
+    return df.join(have.select(*on), on, "left_anti")
+
+
+def scoped(df: DataFrame, ids: DataFrame | None, on: str) -> DataFrame:
+    """``df`` kept to the given ids; whole without any scope."""
+    return df if ids is None else df.join(ids.select(on), on, "left_semi")
+
+
+def hit_rate(requests: DataFrame, cache: DataFrame, on: list[str]) -> DataFrame:
+    """One row (requests, hits, misses, rate) of how many requests the cache has; repeats count each time."""
+    found = requests.join(cache.select(*on, F.lit(1).alias("__hit")).distinct(), on, "left")
+    sums = found.agg(F.count("*").alias("requests"), F.count("__hit").alias("hits"), F.count_if(F.col("__hit").isNull()).alias("misses"))
+    return sums.withColumn("rate", F.try_divide(F.col("hits"), F.col("requests")))
+
+
+def best_row(df: DataFrame, keys: list[str], order: list[str], *values: Column) -> DataFrame:
+    """(keys, values): those of the greatest row of each key by ``order``."""
+    return df.groupBy(*keys).agg(*(F.max_by(v, F.struct(*order)).alias(f"__{k}") for k, v in enumerate(values))).select(*keys, *(F.col(f"__{k}") for k in range(len(values))))
+
+
+def sampled(df: DataFrame, key: str, n: int, seed: int = 11) -> DataFrame:
+    """``n`` rows picked by a seeded hash of the key: the same whatever the partitions."""
+    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+
+
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
 

@@ -9,6 +9,8 @@ from ..functions import chess
 
 TOP_K, THRESHOLD = 5, 0.60
 PIECES = "PpNnBbRrQqKk"
+#: Rows of a block that are compared in one part.
+BLOCK = 2048
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -55,12 +57,27 @@ def top_edges(pairs: DataFrame, node: str, other: str, weight: str, k: int) -> D
     return kept.groupBy(F.least(node, other).alias("lo"), F.greatest(node, other).alias("hi")).agg(F.max(weight).alias("score"))
 
 
+def blocked_pairs(rows: DataFrame, key: str, block: str, prune: Column, weight: Column, threshold: float) -> DataFrame:
+    """(block, node, other, weight) of pairs in one block whose weight reaches the threshold, in both directions.
+
+    ``prune`` is an upper bound of ``weight``, both over the aliases a and b. Each pair is compared once. A block of over
+    ``BLOCK`` rows is dealt out: its rows as "a" to one part each, as "b" to all parts.
+    """
+    sizes = rows.groupBy(block).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("__parts"))
+    sized = rows.join(sizes, block)
+    a = sized.withColumn("__part", F.pmod(F.xxhash64(key), F.col("__parts")).cast("int")).alias("a")
+    b = sized.withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).alias("b")
+    same = (F.col(f"a.{block}") == F.col(f"b.{block}")) & (F.col("a.__part") == F.col("b.__part"))
+    pairs = a.join(b, same & (F.col(f"a.{key}") < F.col(f"b.{key}")) & (prune >= threshold))
+    pairs = pairs.select(F.col(f"a.{block}").alias("block"), F.col(f"a.{key}").alias("x"), F.col(f"b.{key}").alias("y"), weight.alias("weight")).where(F.col("weight") >= threshold)
+    ends = F.explode(F.array(F.struct(F.col("x").alias("node"), F.col("y").alias("other")), F.struct(F.col("y").alias("node"), F.col("x").alias("other"))))
+    return pairs.select("block", ends.alias("e"), "weight").select("block", "e.*", "weight")
+
+
 def similarity_edges(feats: DataFrame, k: int = TOP_K, threshold: float = THRESHOLD) -> DataFrame:
     """(lo, hi, score): equi-join on the block, pawn similarity as a residual prune, then the whole score."""
     pawn, whole = score()
-    a, b = feats.alias("a"), feats.alias("b")
-    pairs = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.pos_key") != F.col("b.pos_key")) & (pawn >= threshold))
-    pairs = pairs.select(F.col("a.pos_key").alias("node"), F.col("b.pos_key").alias("other"), whole.alias("weight")).where(F.col("weight") >= threshold)
+    pairs = blocked_pairs(feats, "pos_key", "block", pawn, whole, threshold)
     return top_edges(pairs, "node", "other", "weight", k).withColumn("score", F.round("score", 4))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import chess
-from ..operators import evaluation, loss, retrieval, similarity
+from ..operators import evaluation, loss, query_sets, retrieval, similarity
 from .catalog import query
 from .relational_queries import table
 
@@ -86,11 +86,10 @@ f AS (SELECT qid, vec_id, round(sum(1 / (60 + rank)), 9) AS score, string_agg(sr
 SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM f QUALIFY rank <= 10
 """)
 def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v, q, hits = _dense(spark, sf_dir, 30)
-    n = v.count()
-    far = retrieval.dense_topk(v, q, n).join(v.select("vec_id", "label"), "vec_id").join(q.select("qid", "qlabel"), "qid").where("label <> qlabel")
-    far = far.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("rank"))).where("rank <= 30")
-    return retrieval.reciprocal_rank_fusion({"all": hits, "other": far}, 10, "vec_id").select("qid", "vec_id", "score", "sources", "rank")
+    v, q, _ = _dense(spark, sf_dir, 30)
+    near = lambda asked, k: retrieval.dense_topk(v, asked, k)
+    far = lambda asked, k: retrieval.dense_topk(v, asked, k, differ=("label", "qlabel"))
+    return query_sets.hybrid(q, {"all": near, "other": far}, 10, 30, doc_id="vec_id").select("qid", "vec_id", "score", "sources", "rank")
 
 
 METRIC_SQL = f"""
@@ -119,6 +118,29 @@ def ir_metrics_by_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.coalesce(F.col("qlabel").cast("string"), F.lit("all")).alias("family"), "n", "recall", "mrr", "ndcg")
 
 
+@query(f"""
+WITH {DENSE_SQL}, u2 AS (SELECT vec_id, label, list_transform(raw[1:8], lambda x: x / sqrt(list_dot_product(raw[1:8], raw[1:8]))) AS e FROM v),
+s2 AS (SELECT q.vec_id AS qid, q.label AS qlabel, d.vec_id, d.label, round(list_dot_product(q.e, d.e), 6) AS score FROM u2 q, u2 d WHERE q.vec_id % 100 = 0),
+ds2 AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM s2),
+h AS (SELECT 'whole' AS retriever, * FROM ds WHERE rank <= 20 UNION ALL SELECT 'short', * FROM ds2 WHERE rank <= 20),
+nr AS (SELECT qid, count(*) AS n_relevant FROM s WHERE label = qlabel GROUP BY qid),
+per AS (SELECT retriever, qid, any_value(qlabel) AS family, coalesce(1 / min(rank) FILTER (label = qlabel), 0) AS mrr,
+  {", ".join(f"count(*) FILTER (label = qlabel AND rank <= {k}) / any_value(n_relevant) AS recall_{k}, coalesce(sum(1 / log2(rank + 1)) FILTER (label = qlabel AND rank <= {k}), 0) / list_sum(list_transform(range(1, least(any_value(n_relevant), {k}) + 1), lambda i: 1 / log2(i + 1))) AS ndcg_{k}" for k in (1, 5, 10, 20))},
+  count(*) FILTER (label = qlabel AND rank <= 10) / 10 AS precision_10, CAST(count(*) FILTER (label = qlabel AND rank <= 10) > 0 AS INT) AS hit_10 FROM h JOIN nr USING (qid) GROUP BY retriever, qid)
+SELECT retriever, coalesce(CAST(family AS VARCHAR), 'all') AS family, count(*) AS n, CAST(0 AS BIGINT) AS empty, round(avg(mrr), 6) AS mrr,
+  {", ".join(f"round(avg(recall_{k}), 6) AS recall_{k}, round(avg(ndcg_{k}), 6) AS ndcg_{k}" for k in (1, 5, 10, 20))}, round(avg(precision_10), 6) AS precision_10, round(avg(hit_10), 6) AS hit_10
+FROM per GROUP BY GROUPING SETS ((retriever, family), (retriever))
+""")
+def compare_retrievers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings")
+    short = v.withColumn("embedding", F.slice("embedding", 1, 8))
+    asked = lambda x: x.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "embedding", F.col("label").cast("string").alias("family"))
+    q = asked(v)
+    qrels = q.select("qid", F.col("family").cast("long").alias("label")).join(v.select("vec_id", "label"), "label").select("qid", "vec_id")
+    found = query_sets.compare(q, qrels, {"whole": retrieval.dense_topk(v, q, 20), "short": retrieval.dense_topk(short, asked(short), 20)}, doc_id="vec_id")
+    return found.select("retriever", "family", "n", "empty", *(F.round(c, 6).alias(c) for c in found.columns[4:]))
+
+
 @query(f"""
 WITH {DENSE_SQL}, p AS (SELECT label, count(*) / (SELECT count(*) FROM embeddings) AS base FROM embeddings GROUP BY label),
 t AS (SELECT qlabel AS label, avg(CASE WHEN label = qlabel THEN 1.0 ELSE 0 END) AS top FROM ds WHERE rank <= 50 GROUP BY qlabel)
@@ -126,8 +148,8 @@ SELECT label, round(base, 6) AS base, round(top, 6) AS top, round(top / base, 6)
 """)
 def vocab_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, q, hits = _dense(spark, sf_dir, 50)
-    n = v.count()
-    base = v.groupBy("label").agg((F.count("*") / n).alias("base"))
+    total = v.agg(F.count("*").alias("total"))  # one row
+    base = v.groupBy("label").agg(F.count("*").alias("n")).join(F.broadcast(total)).select("label", (F.col("n") / F.col("total")).alias("base"))
     top = hits.join(q.select("qid", "qlabel"), "qid").join(v.select("vec_id", "label"), "vec_id").groupBy(F.col("qlabel").alias("label")).agg(F.avg((F.col("label") == F.col("qlabel")).cast("double")).alias("top"))
     return base.join(top, "label").select("label", F.round("base", 6).alias("base"), F.round("top", 6).alias("top"), F.round(F.col("top") / F.col("base"), 6).alias("lift"))
 
@@ -146,9 +168,9 @@ def _bits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _similar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = _bits(spark, sf_dir)
-    sim = similarity.jaccard(F.col("x.bits"), F.col("y.bits"))
-    return x.alias("x").join(x.alias("y"), (F.col("x.label") == F.col("y.label")) & (F.col("x.vec_id") != F.col("y.vec_id")) & (sim >= 0.45)).select("x.label", F.col("x.vec_id").alias("a"), F.col("y.vec_id").alias("c"), sim.alias("sim"))
+    sim = similarity.jaccard(F.col("a.bits"), F.col("b.bits"))
+    pairs = similarity.blocked_pairs(_bits(spark, sf_dir), "vec_id", "label", sim, sim, 0.45)
+    return pairs.select(F.col("block").alias("label"), F.col("node").alias("a"), F.col("other").alias("c"), F.col("weight").alias("sim"))
 
 
 @query(f"WITH {BITS_SQL} SELECT label, count(*) AS pairs, round(avg(sim), 6) AS mean, round(max(sim), 6) AS best FROM j GROUP BY label")
@@ -192,9 +214,15 @@ WITH {GRAPH_SQL} SELECT player, pos, err.n AS n, round(cp, 4) AS cp, themes FROM
 WHERE pos IN (SELECT pos FROM led WHERE opening = 'BUILDING' AND n >= 2)
 """)
 def multi_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import graph
+
     led, err, shown = _graph(spark, sf_dir)
-    themes = shown.groupBy("pos").agg(F.array_join(F.array_sort(F.collect_set("theme")), ",").alias("themes"))
-    return err.join(led.where("opening = 'BUILDING' AND n >= 2").select("pos"), "pos", "left_semi").join(themes, "pos").select("player", "pos", "n", F.round("cp", 4).alias("cp"), "themes")
+    edge = lambda df, src, dst, rel, cp=None: df.select(src.alias("src"), dst.alias("dst"), F.lit(rel).alias("rel"), F.col("n").alias("count"), (F.lit(None) if cp is None else F.col(cp)).cast("double").alias("avg_cp_loss"), F.lit(None).cast("string").alias("examples"))
+    at = graph.node("position", F.col("pos").cast("string"))
+    edges = edge(led, graph.node("opening", F.col("opening")), at, "leads_to").union(edge(err, graph.node("player", F.col("player").cast("string")), at, "blunders_at", "cp"))
+    found = graph.mistakes_in_opening(edges.union(edge(shown, at, graph.node("theme", F.col("theme")), "exhibits")), None, "BUILDING", 2)
+    number = lambda c: F.substring_index(c, ":", -1).cast("long")
+    return found.select(number("player").alias("player"), number("dst").alias("pos"), F.col("count").alias("n"), F.round("avg_cp_loss", 4).alias("cp"), F.array_join("themes", ",").alias("themes"))
 
 
 @query(f"""

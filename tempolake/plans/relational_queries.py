@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import chess
 from ..operators import evaluation, relational
+from ..sources import store
 from .catalog import query
 
 
@@ -27,8 +28,8 @@ FROM {LINES} JOIN customer ON o_custkey = c_custkey GROUP BY ALL ORDER BY total
 """)
 def weakness_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lines_of_orders(spark, sf_dir).join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    out = rows.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.avg("l_extendedprice"), 2).alias("avg_price"), F.round(F.sum("l_extendedprice"), 2).alias("total"))
-    return out.orderBy(F.desc("total"), "l_returnflag", "l_linestatus").limit(5)
+    out = relational.top_totals(rows, ["l_returnflag", "l_linestatus"], "l_extendedprice", 5)
+    return out.select("l_returnflag", "l_linestatus", "n", F.round("mean", 2).alias("avg_price"), F.round("total", 2).alias("total"))
 
 
 @query(f"""
@@ -38,8 +39,8 @@ ORDER BY avg_price DESC, p_brand LIMIT 10
 """)
 def opening_weakness_having(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lines_of_orders(spark, sf_dir).where("o_orderstatus <> 'P'").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    out = rows.groupBy("p_brand").agg(F.countDistinct("o_orderkey").alias("orders"), F.round(F.avg("l_extendedprice"), 2).alias("avg_price"), F.count("*").alias("n"), F.min("p_type").alias("p_type"))
-    return out.where("orders >= 4").orderBy(F.desc("avg_price"), "p_brand").limit(10)
+    out = relational.worst_means(rows, "p_brand", "o_orderkey", "l_extendedprice", 4, 10, F.min("p_type").alias("p_type"))
+    return out.select("p_brand", F.col("units").alias("orders"), F.round("mean", 2).alias("avg_price"), "n", "p_type")
 
 
 @query("""
@@ -47,7 +48,7 @@ SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FIL
        round(sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE 0 END), 2) AS f_total FROM orders GROUP BY o_orderpriority
 """)
 def judgement_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds = [F.count_if(F.col("o_orderstatus") == k).alias(k.lower()) for k in "FOP"]
+    kinds = relational.counts_of("o_orderstatus", {k: k.lower() for k in "FOP"})
     return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(*kinds, F.round(F.sum(F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice")).otherwise(0.0)), 2).alias("f_total"))
 
 
@@ -94,15 +95,16 @@ def semi_or_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_custkey, max(o_totalprice) AS best, arg_max(o_orderkey, (o_totalprice, o_orderkey)) AS o_orderkey FROM orders GROUP BY o_custkey")
 def argmax_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max("o_totalprice").alias("best"), F.max_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).alias("o_orderkey"))
+    best = relational.best_row(table(spark, sf_dir, "orders"), ["o_custkey"], ["o_totalprice", "o_orderkey"], F.col("o_totalprice"), F.col("o_orderkey"))
+    return best.toDF("o_custkey", "best", "o_orderkey")
 
 
 @query("""
 SELECT CASE l_linestatus WHEN 'O' THEN 'F' ELSE 'O' END AS color, l_returnflag, count(*) AS games, round(avg(1.0 - l_discount), 6) AS score FROM lineitem GROUP BY ALL
 """)
 def opponent_flip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flipped = F.when(F.col("l_linestatus") == "O", "F").otherwise("O")
-    return table(spark, sf_dir, "lineitem").groupBy(flipped.alias("color"), "l_returnflag").agg(F.count("*").alias("games"), F.round(F.avg(1.0 - F.col("l_discount")), 6).alias("score"))
+    other = relational.flipped("l_linestatus", "O", "F")
+    return table(spark, sf_dir, "lineitem").groupBy(other.alias("color"), "l_returnflag").agg(F.count("*").alias("games"), F.round(F.avg(1.0 - F.col("l_discount")), 6).alias("score"))
 
 
 @query("""
@@ -112,7 +114,7 @@ FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_quantity > 30 GR
 def group_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").where("l_quantity > 30").select("l_orderkey", "l_returnflag")
     rows = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    return rows.groupBy("o_orderkey").agg(F.max("o_totalprice").alias("price"), F.array_join(F.array_sort(F.collect_set("l_returnflag")), ",").alias("flags"))
+    return rows.groupBy("o_orderkey").agg(F.max("o_totalprice").alias("price"), relational.listed("l_returnflag").alias("flags"))
 
 
 @query("SELECT p_partkey, p_name, p_brand FROM part WHERE p_name ILIKE '%AR%' AND p_brand ILIKE 'brand%' AND (p_size > 10 OR p_type IS NULL)")
@@ -129,7 +131,7 @@ def left_join_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, n_chars FROM documents WHERE NOT EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = documents.doc_id)")
 def anti_cache_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti")
+    return relational.missing(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), table(spark, sf_dir, "labels"), ["doc_id"])
 
 
 @query("""
@@ -137,9 +139,8 @@ SELECT (SELECT count(*) FROM orders) AS games, (SELECT count(*) FROM lineitem) A
        (SELECT count(DISTINCT o_custkey) FROM orders) AS subjects
 """)
 def store_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = table(spark, sf_dir, "orders").agg(F.count("*").alias("games"), F.countDistinct("o_custkey").alias("subjects"))
-    m = table(spark, sf_dir, "lineitem").agg(F.count("*").alias("moves"), F.countDistinct("l_orderkey", "l_linenumber").alias("themes"))
-    return g.join(F.broadcast(m)).select("games", "moves", "themes", "subjects")  # one row each
+    lines = table(spark, sf_dir, "lineitem")
+    return store.stats(table(spark, sf_dir, "orders"), lines, lines, "o_orderkey", "o_custkey", ("l_orderkey", "l_linenumber"))
 
 
 @query("SELECT p_type, coalesce(p_brand, 'all') AS p_brand, count(*) AS n FROM part GROUP BY ROLLUP (p_type, p_brand) HAVING p_type IS NOT NULL")
@@ -192,29 +193,56 @@ def _split(spark, sf_dir):
 @query(f"""
 WITH {SPLIT_SQL}, c AS (SELECT l_returnflag, p_brand, count(*) FILTER (train) AS tr, count(*) FILTER (NOT train) AS te FROM t GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY tr DESC, p_brand) AS k FROM c),
-b AS (SELECT p_brand FROM c GROUP BY p_brand ORDER BY sum(tr) DESC, p_brand LIMIT 1)
-SELECT l_returnflag, round(sum(CASE WHEN k = 1 THEN te ELSE 0 END) / sum(te), 6) AS top1, round(sum(CASE WHEN k <= 3 THEN te ELSE 0 END) / sum(te), 6) AS top3,
-       round(sum(CASE WHEN p_brand = (SELECT p_brand FROM b) THEN te ELSE 0 END) / sum(te), 6) AS base FROM r GROUP BY l_returnflag HAVING sum(te) > 0
+b AS (SELECT p_brand FROM c GROUP BY p_brand ORDER BY sum(tr) DESC, p_brand LIMIT 1),
+x AS (SELECT l_returnflag, sum(te) AS n_test, sum(CASE WHEN k = 1 THEN te ELSE 0 END) / sum(te) AS top1, sum(CASE WHEN k <= 3 THEN te ELSE 0 END) / sum(te) AS top3,
+       sum(CASE WHEN p_brand = (SELECT p_brand FROM b) THEN te ELSE 0 END) / sum(te) AS base,
+       sum(CASE WHEN p_brand IN (SELECT p_brand FROM c GROUP BY p_brand HAVING sum(tr) > 0) THEN te ELSE 0 END) / sum(te) AS coverage FROM r GROUP BY l_returnflag HAVING sum(te) > 0)
+SELECT l_returnflag, CAST(n_test AS BIGINT) AS n_test, round(top1, 6) AS top1, round(top3, 6) AS top3, round(base, 6) AS base, round(top1 - base, 6) AS lift, round(coverage, 6) AS coverage FROM x
 """)
 def opening_prediction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = _split(spark, sf_dir).groupBy("l_returnflag", "p_brand").agg(F.count_if("train").alias("tr"), F.count_if(~F.col("train")).alias("te"))
-    usual = F.min(F.struct((-F.col("n")).alias("less"), "p_brand")).getField("p_brand")
-    top = counts.groupBy("p_brand").agg(F.sum("tr").alias("n")).agg(usual.alias("usual"))  # one row
-    ranked = relational.topk_per_group(counts, ["l_returnflag"], [F.desc("tr"), F.col("p_brand")], 1 << 30, "k").join(F.broadcast(top))
-    share = lambda c: F.round(F.sum(F.when(c, F.col("te")).otherwise(0)) / F.sum("te"), 6)
-    out = ranked.groupBy("l_returnflag").agg(share(F.col("k") == 1).alias("top1"), share(F.col("k") <= 3).alias("top3"), share(F.col("p_brand") == F.col("usual")).alias("base"), F.sum("te").alias("te"))
-    return out.where("te > 0").drop("te")
+    out = evaluation.prediction(_split(spark, sf_dir), ["l_returnflag"], "p_brand", F.col("train"))
+    return out.select("l_returnflag", "n_test", *(F.round(c, 6).alias(c) for c in ("top1", "top3", "base", "lift", "coverage")))
 
 
 @query(f"""
-WITH {SPLIT_SQL}, c AS (SELECT l_linenumber, p_brand, count(*) FILTER (train) * 1.0 AS a, count(*) FILTER (NOT train) * 1.0 AS b FROM t GROUP BY ALL),
-r AS (SELECT l_linenumber, rank() OVER (PARTITION BY l_linenumber ORDER BY a) + (count(*) OVER (PARTITION BY l_linenumber, a) - 1) / 2 AS x,
+WITH {SPLIT_SQL}, c AS (SELECT l_linenumber, p_brand, count(*) FILTER (train) * 1.0 AS a, count(*) FILTER (NOT train) * 1.0 AS b,
+      coalesce(sum(l_extendedprice) FILTER (train), 0) AS va, coalesce(sum(l_extendedprice) FILTER (NOT train), 0) AS vb FROM t GROUP BY ALL),
+r AS (SELECT l_linenumber, a, b, row_number() OVER (PARTITION BY l_linenumber ORDER BY va DESC, p_brand) AS ra, row_number() OVER (PARTITION BY l_linenumber ORDER BY vb DESC, p_brand) AS rb, rank() OVER (PARTITION BY l_linenumber ORDER BY a) + (count(*) OVER (PARTITION BY l_linenumber, a) - 1) / 2 AS x,
              rank() OVER (PARTITION BY l_linenumber ORDER BY b) + (count(*) OVER (PARTITION BY l_linenumber, b) - 1) / 2 AS y FROM c)
-SELECT l_linenumber, count(*) AS n, round(corr(x, y), 6) AS rho FROM r GROUP BY l_linenumber
+SELECT l_linenumber, count(*) AS n_labels, CAST(sum(a) AS BIGINT) AS n_train, CAST(sum(b) AS BIGINT) AS n_test, round(corr(x, y), 6) AS rho,
+       count(*) FILTER (ra <= 5 AND rb <= 5) / least(5, count(*)) AS overlap FROM r GROUP BY l_linenumber HAVING sum(a) > 0 AND sum(b) > 0
 """)
 def weakness_persistence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = _split(spark, sf_dir).groupBy("l_linenumber", "p_brand").agg(F.count_if("train").alias("a"), F.count_if(~F.col("train")).alias("b"))
-    return evaluation.spearman(counts, ["l_linenumber"], "a", "b").withColumn("rho", F.round("rho", 6))
+    out = evaluation.rate_persistence(_split(spark, sf_dir), ["l_linenumber"], "p_brand", "l_extendedprice", F.col("train"))
+    return out.select("l_linenumber", "n_labels", "n_train", "n_test", F.round("rho", 6).alias("rho"), "overlap")
+
+
+@query(f"""
+WITH {SPLIT_SQL}, c AS (SELECT p_brand, avg(l_extendedprice) FILTER (train) AS a, avg(l_extendedprice) FILTER (NOT train) AS b,
+      count(DISTINCT CASE WHEN train THEN o_orderkey END) AS ua, count(DISTINCT CASE WHEN NOT train THEN o_orderkey END) AS ub FROM t GROUP BY p_brand),
+r AS (SELECT rank() OVER (ORDER BY a) AS x, rank() OVER (ORDER BY b) AS y FROM c WHERE ua >= 4 AND ub >= 2)
+SELECT count(*) AS n_shared, CASE WHEN count(*) >= 3 THEN round(corr(x, y), 6) END AS rho FROM r
+""")
+def opening_persistence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = evaluation.value_persistence(_split(spark, sf_dir), "p_brand", "o_orderkey", "l_extendedprice", F.col("train"))
+    return out.withColumn("rho", F.round("rho", 6))
+
+
+@query("""
+WITH d AS (SELECT o_custkey, o_orderpriority, least(1000, CAST(floor(max(o_totalprice) / 400) AS INT)) AS cp, CAST(floor(max(o_totalprice) / 400) AS INT) AS raw FROM orders GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY raw DESC, o_orderpriority) AS rank FROM d),
+m AS (SELECT o_custkey, arg_min(o_orderpriority, o_orderkey) AS o_orderpriority FROM orders GROUP BY o_custkey),
+x AS (SELECT r.rank, greatest(0, b.cp - r.cp) AS cost FROM m JOIN r USING (o_custkey, o_orderpriority) JOIN r b ON b.o_custkey = m.o_custkey AND b.rank = 1)
+SELECT count(*) AS n, round(avg(CASE WHEN rank = 1 THEN 1.0 ELSE 0 END), 6) AS agree_1, round(avg(CASE WHEN rank <= 2 THEN 1.0 ELSE 0 END), 6) AS agree_2, round(avg(cost), 6) AS mean_cost,
+       list_sort(list(cost))[count(*) // 2 + 1] AS median_cost, max(cost) AS max_cost, count(*) FILTER (cost >= 100) AS over_100 FROM x
+""")
+def recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("pos_key"), F.col("o_orderpriority").alias("uci"), "o_orderkey", "o_totalprice")
+    deep = orders.groupBy("pos_key", "uci").agg(F.floor(F.max("o_totalprice") / 400).cast("int").alias("score_cp"))
+    deep = relational.topk_per_group(deep, ["pos_key"], [F.desc("score_cp"), F.col("uci")], 1 << 30).withColumn("mate", F.lit(None).cast("int"))
+    chosen = orders.groupBy("pos_key").agg(F.min_by("uci", "o_orderkey").alias("best_uci"))
+    out = evaluation.recommendations(chosen, deep)
+    return out.withColumns({c: F.round(c, 6) for c in ("agree_1", "agree_2", "mean_cost")})
 
 
 @query("""
@@ -250,7 +278,7 @@ FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal >
 """)
 def scoped_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     scope = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"))
-    rows = table(spark, sf_dir, "orders").where(F.col("o_orderstatus").isin("F", "O")).join(scope, "o_custkey", "left_semi")
+    rows = relational.scoped(table(spark, sf_dir, "orders").where(F.col("o_orderstatus").isin("F", "O")), scope, "o_custkey")
     return rows.groupBy("o_custkey").agg(F.count("*").alias("n"), F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("hits"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
@@ -266,6 +294,5 @@ def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT count(*) AS requests, count(doc) AS hits, round(count(doc) / count(*), 6) AS rate FROM documents LEFT JOIN (SELECT DISTINCT doc_id AS doc FROM labels) ON doc = doc_id")
 def cache_hit_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    have = table(spark, sf_dir, "labels").select("doc_id", F.lit(1).alias("doc")).distinct()
-    out = table(spark, sf_dir, "documents").select("doc_id").join(have, "doc_id", "left").agg(F.count("*").alias("requests"), F.count("doc").alias("hits"))
-    return out.withColumn("rate", F.round(F.col("hits") / F.col("requests"), 6))
+    out = relational.hit_rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
+    return out.select("requests", "hits", F.round("rate", 6).alias("rate"))

@@ -66,30 +66,40 @@ def read_games(spark: SparkSession, path: str) -> DataFrame:
     return lines.where(F.trim("value") != "").select(head.alias("text"))
 
 
-def parse(texts: DataFrame, standard_only: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(games, moves) of game texts; games without moves, and other variants unless asked for, are left out."""
+_NESTED = f"{GAME_SCHEMA}, moves array<struct<{', '.join(c.replace(' ', ':') for c in MOVE_SCHEMA.split(', ')[1:])}>>"
+
 
-    def game_rows(frames):
+def parse_nested(texts: DataFrame) -> DataFrame:
+    """A row for each game text with the game's fields and its ``moves``; to be stored or persisted before it is split."""
+
+    def run(frames):
+        names = [c.split()[0] for c in GAME_SCHEMA.split(", ")] + ["moves"]
+        kinds = [c.split()[0] for c in MOVE_SCHEMA.split(", ")[1:]]
         for frame in frames:
             rows = []
             for text in frame["text"]:
-                t = tags(text)
-                n = len(moves(text))
+                t, played = tags(text), [dict(zip(kinds, m, strict=True)) for m in moves(text)]
                 number = lambda k, t=t: int(t[k]) if re.fullmatch(r"\s*-?\d+\s*", t.get(k, "")) else None
-                rows.append((game_id(t), t.get("Site"), (t.get("UTCDate") or t.get("Date") or "").replace(".", "-") or None, t.get("White"), t.get("Black"), number("WhiteElo"), number("BlackElo"), t.get("Result", "*"), t.get("ECO"), t.get("Opening"), t.get("TimeControl"), t.get("Variant", "Standard"), t.get("Termination"), t.get("Event"), n))
-            out = pd.DataFrame(rows, columns=[c.split()[0] for c in GAME_SCHEMA.split(", ")])
+                date = (t.get("UTCDate") or t.get("Date") or "").replace(".", "-") or None
+                head = (game_id(t), t.get("Site"), date, t.get("White"), t.get("Black"), number("WhiteElo"), number("BlackElo"), t.get("Result", "*"))
+                rows.append((*head, t.get("ECO"), t.get("Opening"), t.get("TimeControl"), t.get("Variant", "Standard"), t.get("Termination"), t.get("Event"), len(played), played))
+            out = pd.DataFrame(rows, columns=names)
             yield out.astype({c: "Int32" for c in ("white_elo", "black_elo", "ply_count")})
 
-    def move_rows(frames):
-        for frame in frames:
-            rows = [(game_id(t), *m) for text in frame["text"] for t in [tags(text)] if not standard_only or t.get("Variant", "Standard") == "Standard" for m in moves(text)]
-            out = pd.DataFrame(rows, columns=[c.split()[0] for c in MOVE_SCHEMA.split(", ")])
-            yield out.astype({"ply": "Int32", "clock_seconds": "Int32", "lichess_eval": "Float64"})
+    return texts.mapInPandas(run, _NESTED)
 
-    games = texts.mapInPandas(game_rows, GAME_SCHEMA).where(F.col("ply_count") > 0)
+
+def split(parsed: DataFrame, standard_only: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(games, moves) of ``parse_nested``; games without moves, and other variants unless asked for, are left out."""
+    kept = parsed.where(F.col("ply_count") > 0)
     if standard_only:
-        games = games.where(F.col("variant") == "Standard")
-    return games, texts.mapInPandas(move_rows, MOVE_SCHEMA)
+        kept = kept.where(F.col("variant") == "Standard")
+    return kept.drop("moves"), kept.select("game_id", F.inline("moves"))
+
+
+def parse(texts: DataFrame, standard_only: bool = True) -> tuple[DataFrame, DataFrame]:
+    """``split`` of ``parse_nested``."""
+    return split(parse_nested(texts), standard_only)
 
 
 def for_subject(games: DataFrame, subject: str) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.relational import upsert
+from ..operators.relational import hit_rate as rate_of
+from ..operators.relational import missing, upsert
 
 KEYS = {"games": ["game_id"], "moves": ["game_id", "ply"], "positions": ["pos_key"], "move_themes": ["game_id", "ply", "theme"], "position_eval": ["pos_key", "depth", "multipv"]}
 
@@ -32,26 +33,44 @@ class Store:
         return self.spark.read.parquet(f"{self.path}/{table}/v{found[-1]}") if found else None
 
     def put(self, table: str, rows: DataFrame) -> DataFrame:
-        """Upserts by the table's key; of new rows with one key the greatest stays."""
+        """Upserts by the table's key; of new rows with one key the greatest stays. Columns that one side lacks are null there.
+
+        What a lost write left of the next version is overwritten; the version before the last is removed, so that readers
+        of the last one before this write aren't disturbed.
+        """
         old = self.read(table)
-        merged = upsert(rows.limit(0) if old is None else old, rows, KEYS[table])
+        old = rows.limit(0) if old is None else old
+        fill = lambda a, b: a.withColumns({c: F.lit(None).cast(b.schema[c].dataType) for c in b.columns if c not in a.columns})
+        old = fill(old, rows)
+        merged = upsert(old, fill(rows, old), KEYS[table])
         found = self._versions(table)
-        merged.write.parquet(f"{self.path}/{table}/v{found[-1] + 1 if found else 0}")
+        merged.write.mode("overwrite").parquet(f"{self.path}/{table}/v{found[-1] + 1 if found else 0}")
+        fs, path = self._fs()
+        for v in found[:-1]:
+            fs.delete(path(f"{self.path}/{table}/v{v}"), True)
         return self.read(table)
 
+    def stats(self) -> DataFrame:
+        """One row: games, moves, themes and subjects."""
+        return stats(self.read("games"), self.read("moves"), self.read("move_themes"))
+
+
+def stats(games: DataFrame, moves: DataFrame, themes: DataFrame, game: str = "game_id", subject: str = "subject", mark: tuple[str, ...] = ("game_id", "ply", "theme")) -> DataFrame:
+    """One row (games, moves, themes, subjects): rows of games and moves, distinct marks, distinct subjects."""
+    g = games.agg(F.count(F.col(game)).alias("games"), F.countDistinct(subject).alias("subjects"))
+    m, t = moves.agg(F.count("*").alias("moves")), themes.agg(F.countDistinct(*mark).alias("themes"))
+    return g.join(F.broadcast(m)).join(F.broadcast(t)).select("games", "moves", "themes", "subjects")  # one row each
+
 
 def missing_evaluations(positions: DataFrame, cache: DataFrame, depth: int, multipv: int) -> DataFrame:
     """Positions that the cache has not at that depth and width: the engine's work list."""
     have = cache.where((F.col("depth") == depth) & (F.col("multipv") == multipv)).select("pos_key")
-    return positions.select("pos_key", "fen").distinct().join(have, "pos_key", "left_anti")
+    return missing(positions.select("pos_key", "fen").distinct(), have, ["pos_key"])
 
 
 def hit_rate(requests: DataFrame, cache: DataFrame) -> DataFrame:
     """(hits, misses, rate) of requests (pos_key, depth, multipv)."""
-    keys = KEYS["position_eval"]
-    hit = requests.join(cache.select(*keys, F.lit(1).alias("hit")).distinct(), keys, "left")
-    sums = hit.agg(F.count("hit").alias("hits"), F.count_if(F.col("hit").isNull()).alias("misses"))
-    return sums.withColumn("rate", F.try_divide(F.col("hits"), F.col("hits") + F.col("misses")))
+    return rate_of(requests, cache, KEYS["position_eval"]).drop("requests")
 
 
 def fingerprint(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -21,12 +21,12 @@ def load(texts: DataFrame, store: Store, subject: str, checkpoint: str) -> Strea
     """Upserts each batch's games and moves; a batch run twice leaves the same rows."""
 
     def batch(rows: DataFrame, _: int) -> None:
-        rows = rows.persist()
-        games, moves = pgn.parse(rows)
+        parsed = pgn.parse_nested(rows).persist()
+        games, moves = pgn.split(parsed)
         games = pgn.for_subject(games, subject)
         store.put("games", games)
         store.put("moves", pgn.with_subject(moves, games))
-        rows.unpersist()
+        parsed.unpersist()
 
     return texts.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

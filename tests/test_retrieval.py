@@ -3,9 +3,10 @@
 import math
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tempolake.operators import evaluation, graph, relational, retrieval
+from tempolake.operators import evaluation, graph, loss, query_sets, relational, retrieval, similarity
 from tempolake.plans import report
 from tempolake.streaming import ingest
 
@@ -102,13 +103,143 @@ def test_report(spark, corpus):
     assert report.player_games(games, "Carl", color="white", opening="FRENCH").count() == 1
     assert report.repertoire(games, "Me").count() == 3
     said = report.claims(games, moves, themes, "Me")
+    said = said.cache()
     g = report.grounding(said, games, moves, themes, "Me").first()
-    assert g.claims == g.supported == 2 and g.citations == g.resolved == 3
-    assert report.render_markdown(said, "Me").count("- ") == 2
+    assert (g.claims, g.with_citations, g.citations, g.resolved, g.supported) == (5, 5, 8, 8, 8)
+    assert g.numeric_checks == g.numeric_passed == 7 and not report.grounding_issues(said, games, moves, themes, "Me").count()
+    wrong = said.withColumn("n", F.when(F.col("subject_key") == "fork", 9).otherwise(F.col("n"))).withColumn("value", F.when(F.col("section") == "weakness", F.col("value") + 5).otherwise(F.col("value")))
+    wrong = wrong.withColumn("citations", F.when(F.col("subject_key") == "hanging_piece", F.transform("citations", lambda c: c.withField("san", F.lit("Qh5")))).otherwise(F.col("citations")))
+    found = {(r.subject_key, r.problem, r.detail) for r in report.grounding_issues(wrong, games, moves, themes, "Me").collect()}
+    assert found == {("fork", "numeric mismatch", "count"), ("fork", "numeric mismatch", "mean"), ("hanging_piece", "numeric mismatch", "mean"), ("hanging_piece", "citation does not resolve", "g1:9")}
+    assert report.render_markdown(said, "Me").count("- ") == 5
+    told = report.to_dict(report.generate(games, moves, themes, "Me"))
+    assert len(told["claims"]) == 5 and told["profile"][0]["games"] == 3 and len(told["training"]) == 2
+    only = games.where("game_id = 'g1'").select("game_id")
+    assert report.generate(games, moves, themes, "Me", only)["profile"].first().games == 1
     parts = report.opponent_report(games, moves, themes, "Carl")
     assert parts["header"].first().games == 2 and parts["mistakes"].count() == 1
 
 
+def test_claims_of_rare_openings_are_checked(spark):
+    # four games of mean loss 50 and twelve openings of one game each at 400
+    rows = [(f"a{k}", "Slow", 50) for k in range(4)] + [(f"b{k}", f"Once {k}", 400) for k in range(12)]
+    games = spark.createDataFrame([(g, "Me", "white", "X", o, "A00", 1.0, "2024-01-01", "u") for g, o, _ in rows], "game_id string, subject string, subject_color string, opponent string, opening string, eco string, subject_score double, date string, url string").withColumn("subject_elo", F.lit(1500))
+    moves = spark.createDataFrame([(g, 11, "k", "white", True, c, 0, "ok", "Kf3") for g, _, c in rows], "game_id string, ply int, pos_key string, color string, is_subject_move boolean, cp_loss int, eval_before_cp int, judgment string, san string")
+    themes = spark.createDataFrame([], "game_id string, ply int, theme string")
+    said = report.claims(games, moves, themes, "Me").where("section = 'opening'")
+    g = report.grounding(said, games, moves, themes, "Me").first()
+    assert (g.claims, g.numeric_checks, g.numeric_passed) == (1, 1, 1)
+    assert report.opening_trouble(games, moves, "Me", color="black").count() == 0
+
+
+def test_similar_games_and_positions(spark, corpus):
+    games, moves, positions, themes = corpus
+    nodes, edges = graph.build(games, moves, positions, themes)
+    docs = graph.documents(moves, games, positions, themes)
+    asked = spark.createDataFrame([(1, "my fork mistakes as black"), (2, "zzz")], "qid int, text string")
+    found = report.similar_games(asked, docs, nodes, edges, "Me").collect()
+    assert {r.qid for r in found} == {1} and min(found, key=lambda r: r["rank"]).doc_id == "g2:10" and "graph" in min(found, key=lambda r: r["rank"]).sources
+    k1 = moves.where("ply = 9").first().pos_key
+    near = report.similar_positions(edges, moves, fen=k1 + " 0 40").collect()
+    assert near and [r.pos_key for r in near] == [r.pos_key for r in report.similar_positions(edges, moves, k1).collect()]
+    family = positions.select("pos_key", F.lit("one").alias("family"))
+    assert report.similar_positions(edges, moves, k1, families=family).count() == 0
+
+
+def test_query_sets(spark):
+    rows = []
+    for k in range(40):  # the subject's, white, forks in the middlegame
+        rows.append((f"s{k}", "Open A" if k < 20 else "Open B", "Fam A" if k < 20 else "Fam B", "Me", "white", ["fork"], "middlegame", 250 if k < 30 else 120, True))
+    for k in range(12):
+        rows.append((f"o{k}", "Open C", "Fam C" if k < 7 else "Fam D", "Bob", "black", ["pin"], "opening", 300, False))
+    docs = spark.createDataFrame(rows, "doc_id string, opening string, family string, player string, color string, doc_themes array<string>, phase string, cp_loss int, is_subject_move boolean")
+    queries, qrels = query_sets.build_query_set(docs, "ME")
+    got = {r.qid: (r.family, r.text, r.n_relevant) for r in queries.collect()}
+    assert {k: v[0] for k, v in got.items()} == {"lex0": "lexical", "lex1": "lexical", "lex2": "lexical", "them0": "thematic", "para0": "paraphrase", "rel0": "relational", "relself_white_middlegame": "relational"}
+    assert got["lex0"][1:] == ("blunders and mistakes in the Open A", 20) and got["them0"][1:] == ("my serious fork mistakes as white", 30)
+    assert "fork" not in got["para0"][1] and got["rel0"][2] == 7 and "Bob" in got["rel0"][1] and got["relself_white_middlegame"][2] == 40
+    sizes = {r.qid: r.n for r in qrels.groupBy("qid").agg(F.count("*").alias("n")).collect()}
+    assert sizes == {k: v[2] for k, v in got.items()}
+    stats = {r.family: r for r in query_sets.query_set_stats(queries).collect()}
+    assert (stats["all"].total, stats["all"].min_relevant, stats["all"].max_relevant, stats["all"].median_relevant) == (7, 7, 40, 20)
+    assert query_sets.build_query_set(docs.limit(0), "Me")[0].count() == 0
+    hits = qrels.where("qid <> 'rel0'").withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("doc_id"))).where("rank <= 20")
+    m = {r.family: r for r in query_sets.compare(queries, qrels, {"x": hits}).collect()}
+    assert m["all"].n == 7 and m["all"].empty == 1 and m["lexical"].recall_20 == (1 + 1 + 1) / 3 and m["relational"].mrr == 0.5
+    # the same rows whatever the partitions
+    assert relational.sampled(docs, "doc_id", 5).collect() == relational.sampled(docs.repartition(7), "doc_id", 5).collect()
+
+
+def test_persistence_and_recommendations(spark):
+    rows = [("a", f"g{k}", 100.0 * (1 + k % 2), k < 6) for k in range(10)] + [("b", f"h{k}", 50.0, k < 6) for k in range(10)] + [("c", f"i{k}", 10.0, k < 6) for k in range(10)] + [("d", "j", 900.0, True)]
+    df = spark.createDataFrame(rows, "label string, unit string, value double, train boolean")
+    one = evaluation.value_persistence(df, "label", "unit", "value", F.col("train")).first()
+    assert (one.n_shared, round(one.rho, 6)) == (3, 1.0)
+    assert evaluation.value_persistence(df.where("label = 'a'"), "label", "unit", "value", F.col("train")).first().rho is None
+    r = evaluation.rate_persistence(df, [], "label", "value", F.col("train"), 3).first()
+    assert (r.n_labels, r.n_train, r.n_test) == (4, 19, 12) and r.overlap == 2 / 3
+    p = evaluation.prediction(df.withColumn("g", F.lit(1)), ["g"], "label", F.col("train")).first()
+    assert (p.n_test, p.top1, p.top3, p.coverage) == (12, 4 / 12, 1.0, 1.0)
+    deep = spark.createDataFrame([("p", "a", 1, 100, None), ("p", "b", 2, 40, None), ("q", "a", 1, None, 3), ("q", "c", 3, -50, None), ("r", "a", 1, 5, None)], "pos_key string, uci string, rank int, score_cp int, mate int")
+    chosen = spark.createDataFrame([("p", "b"), ("q", "c"), ("r", "a"), ("s", "a")], "pos_key string, best_uci string")
+    x = evaluation.recommendations(chosen, deep).first()
+    assert (x.n, x.agree_1, x.agree_2, x.mean_cost, x.median_cost, x.max_cost, x.over_100) == (3, 1 / 3, 2 / 3, (60 + 1050 + 0) / 3, 60, 1050, 1)
+    assert evaluation.recommendations(chosen.limit(0), deep).first().n == 0
+
+
+def test_temporal_split_is_the_window(spark):
+    rows = [(g, d if d % 5 else None, k) for k, (g, d) in enumerate((g, d) for g in ("a", None, "c") for d in [1, 1, 2, 2, 2, 2, 3, 7, 7, 10, 10, 4] * (1 if g else 3))] + [("z", 1, 99)]
+    df = spark.createDataFrame(rows, "g string, d int, k int")
+    for share in (0.25, 0.6, 0.01):
+        got = {r.k: r.split for r in evaluation.temporal_split(df, ["g"], ["d", "k"], share).collect()}
+        want = {}
+        for g in {r[0] for r in rows}:
+            mine = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+            cut = len(mine) - max(1, int(len(mine) * share))
+            want |= {r[2]: "test" if i >= cut else "train" for i, r in enumerate(mine)}
+        assert got == want
+
+
+def test_full_blocks_are_dealt_out(spark, monkeypatch):
+    rows = spark.range(60).selectExpr("id", "id % 2 as block", "id * 37 % 64 as bits")
+    sim = similarity.jaccard(F.col("a.bits"), F.col("b.bits"))
+    got = [similarity.blocked_pairs(rows, "id", "block", sim, sim, 0.3).select("node", "other", "weight").orderBy("node", "other").collect() for size in (2048, 7) if not monkeypatch.setattr(similarity, "BLOCK", size)]
+    assert got[0] == got[1] and len(got[0]) > 100
+
+
+def test_chain(spark, tmp_path):
+    from tempolake.plans import chain
+    from tempolake.sources import pgn
+    from tempolake.sources.store import Store
+    from tests.test_chess import PGN
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.pgn").write_text(PGN)
+    store = Store(spark, f"file://{tmp_path}/s")
+    texts = pgn.read_games(spark, str(tmp_path / "in"))
+    assert chain.ingest(store, texts, "Ann") == {"games": 1, "moves": 9, "positions": 9}
+    todo = chain.work_list(store).collect()
+    assert len(todo) == 9
+    keys = [r.pos_key for r in store.read("moves").orderBy("ply").collect()] + [store.read("moves").orderBy(F.desc("ply")).first().pos_key_after]
+    evals = spark.createDataFrame([(k, 12, 2, 250 if i % 2 else 20, None, "g1f3" if i == 0 else "a2a3", "", False) for i, k in enumerate(keys)], "pos_key string, depth int, multipv int, score_cp int, mate int, best_uci string, pv string, failed boolean")
+    for _ in range(2):
+        n = chain.ingest(store, texts, "Ann", evals)
+        assert (n["games"], n["moves"], n["positions"]) == (1, 9, 9)
+    assert chain.work_list(store).count() == 0
+    moves = store.read("moves")
+    assert moves.where("ply = 1").first().best_move_san == "Nf3" and moves.where("cp_loss is not null").count() == 9
+    nodes, edges, docs = chain.knowledge(store, least_seen=1)
+    assert nodes.count() and edges.count() and docs.count() >= 1
+    assert report.to_dict(chain.prepare_report(store, "Ann"))["profile"][0]["games"] == 1
+    assert loss.annotate(moves.select("game_id", "ply", "uci", "pos_key", "pos_key_after", "terminal", "fen_before"), evals, 3).where("judgment is not null").count() == 3
+    # a version that a lost write left behind is no obstacle
+    (tmp_path / "s/games/v9").mkdir()
+    for v in (3, 4):
+        (tmp_path / f"s/games/v{v}").mkdir(exist_ok=True)
+    assert store.put("games", store.read("games")).count() == 1
+    assert store.stats().first().moves == 9
+
+
 def test_streams(spark, tmp_path):
     from tests.test_chess import PGN
     from tempolake.sources.store import Store
