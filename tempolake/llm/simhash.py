@@ -93,8 +93,9 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     if max_bits > 4:
         raise ValueError("the anchors cover at most 4 differing bits")
     low, high = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32)
-    # a fixed number of tasks: a fingerprint makes 34 rows, so their size before says little
-    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    # a fixed number of tasks: a fingerprint makes 34 rows, so their size before says little. By another expression than
+    # the fingerprint, or the planner takes the partitions that there are
+    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))
     rows = fps.select("fp", F.explode(F.concat(_anchors(low, 0), _anchors(high, 1))).alias("anchor"))
     full = rows.groupBy("anchor").count().where(F.col("count") > 1).select("anchor", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     rows = rows.join(full, "anchor")
