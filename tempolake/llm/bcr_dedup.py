@@ -16,6 +16,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame
@@ -121,19 +122,20 @@ class _File:
         self.fs.delete_file(self.path)
 
 
-def _least(lcp: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Least of lcp[a + 1 .. b] for each pair a < b."""
+def _least(padded: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least of lcp[a + 1 .. b] for each pair a < b; ``padded`` is lcp with one more value."""
     if not len(a):
         return np.zeros(0, np.int16)
-    cuts = np.stack([a + 1, b + 1], axis=1).ravel()
-    padded = np.append(lcp, np.int16(32767))
+    cuts = np.empty(2 * len(a), np.int64)
+    np.add(a, 1, out=cuts[::2])
+    np.add(b, 1, out=cuts[1::2])
     return np.minimum.reduceat(padded, cuts)[::2]
 
 
-def _scan(sequence, place: np.ndarray, base: np.ndarray):
+def _scan(sequence, place: np.ndarray, base: np.ndarray, total: np.ndarray):
     """For places in order: where the suffix with the place's symbol before it belongs, and its common prefixes there.
 
-    ``base`` is where the suffixes of each first symbol begin. The common prefixes are one more than the least between
+    ``base`` is where the suffixes of each first symbol begin, ``total`` counts the sequence's symbols. The common prefixes are one more than the least between
     the place and the one before (after) it with the same symbol, and 0 without such.
     """
     rank, low, high = np.empty(len(place), np.int64), np.zeros(len(place), np.int16), np.zeros(len(place), np.int16)
@@ -144,16 +146,18 @@ def _scan(sequence, place: np.ndarray, base: np.ndarray):
         i, j = np.searchsorted(place, [at, at + len(bwt)])
         p = place[i:j] - at
         order = np.argsort(bwt, kind="stable")
-        counts = np.bincount(bwt, minlength=len(base))
+        counts = np.bincount(bwt, minlength=len(base)) if len(sequence.sizes) > 1 else total
         starts = np.cumsum(counts) - counts
-        where = np.empty(len(bwt), np.int64)
-        where[order] = np.arange(len(bwt))
-        c, w = bwt[p], where[p]
+        # w: where the places are in that order; marks of the places, read in it, are the places by symbol
+        marks, c, w = np.zeros(len(bwt), bool), bwt[p], np.empty(len(p), np.int64)
+        marks[p] = True
+        w[np.argsort(c, kind="stable")] = np.flatnonzero(marks[order])
         rank[i:j] = seen[c] + w - starts[c]
+        padded = np.append(lcp, np.int16(32767))
         k = np.flatnonzero(w > starts[c])
-        low[i + k] = 1 + _least(lcp, order[w[k] - 1], p[k])
+        low[i + k] = 1 + _least(padded, order[w[k] - 1], p[k])
         k = np.flatnonzero(w < starts[c] + counts[c] - 1)
-        high[i + k] = 1 + _least(lcp, p[k], order[w[k] + 1])
+        high[i + k] = 1 + _least(padded, p[k], order[w[k] + 1])
         if len(sequence.sizes) > 1:
             so_far, here = np.minimum.accumulate(lcp), np.flatnonzero(counts)
             first, final = order[starts[here]], order[starts[here] + counts[here] - 1]
@@ -178,9 +182,7 @@ def _insert(blocks, n: int, out, new: np.ndarray, symbol: np.ndarray, low: np.nd
         end = at + len(bwt)
         j = len(new) if end == n else int(np.searchsorted(spot, end))
         s = spot[i:j] - at
-        lcp = lcp.copy()
         follows = np.append(s[1:] != s[:-1], True)[: len(s)] & (s < len(bwt))
-        lcp[s[follows]] = high[i:j][follows]
         put = new[i:j] - at - i
         old = np.ones(len(bwt) + len(put), bool)
         old[put] = False
@@ -189,6 +191,7 @@ def _insert(blocks, n: int, out, new: np.ndarray, symbol: np.ndarray, low: np.nd
             g = np.empty(len(old), x.dtype)
             g[old], g[put] = x, y[i:j]
             grown.append(g)
+        grown[1][put[follows] + 1] = high[i:j][follows]
         out.add(*grown)
         at, i = end, j
     out.close()
@@ -219,7 +222,7 @@ def column_index(segments: list[bytes], folder: str | None = None):
     live = np.flatnonzero(sizes > 0)
     place = live
     for t in range(1, width + 1):
-        rank, low, high = _scan(sequence, place, _bases(total, count))
+        rank, low, high = _scan(sequence, place, _bases(total, count), total)
         by = np.argsort(rank)
         live, place = live[by], rank[by]
         symbol, grown = column[t, live], sequence.new()
@@ -441,10 +444,11 @@ def _indexed(pieces: DataFrame, folder: str) -> DataFrame:
     def run(batches):
         segments, orders, group, last, out = [], [], {}, None, []
         for b in batches:
-            for h, segment, d, a, n, window in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
-                if segment is None:
-                    out.append((d, a, n, window))
-                    continue
+            whole = b.column(1).is_valid()
+            if whole.true_count < len(b):
+                yield b.filter(pc.invert(whole)).select(["d", "start", "n", "window"])
+                b = b.filter(whole)
+            for h, segment, d, a, n in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
                 if h != last:
                     if len(group) > 1:  # a segment alone repeats in its copies only
                         segments += group
