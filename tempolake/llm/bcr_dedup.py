@@ -2,7 +2,7 @@
 
 A window is a string of ``WINDOW`` bytes. Windows are dealt out by their minimizer (the least hash of the grams inside), so
 equal windows always meet; consecutive windows of one minimizer travel as one segment of under 200 bytes. Only
-minimizers that occur in two places matter. The distinct segments of such minimizers form collections; each is
+minimizers that occur in two places matter, be it in one segment. The distinct segments of such minimizers form collections; each is
 indexed by inserting one symbol of every segment a round, from the last to the first, updating the transform and the
 longest common prefixes. Runs of common prefixes of ``WINDOW`` or more are equal windows. A round reads the sequence of the
 round before from its start to its end and writes its own; the sequences of larger collections are files in the shared
@@ -42,10 +42,14 @@ LAST = (1 << 63) - 1
 
 
 def window_runs(data: np.ndarray):
-    """(minimizer, first window, windows) of each run of windows with one minimizer, at most ``SPAN`` windows long."""
+    """(minimizer, first window, windows, inner) of each run of windows with one minimizer, at most ``SPAN`` windows long.
+
+    ``inner``: windows of the run itself may be equal. Such windows hold the minimizer at one offset, so in two places of
+    the text; as the first place leaves the windows, the minimizer stays.
+    """
     n = len(data) - GRAM + 1
     if len(data) < WINDOW:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
     data = np.ascontiguousarray(data)
     eight = np.ndarray((len(data) - 7,), "<u8", data.tobytes(), strides=(1,))
     h = np.full(n, 0x9E3779B97F4A7C15, np.uint64)
@@ -55,7 +59,7 @@ def window_runs(data: np.ndarray):
         h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(29)
-    cover = 1
+    grams, cover = h, 1
     while cover * 2 <= SPAN:
         h = np.minimum(h[:-cover], h[cover:])
         cover *= 2
@@ -67,7 +71,10 @@ def window_runs(data: np.ndarray):
     of = np.repeat(np.arange(len(starts)), parts)
     k = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
     first = starts[of] + k * SPAN
-    return h[starts][of], first, np.minimum(SPAN, starts[of] + sizes[of] - first)
+    inner = np.zeros(len(of), bool)
+    stays = np.flatnonzero((grams[: len(h) - 1] == h[:-1]) & (h[1:] == h[:-1]))
+    inner[np.searchsorted(first, stays, side="right") - 1] = True
+    return h[starts][of], first, np.minimum(SPAN, starts[of] + sizes[of] - first), inner
 
 
 class _Memory:
@@ -283,7 +290,7 @@ def _minimizers(docs: DataFrame) -> DataFrame:
     """(h, k, tag) of documents (th, k, text): runs of windows of the texts; ``k`` is a hash of the text.
 
     ``tag`` is start << 16 | windows << 2 | known << 1 | sent. Known: the same task saw the minimizer in another place
-    too; of a minimizer that a task sees in several places one row alone is sent to meet other tasks' rows. A task looks
+    too, or windows of the run may be equal; of a minimizer that a task sees in several places one row alone is sent to meet other tasks' rows. A task looks
     into equal texts once, as far as it remembers them.
     """
 
@@ -296,9 +303,9 @@ def _minimizers(docs: DataFrame) -> DataFrame:
                 if len(seen) >= REMEMBERED:
                     seen.clear()
                 seen.add(th)
-                h, a, count = window_runs(np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8))
+                h, a, count, inner = window_runs(np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8))
                 if len(h):
-                    held.append((h.view(np.int64), np.full(len(h), k, np.int64), a << 16 | count << 2))
+                    held.append((h.view(np.int64), np.full(len(h), k, np.int64), a << 16 | count << 2 | inner.astype(np.int64) << 1))
                     n += len(h)
             if n >= COMBINE:
                 yield combined(held)
@@ -318,7 +325,7 @@ def _minimizers(docs: DataFrame) -> DataFrame:
 
 
 def _repeated(rows: DataFrame) -> DataFrame:
-    """(h, k, start, n): the rows of ``_minimizers`` whose minimizer occurs in more than one place; a few may be twice."""
+    """(h, k, start, n): the rows of ``_minimizers`` that are known or whose minimizer others have; a few may be twice."""
     rows = rows.repartition(F.when(F.col("tag").bitwiseAND(F.lit(1)) == 1, F.col("h")).otherwise(F.xxhash64("k", "tag"))).sortWithinPartitions("h")
 
     def run(batches):
@@ -437,6 +444,18 @@ def _run_batch(rows):
     return _batch(rows, ["d", "start", "n", "window"], [pa.int64(), pa.int32(), pa.int32(), pa.binary()])
 
 
+def _matters(group: dict) -> bool:
+    """Whether windows of the distinct segments of a minimizer can be equal; for a segment alone, whether its own can.
+
+    All windows of a segment share its middle bytes, which occur once more if two of the windows are equal.
+    """
+    if len(group) != 1:
+        return bool(group)
+    (segment,) = group
+    n = len(segment) - WINDOW + 1
+    return segment.find(segment[n - 1 : WINDOW], n) >= 0
+
+
 def _indexed(pieces: DataFrame, folder: str) -> DataFrame:
     """Runs (d, start, n) of windows that have an equal earlier one, and single windows that are yet to be compared."""
     rows = pieces.repartition(F.when(F.col("segment").isNull(), F.xxhash64("d", "start")).otherwise(F.col("h"))).sortWithinPartitions("h", "d", "start")
@@ -450,7 +469,7 @@ def _indexed(pieces: DataFrame, folder: str) -> DataFrame:
                 b = b.filter(whole)
             for h, segment, d, a, n in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
                 if h != last:
-                    if len(group) > 1:  # a segment alone repeats in its copies only
+                    if _matters(group):
                         segments += group
                         orders += group.values()
                     if len(segments) >= BLOCK_SEGMENTS:
@@ -462,7 +481,7 @@ def _indexed(pieces: DataFrame, folder: str) -> DataFrame:
             if out:
                 yield _run_batch(out)
                 out = []
-        if len(group) > 1:
+        if _matters(group):
             segments += group
             orders += group.values()
         if segments and (out := found(segments, orders)):

@@ -120,5 +120,22 @@ def op9_bcr_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-ORACLES["op4_embedding_pq"] = OP4_SQL
+OP9_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+t AS (SELECT doc_id, h, length(h) // 2 AS n FROM d),
+b AS (SELECT doc_id, n, b, substr(h, 2 * b + 1, 1222) AS part FROM (SELECT doc_id, h, n, unnest(range(0, greatest(n - 99, 0), 512)) AS b FROM t)),
+w AS (SELECT doc_id, b + i AS start, md5(substr(part, 2 * i + 1, 200)) AS w FROM (SELECT doc_id, b, part, unnest(range(0, least(512, n - 99 - b))) AS i FROM b)),
+r AS (SELECT doc_id, start FROM w QUALIFY row_number() OVER (PARTITION BY w ORDER BY doc_id, start) > 1),
+j AS (SELECT doc_id, start, coalesce(start - lag(start) OVER (PARTITION BY doc_id ORDER BY start) > 100, true) AS new FROM r),
+s AS (SELECT doc_id, min(start) AS a, max(start) + 100 AS e FROM (SELECT doc_id, start, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY start) AS run FROM j) GROUP BY doc_id, run),
+p AS (SELECT doc_id, a, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM s),
+g AS (
+  SELECT doc_id, count(*) AS n_spans, sum(e - a) AS n_removed, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(e) + 1) AS kept
+  FROM p JOIN t USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM t LEFT JOIN g USING (doc_id)
+"""
+
+ORACLES |= {"op4_embedding_pq": OP4_SQL, "op9_bcr_dedup": OP9_SQL}
 QUERIES |= {"op4_embedding_pq": op4_embedding_pq, "op8_line_dedup": op8_line_dedup, "op9_bcr_dedup": op9_bcr_dedup}

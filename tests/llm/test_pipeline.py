@@ -2,6 +2,7 @@
 
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -132,3 +133,13 @@ def test_queries_have_their_columns(spark):
     assert {int(k[2:].split("_")[0]) for k in queries.QUERIES} == set(range(1, 11))
     for name in ("op2_quality", "op3_toxicity"):
         assert queries.QUERIES[name](spark, SF).columns == ["doc_id", "held_out", "score", "predicted"]
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_queries_say_what_their_sql_says(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    found = queries.QUERIES[name](spark, SF)
+    want = con.sql(f"SELECT {', '.join(found.columns)} FROM ({queries.ORACLES[name]})").fetchall()
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want))

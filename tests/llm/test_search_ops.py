@@ -222,6 +222,28 @@ def test_hot_minimizers_keep_every_place(spark):
         spark.conf.set("spark.sql.shuffle.partitions", was)
 
 
+def test_windows_that_repeat_within_one_run(spark):
+    # texts of a period each, which no other text shares: their repeats lie in one run of windows, or in few
+    r = random.Random(8)
+    texts = []
+    for period in [*range(1, 70), 99, 100, 140]:
+        for more in (0, 1, 7, 61):
+            unit = "".join(chr(r.randrange(0xA1, 0x800)) for _ in range(period // 2)) + chr(r.randrange(33, 127)) * (period % 2)
+            whole = (unit * 300).encode()[: 100 + period + more - 1]
+            texts.append("".join(r.choice("QRSTUVW") for _ in range(r.randrange(60))) + whole.decode(errors="ignore") + f"{period} {more}")
+    want, seen = [], set()
+    for k, t in enumerate(x.encode() for x in texts):
+        gone = np.zeros(len(t), bool)
+        for s in range(len(t) - 99):
+            if t[s : s + 100] in seen:
+                gone[s : s + 100] = True
+            seen.add(t[s : s + 100])
+        want.append((k, int(gone.sum())))
+    got = bcr_dedup.dedup_bytes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted((x.id, x.n_removed) for x in got.select("id", "n_removed").collect()) == want
+    assert sum(n > 0 for _, n in want) > 150
+
+
 @pytest.mark.parametrize("most, memory, remembered", [(20_000, 400_000, 50_000), (20_000, 100, 50_000), (20_000, 400_000, 1), (1, 400_000, 50_000), (1, 400_000, 1)])
 def test_byte_dedup_is_brute_force(spark, monkeypatch, most, memory, remembered):
     monkeypatch.setattr(bcr_dedup, "MOST_SEGMENTS", most)
