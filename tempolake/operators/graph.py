@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import chess
@@ -74,6 +74,18 @@ def build(games: DataFrame, moves: DataFrame, positions: DataFrame, themes: Data
     return reduce(DataFrame.union, nodes), reduce(DataFrame.unionByName, edges)
 
 
+def save(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """The graph as two Parquet tables under ``path``; edges lie by relation, which is what traversals filter on."""
+    nodes.write.mode("overwrite").parquet(f"{path}/nodes")
+    edges.write.mode("overwrite").partitionBy("rel").parquet(f"{path}/edges")
+
+
+def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) as ``save`` wrote them."""
+    edges = spark.read.parquet(f"{path}/edges")
+    return spark.read.parquet(f"{path}/nodes"), edges.select("src", "dst", "rel", *EDGE_COLUMNS)
+
+
 def neighbours(edges: DataFrame, nodes: DataFrame, rel: str, out: bool = True) -> DataFrame:
     """Edges of ``rel`` that leave (or reach) the given nodes (id)."""
     return edges.where(F.col("rel") == rel).join(nodes.select(F.col("id").alias("src" if out else "dst")), "src" if out else "dst", "left_semi")

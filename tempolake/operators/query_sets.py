@@ -122,6 +122,17 @@ def compare(queries: DataFrame, qrels: DataFrame, rankings: dict[str, DataFrame]
     return reduce(DataFrame.union, parts)
 
 
+def save_results(path: str, queries: DataFrame, results: DataFrame, rankings: dict[str, DataFrame]) -> None:
+    """JSON lines under ``path``: ``queries``, ``results`` (as ``compare`` gives them) and ``per_query``, each query's
+    documents in the order of each retriever (null where it found none)."""
+    queries.write.mode("overwrite").json(f"{path}/queries")
+    results.write.mode("overwrite").json(f"{path}/results")
+    # a ranking is cut to its k, so a query's list is bounded
+    found = F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda r: r["doc_id"]).alias("docs")
+    lists = [queries.select("qid").join(hits.groupBy("qid").agg(found), "qid", "left").select(F.lit(name).alias("retriever"), "qid", "docs") for name, hits in rankings.items()]
+    reduce(DataFrame.union, lists).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/per_query")
+
+
 def hybrid(queries: DataFrame, retrievers: dict[str, Retriever], k: int = 10, fetch_k: int = 30, rrf_k: int = RRF_K, doc_id: str = "doc_id") -> DataFrame:
     """(qid, doc_id, score, rank, sources): each retriever's ``fetch_k`` best, fused by reciprocal ranks."""
     return reciprocal_rank_fusion({name: r(queries, fetch_k) for name, r in retrievers.items()}, k, doc_id, rrf_k=rrf_k)

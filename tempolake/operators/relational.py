@@ -28,6 +28,19 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return both.groupBy(*keys).agg(F.max(F.struct("__turn", *rest)).alias("__row")).select(*keys, *(F.col(f"__row.{c}").alias(c) for c in rest)).select(old.columns)
 
 
+def accumulate(old: DataFrame, new: DataFrame, keys: list[str], count: str, order: list[str]) -> DataFrame:
+    """``old`` and ``new`` rows by key: ``count`` is summed up, the other columns stay as they were first.
+
+    Old rows come before new ones, rows of one side by ascending ``order`` and then by all other columns. A null count is 0.
+    One aggregate, so a hot key is reduced before it moves.
+    """
+    rest = [c for c in old.columns if c not in keys and c not in order and c != count]
+    both = old.withColumn("__turn", F.lit(0)).unionByName(new.withColumn("__turn", F.lit(1)))
+    first = F.min(F.struct("__turn", *order, *rest)).alias("__row")
+    out = both.groupBy(*keys).agg(F.coalesce(F.sum(count), F.lit(0)).cast(old.schema[count].dataType).alias(count), first)
+    return out.select(*keys, count, *(F.col(f"__row.{c}").alias(c) for c in [*order, *rest])).select(old.columns)
+
+
 def top_totals(rows: DataFrame, keys: list[str], value: str, k: int) -> DataFrame:
     """(keys, n, mean, total): the ``k`` groups whose values sum up to most; ties go by key."""
     out = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.sum(value).alias("total"))

@@ -292,6 +292,19 @@ def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.upsert(rows("F"), rows("P"), ["o_custkey"])
 
 
+@query("""
+WITH ab AS (SELECT 0 AS turn, o_custkey, o_orderkey, length(o_orderpriority) AS seen, o_totalprice FROM orders WHERE o_orderstatus = 'F'
+            UNION ALL SELECT 1, o_custkey, o_orderkey, length(o_orderpriority), o_totalprice FROM orders WHERE o_orderstatus <> 'F')
+SELECT o_custkey, o_orderkey, CAST(sum(seen) OVER (PARTITION BY o_custkey) AS BIGINT) AS seen, o_totalprice FROM ab
+QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY turn, o_orderkey, o_totalprice) = 1
+""")
+def accumulate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
+    done = F.col("o_orderstatus") == "F"
+    rows = lambda keep: orders.where(keep).select("o_custkey", "o_orderkey", F.length("o_orderpriority").cast("long").alias("seen"), "o_totalprice")
+    return relational.accumulate(rows(done), rows(~done), ["o_custkey"], "seen", ["o_orderkey"])
+
+
 @query("SELECT count(*) AS requests, count(doc) AS hits, round(count(doc) / count(*), 6) AS rate FROM documents LEFT JOIN (SELECT DISTINCT doc_id AS doc FROM labels) ON doc = doc_id")
 def cache_hit_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = relational.hit_rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import chess
-from ..operators import graph, query_sets, retrieval
+from ..operators import graph, loss, query_sets, retrieval
 from ..operators.relational import all_of, counts_of, flipped, listed, scoped, top_totals, topk_per_group, worst_means
 
 LEVEL = 300  # a position within so many centipawns counts as level
@@ -106,6 +106,23 @@ def similar_positions(edges: DataFrame, moves: DataFrame, pos_key: str = "", lim
     return near.join(worst, "pos_key", "left").orderBy(F.desc("similarity"), "pos_key").limit(limit)
 
 
+def analyze_position(cache: DataFrame, positions: DataFrame, depth: int = 16) -> DataFrame:
+    """For each position (fen): the deepest evaluation of the cache of at most ``depth``, nulls where it has none.
+
+    (fen, pos_key, side_to_move, eval_cp, mate_in, win_probability of the side to move, best_move, best_san,
+    principal_variation, depth). Of one depth the widest search counts. No engine runs here: what the cache lacks is what
+    ``chain.work_list`` asks for. Searches that failed don't count; ``depth`` is 22 at most.
+    """
+    side = F.when(F.split_part("fen", F.lit(" "), F.lit(2)) == "w", "white").otherwise("black")
+    asked = positions.select("fen", chess.position_key(F.col("fen")).alias("pos_key"), side.alias("side_to_move"))
+    able = cache.where((F.col("depth") <= min(depth, 22)) & ~F.coalesce("failed", F.lit(False))).join(asked.select("pos_key").distinct(), "pos_key", "left_semi")
+    said = F.struct("score_cp", "mate", "best_uci", "pv", "depth")
+    best = able.groupBy("pos_key").agg(F.max_by(said, F.struct("depth", "multipv")).alias("e"))
+    odds = F.when(F.col("e").isNotNull(), F.round(chess.win_probability(chess.clamped(F.col("e.score_cp"), F.col("e.mate"))), 3))
+    found = asked.join(best, "pos_key", "left").withColumns({"win_probability": odds, "best_san": loss.san_udf("fen", F.col("e.best_uci"))})
+    return found.select("fen", "pos_key", "side_to_move", F.col("e.score_cp").alias("eval_cp"), F.col("e.mate").alias("mate_in"), "win_probability", F.col("e.best_uci").alias("best_move"), "best_san", F.col("e.pv").alias("principal_variation"), "e.depth")
+
+
 def similar_games(questions: DataFrame, docs: DataFrame, nodes: DataFrame, edges: DataFrame, subject: str | None = None, limit: int = 10) -> DataFrame:
     """(qid, doc_id, score, rank, sources and the document's columns): BM25 and the graph, fused; questions (qid, text)."""
     text = lambda q, k: retrieval.bm25(docs, q, k)

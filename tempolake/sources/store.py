@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.relational import hit_rate as rate_of
-from ..operators.relational import missing, upsert
+from ..operators.relational import accumulate, missing, upsert
 
 KEYS = {"games": ["game_id"], "moves": ["game_id", "ply"], "positions": ["pos_key"], "move_themes": ["game_id", "ply", "theme"], "position_eval": ["pos_key", "depth", "multipv"]}
 
@@ -33,16 +33,27 @@ class Store:
         return self.spark.read.parquet(f"{self.path}/{table}/v{found[-1]}") if found else None
 
     def put(self, table: str, rows: DataFrame) -> DataFrame:
-        """Upserts by the table's key; of new rows with one key the greatest stays. Columns that one side lacks are null there.
+        """Upserts by the table's key; of new rows with one key the greatest stays. Columns that one side lacks are null there."""
+        return self._write(table, upsert(*self._aligned(table, rows), KEYS[table]))
 
-        What a lost write left of the next version is overwritten; the version before the last is removed, so that readers
-        of the last one before this write aren't disturbed.
+    def add_positions(self, rows: DataFrame) -> DataFrame:
+        """Adds the ``seen_count`` of positions to what the store has; of one that is known already all else stays.
+
+        For batches of games that come once each: adding a batch again counts it again, where ``put`` would not.
         """
+        return self._write("positions", accumulate(*self._aligned("positions", rows), KEYS["positions"], "seen_count", ["ply", "fen"]))
+
+    def _aligned(self, table: str, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The table's rows and the new ones, each with the columns of both."""
         old = self.read(table)
         old = rows.limit(0) if old is None else old
         fill = lambda a, b: a.withColumns({c: F.lit(None).cast(b.schema[c].dataType) for c in b.columns if c not in a.columns})
         old = fill(old, rows)
-        merged = upsert(old, fill(rows, old), KEYS[table])
+        return old, fill(rows, old)
+
+    def _write(self, table: str, merged: DataFrame) -> DataFrame:
+        """Writes the next version, over what a lost write left of it. The version before the last is removed, so that readers
+        of the last one before this write aren't disturbed."""
         found = self._versions(table)
         merged.write.mode("overwrite").parquet(f"{self.path}/{table}/v{found[-1] + 1 if found else 0}")
         fs, path = self._fs()

@@ -165,6 +165,10 @@ def test_store(spark, tmp_path):
     store.put("games", rows(("a", "1"), ("b", "1")))
     store.put("games", rows(("b", "2"), ("c", "2"), ("c", "2")))
     assert sorted(map(tuple, store.read("games").collect())) == [("a", "1"), ("b", "2"), ("c", "2")]
+    seen = lambda *x: spark.createDataFrame(list(x), "pos_key string, fen string, ply int, opening string, seen_count long")
+    store.add_positions(seen(("p", "f", 3, "A", 2), ("q", "g", 1, None, 1), ("q", "g", 0, "C", 1)))
+    store.add_positions(seen(("p", "h", 1, "B", 5), ("r", "i", 2, "D", None)))
+    assert sorted(map(tuple, store.read("positions").collect())) == [("p", "f", 3, "A", 7), ("q", "g", 0, "C", 2), ("r", "i", 2, "D", 0)]
     cache = spark.createDataFrame([("p", 12, 2)], "pos_key string, depth int, multipv int")
     pos = spark.createDataFrame([("p", "f"), ("q", "g")], "pos_key string, fen string")
     assert [r.pos_key for r in missing_evaluations(pos, cache, 12, 2).collect()] == ["q"]

@@ -1,5 +1,6 @@
 """Retrieval, ranking metrics, the graph, the report and streaming, over small hand-made tables."""
 
+import json
 import math
 
 import pytest
@@ -146,7 +147,7 @@ def test_similar_games_and_positions(spark, corpus):
     assert report.similar_positions(edges, moves, k1, families=family).count() == 0
 
 
-def test_query_sets(spark):
+def test_query_sets(spark, tmp_path):
     rows = []
     for k in range(40):  # the subject's, white, forks in the middlegame
         rows.append((f"s{k}", "Open A" if k < 20 else "Open B", "Fam A" if k < 20 else "Fam B", "Me", "white", ["fork"], "middlegame", 250 if k < 30 else 120, True))
@@ -166,6 +167,10 @@ def test_query_sets(spark):
     hits = qrels.where("qid <> 'rel0'").withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("doc_id"))).where("rank <= 20")
     m = {r.family: r for r in query_sets.compare(queries, qrels, {"x": hits}).collect()}
     assert m["all"].n == 7 and m["all"].empty == 1 and m["lexical"].recall_20 == (1 + 1 + 1) / 3 and m["relational"].mrr == 0.5
+    query_sets.save_results(str(tmp_path), queries, query_sets.compare(queries, qrels, {"x": hits}), {"x": hits})
+    told = {r.qid: r.docs for r in spark.read.json(f"{tmp_path}/per_query").collect()}
+    assert told["rel0"] is None and len(told["lex0"]) == 20 and told["lex2"] == sorted(told["lex2"]) and len(told) == spark.read.json(f"{tmp_path}/queries").count() == 7
+    assert {r.retriever for r in spark.read.json(f"{tmp_path}/results").collect()} == {"x"}
     # the same rows whatever the partitions
     assert relational.sampled(docs, "doc_id", 5).collect() == relational.sampled(docs.repartition(7), "doc_id", 5).collect()
 
@@ -207,7 +212,8 @@ def test_full_blocks_are_dealt_out(spark, monkeypatch):
     assert got[0] == got[1] and len(got[0]) > 100
 
 
-def test_chain(spark, tmp_path):
+def test_chain(spark, tmp_path, capsys):
+    from tempolake import __main__ as cli
     from tempolake.plans import chain
     from tempolake.sources import pgn
     from tempolake.sources.store import Store
@@ -230,8 +236,24 @@ def test_chain(spark, tmp_path):
     assert moves.where("ply = 1").first().best_move_san == "Nf3" and moves.where("cp_loss is not null").count() == 9
     nodes, edges, docs = chain.knowledge(store, least_seen=1)
     assert nodes.count() and edges.count() and docs.count() >= 1
+    graph.save(nodes, edges, str(tmp_path / "g"))
+    again = graph.load(spark, str(tmp_path / "g"))
+    assert again[1].schema.names == edges.schema.names and [a.exceptAll(b).count() for a, b in zip(again, (nodes, edges), strict=True)] == [0, 0]
+    asked = spark.createDataFrame([(moves.where("ply = 1").first().fen_before,), ("8/8/8/8/8/8/8/K1k5 b - - 0 1",)], "fen string")
+    deep = evals.where(F.col("pos_key") == keys[0]).withColumns({"depth": F.lit(20), "score_cp": F.lit(35)})
+    said = {r.side_to_move: r for r in report.analyze_position(evals.union(deep).union(deep.withColumns({"depth": F.lit(21), "failed": F.lit(True)})), asked, 30).collect()}
+    assert (said["white"].eval_cp, said["white"].depth, said["white"].best_san) == (35, 20, "Nf3") and 0.5 < said["white"].win_probability < 0.6
+    assert said["black"].eval_cp is None and said["black"].win_probability is None and said["black"].depth is None
+    assert report.analyze_position(evals.union(deep), asked.limit(1)).first().depth == 12
     assert report.to_dict(chain.prepare_report(store, "Ann"))["profile"][0]["games"] == 1
     assert loss.annotate(moves.select("game_id", "ply", "uci", "pos_key", "pos_key_after", "terminal", "fen_before"), evals, 3).where("judgment is not null").count() == 3
+    run = lambda *x: (cli.main([f"file://{tmp_path}/s", *x], spark), capsys.readouterr().out)[1]
+    assert run("report", "Ann").startswith("# Preparation: Ann") and json.loads(run("report", "Ann", "--json"))["profile"][0]["games"] == 1
+    assert len(run("themes").splitlines()) == store.read("move_themes").select("theme").distinct().count()
+    run("worklist", str(tmp_path / "w"), "--depth", "9")
+    assert spark.read.parquet(str(tmp_path / "w")).count() == 9
+    evals.write.parquet(str(tmp_path / "e"))
+    assert json.loads(run("ingest", str(tmp_path / "in"), "--subject", "Ann", "--evals", str(tmp_path / "e")))["moves"] == 9
     # a version that a lost write left behind is no obstacle
     (tmp_path / "s/games/v9").mkdir()
     for v in (3, 4):
