@@ -146,23 +146,31 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Randomised contraction: in each round every node moves to the neighbour (or itself) of lowest hash, edges are
     renamed, loops and repeats go. The expected number of rounds is logarithmic, whatever the shape of the graph, and
     a hub's edges are reduced by map-side minimums, so no node's edges meet in one task. Nothing comes to the driver
-    but whether edges are left. The root is some node of the component, the same for all of them.
+    but whether edges are left. The root is some node of the component, the same for all of them. Each table is written
+    and read again: a checkpoint keeps the planner's estimate, which of joins is a product and has three times the digits
+    after each round.
     """
-    shared_dir(edges.sparkSession)
-    edges = edges.where("u is not null and v is not null and u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().checkpoint()
-    labels, turn = None, 0
+    edges = stored(edges.where("u is not null and v is not null and u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
+    rounds: list[DataFrame] = []
     while not edges.isEmpty():
-        turn += 1
-        low = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("h"), F.col(c).alias("to"))
+        turn = len(rounds) + 1
+        low = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("h"), F.col(c).alias("to"))  # noqa: B023, E731
         ends = edges.select(F.col("u").alias("node"), low("v").alias("low")).union(edges.select(F.col("v").alias("node"), low("u").alias("low")))
         moved = ends.groupBy("node").agg(F.min("low").alias("low"))
-        moved = moved.select("node", F.least(F.col("low"), low("node")).getField("to").alias("to")).checkpoint()
-        if labels is None:
-            labels = moved.select("node", F.col("to").alias("root"))
-        else:
-            step = moved.select(F.col("node").alias("root"), "to")
-            labels = labels.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-        a = moved.select(F.col("node").alias("u"), F.col("to").alias("a"))
-        b = moved.select(F.col("node").alias("v"), F.col("to").alias("b"))
-        edges = edges.join(a, "u").join(b, "v").where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct().checkpoint()
-    return edges.sparkSession.createDataFrame([], "node long, root long") if labels is None else labels.checkpoint()
+        moved = stored(moved.select("node", F.least(F.col("low"), low("node")).getField("to").alias("root")), "moved")
+        rounds.append(moved)
+        a = moved.select(F.col("node").alias("u"), F.col("root").alias("a"))
+        b = moved.select(F.col("node").alias("v"), F.col("root").alias("b"))
+        renamed = edges.join(a, "u").join(b, "v").where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+        edges, old = stored(renamed, "edges"), edges
+        drop(old)
+    drop(edges)
+    if not rounds:
+        return edges.sparkSession.createDataFrame([], "node long, root long")
+    roots = rounds.pop()
+    while rounds:  # from the last round back, a join of two tables each
+        moved = rounds.pop()
+        later = roots.select(F.col("node").alias("root"), F.col("root").alias("end"))
+        old, roots = roots, stored(moved.join(later, "root", "left").select("node", F.coalesce("end", "root").alias("root")), "roots")
+        drop(moved, old)
+    return roots

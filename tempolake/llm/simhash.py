@@ -98,7 +98,8 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))
     rows = fps.select("fp", F.explode(F.concat(_anchors(low, 0), _anchors(high, 1))).alias("anchor"))
     full = rows.groupBy("anchor").count().where(F.col("count") > 1).select("anchor", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(full, "anchor")
+    # the planner takes the exploded rows for as few as the fingerprints, which it may find small enough to broadcast
+    rows = rows.join(full.hint("merge"), "anchor")
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     rows = rows.select("anchor", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     rows = rows.select("anchor", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")

@@ -92,6 +92,19 @@ def test_components_of_paths_and_stars(spark):
     assert sorted(map(len, sets.values())) == [200, 301]
 
 
+def test_exploded_anchors_are_not_broadcast(spark):
+    df = spark.createDataFrame([(k,) for k in range(500)], "fp long")
+    found = simhash.links(df)
+    found.collect()
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_estimates_stay_bounded_over_the_rounds(spark):
+    got = simhash.connected_components(spark.range(2000).selectExpr("id u", "id + 1 v"))
+    assert len(got.select("root").distinct().collect()) == 1 and got.count() == 2001
+    assert got._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 63
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     import public_tokenizers
