@@ -18,13 +18,13 @@ LENGTH = 2048
 END = 1
 #: Documents and tokens that a task packs together; memory is bounded by the larger of this and one document.
 GROUP_DOCS, GROUP_TOKENS = 8192, 2_000_000
-#: Words whose ids a worker remembers.
-CACHE_WORDS = 400_000
+#: Words and pieces of words whose ids a worker remembers. Pieces, which cost the most, are fewer and are kept longer.
+CACHE_WORDS, CACHE_PIECES = 300_000, 700_000
 
 SCHEMA = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
-# The vocabulary's own splitting rule, for words of Latin-1 characters. Fixed values.
-_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\\sa-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
+# The vocabulary's own splitting rule, for words of Latin-1 characters, and the line ends between words. Fixed values.
+_PIECES = re.compile("\\n|'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\\sa-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -34,66 +34,98 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + n) for n, b in enumerate(rest)}
 
 
+class _Slots(dict):
+    """Places of strings; a string that has none gets the next one and is noted in ``new``."""
+
+    def __missing__(self, name: str) -> int:
+        k = self[name] = len(self)
+        self.new.append(name)
+        return k
+
+
+class _Ids:
+    """Remembered ids of strings; ``none`` has none."""
+
+    def __init__(self, none: str):
+        self.slot = _Slots({none: 0})
+        self.slot.new = []
+        self.flat, self.starts, self.sizes = array("I"), array("q", [0]), array("q", [0])
+
+    def find(self, names: list[str]) -> tuple[np.ndarray, list[str]]:
+        """(places of the strings, the new ones among them in order), whose ids are to be added next."""
+        slots = np.fromiter(map(self.slot.__getitem__, names), np.int64, len(names))
+        new, self.slot.new = self.slot.new, []
+        return slots, new
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """``ids`` are those of all new strings in order, ``sizes`` of each."""
+        self.starts.frombytes((len(self.flat) + np.cumsum(sizes) - sizes).astype(np.int64).tobytes())
+        self.sizes.frombytes(sizes.astype(np.int64).tobytes())
+        self.flat.frombytes(ids.astype(np.uint32).tobytes())
+
+    def of(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the strings in ``slots``, in order, how many each has)."""
+        sizes = np.frombuffer(self.sizes, np.int64)[slots]
+        flat = np.frombuffer(self.flat, np.uint32) if len(self.flat) else np.zeros(0, np.uint32)
+        begins = np.frombuffer(self.starts, np.int64)[slots] - (np.cumsum(sizes) - sizes)
+        return flat[np.repeat(begins, sizes) + np.arange(sizes.sum())], sizes
+
+
 class WordEncoder:
     """Ids of whole texts, exactly the tokenizer's own, from remembered ids of their words.
 
     The vocabulary drops white space before it splits, so no token crosses a blank or a line end and the ids of a text
-    are those of its words in order. A word of printable Latin-1 characters is lower-cased, split by the vocabulary's
-    rule and given to the merge model directly; any other word goes through the whole tokenizer.
+    are those of its words in order. Words of printable Latin-1 characters are lower-cased and split by the vocabulary's
+    rule, and their pieces given to the merge model, all new ones in one call; any other word goes through the whole
+    tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.whole = Tokenizer.from_file(path)
-        self.merge = self.whole.model.tokenize
-        self.letters = _byte_letters()
-        self.clear()
-
-    def clear(self) -> None:
-        self.slot: dict[str, int] = {"": 0}
-        self.pieces: dict[str, list[int]] = {}
-        self.flat, self.starts, self.sizes = array("I"), array("q", [0]), array("q", [0])
-
-    def _piece(self, piece: str) -> list[int]:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            as_bytes = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
-            ids = self.pieces[piece] = [t.id for t in self.merge(as_bytes)]
-        return ids
-
-    def _learn(self, words: set[str]) -> None:
-        odd = []
-        for w in words:
-            if w.isprintable() and max(w) <= "\xff" and "<|" not in w and " " not in w:
-                ids: list[int] = []
-                for p in _PIECES.findall(w.lower()):
-                    ids += self._piece(p)
-                self._add(w, ids)
-            else:
-                odd.append(w)
-        for w, e in zip(odd, self.whole.encode_batch(odd, add_special_tokens=False), strict=True):
-            self._add(w, e.ids)
-
-    def _add(self, word: str, ids: list[int]) -> None:
-        self.slot[word] = len(self.starts)
-        self.starts.append(len(self.flat))
-        self.sizes.append(len(ids))
-        self.flat.extend(ids)
+        self.merge = Tokenizer(self.whole.model)
+        self.merge.pre_tokenizer = WhitespaceSplit()
+        self.letters = {b: c for b, c in _byte_letters().items() if b != 0x20}
+        vocabulary = self.whole.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # a piece's last token, and no other, is marked
+        self.last[[k for t, k in vocabulary.items() if t.endswith("</w>")]] = True
+        self.words, self.pieces = _Ids(""), _Ids("\n")
+
+    def _merged(self, pieces: list[str]) -> np.ndarray:
+        as_bytes = " ".join(pieces).encode().decode("latin-1").translate(self.letters)
+        return np.array(self.merge.encode_batch_fast([as_bytes], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _learn(self, words: list[str]) -> None:
+        odd = [k for k, w in enumerate(words) if not w.isprintable() or not (w.isascii() or max(w) <= "\xff") or "<|" in w or " " in w]
+        plain = words.copy()
+        for k in odd:
+            plain[k] = ""
+        pieces = _PIECES.findall("\n".join(plain).lower() + "\n")
+        slots, new = self.pieces.find(pieces)
+        if new:
+            ids = self._merged(new)
+            self.pieces.add(ids, np.diff(np.flatnonzero(self.last[ids]), prepend=-1))
+        ids, sizes = self.pieces.of(slots)
+        sizes = np.diff(np.cumsum(sizes)[slots == 0], prepend=0)  # a line end is slot 0, without ids
+        if odd:
+            each = [e.ids for e in self.whole.encode_batch([words[k] for k in odd], add_special_tokens=False)]
+            ids = np.insert(ids, np.repeat(np.cumsum(sizes)[odd], list(map(len, each))), [x for e in each for x in e])
+            sizes[odd] = list(map(len, each))
+        self.words.add(ids, sizes)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.slot) > CACHE_WORDS or len(self.pieces) > CACHE_WORDS:
-            self.clear()
+        if len(self.words.slot) > CACHE_WORDS:
+            self.words = _Ids("")
+        if len(self.pieces.slot) > CACHE_PIECES:
+            self.pieces = _Ids("\n")
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        words = [w for s in split for w in s]
-        self._learn(set(words).difference(self.slot))
-        slots = np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))
-        sizes = np.frombuffer(self.sizes, np.int64)[slots]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        flat = np.frombuffer(self.flat, np.uint32) if len(self.flat) else np.zeros(0, np.uint32)
-        ids = flat[np.repeat(np.frombuffer(self.starts, np.int64)[slots] - (ends - sizes), sizes) + np.arange(total)]
-        cuts = np.concatenate(([0], ends))[np.cumsum([len(s) for s in split])]
+        slots, new = self.words.find([w for s in split for w in s])
+        if new:
+            self._learn(new)
+        ids, sizes = self.words.of(slots)
+        cuts = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum([len(s) for s in split])]
         return np.split(ids, cuts[:-1])
 
 

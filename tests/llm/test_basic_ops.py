@@ -121,6 +121,16 @@ def test_ids_are_the_tokenizers(vocabulary):
     assert [x.tolist() for x in got] == [t.encode(x, add_special_tokens=False).ids for x in odd]
 
 
+def test_pieces_are_merged_once(vocabulary, monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_WORDS", 5)
+    enc, merged, given = packing.WordEncoder(vocabulary), packing.WordEncoder._merged, []
+    monkeypatch.setattr(packing.WordEncoder, "_merged", lambda self, pieces: given.extend(pieces) or merged(self, pieces))
+    batches = [["Alpha, beta; 日本 x\u0301 gamma"], ["gamma delta\tbeta\nalpha? 日本 alpha"], ["GAMMA (delta) é"], [""]]
+    got = [x.tolist() for b in batches for x in enc.encode(b)]
+    assert got == [enc.whole.encode(x, add_special_tokens=False).ids for b in batches for x in b]
+    assert len(given) == len(set(given)) and {"alpha", "gamma", "delta"} <= set(given)
+
+
 def test_packing_loses_no_token(spark, docs, vocabulary):
     from tokenizers import Tokenizer
 
