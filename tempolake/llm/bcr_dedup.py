@@ -394,7 +394,8 @@ def _pieces(spotted: DataFrame) -> DataFrame:
     """(h, segment, d, start, n, window) of documents (d, packed, spots).
 
     A task sends a segment once, with its first place in the task; other places of it are known to repeat and go without
-    bytes. Minimizers of very many places go as the digests of their single windows, each once likewise.
+    bytes. Minimizers of very many places go as the digests of their single windows, each once likewise; windows in a row
+    that are known to repeat go as one run.
     """
     names, kinds = ["h", "segment", "d", "start", "n", "window"], [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 
@@ -402,11 +403,23 @@ def _pieces(spotted: DataFrame) -> DataFrame:
         firsts: dict[tuple, tuple] = {}
         out: list[tuple] = []
 
-        def told(key, place, n):
+        def told(key, place):
+            """The place that is known to repeat, if there is one."""
             old = firsts.setdefault(key, place)
-            if old != place:
-                firsts[key] = min(old, place)
-                out.append((key[0], None, *max(old, place), n, None))
+            if old == place:
+                return None
+            firsts[key] = min(old, place)
+            return max(old, place)
+
+        def joined(places):
+            """(d, start, n) of the places of single windows, in runs."""
+            runs: list[list[int]] = []
+            for d, k in sorted(places):
+                if runs and runs[-1][0] == d and runs[-1][1] + runs[-1][2] == k:
+                    runs[-1][2] += 1
+                else:
+                    runs.append([d, k, 1])
+            return runs
 
         def flushed():
             for (h, segment, window), place in firsts.items():
@@ -421,10 +434,10 @@ def _pieces(spotted: DataFrame) -> DataFrame:
                     if a + n + WINDOW - 1 > len(data):  # of another text with the same hash
                         continue
                     if s["hot"]:
-                        for k in range(a, a + n):
-                            told((h, None, hashlib.sha256(data[k : k + WINDOW]).digest()), (d, k), 1)
-                    else:
-                        told((h, data[a : a + n + WINDOW - 1], None), (d, a), n)
+                        places = (told((h, None, hashlib.sha256(data[k : k + WINDOW]).digest()), (d, k)) for k in range(a, a + n))
+                        out += [(h, None, *run, None) for run in joined(x for x in places if x)]
+                    elif place := told((h, data[a : a + n + WINDOW - 1], None), (d, a)):
+                        out.append((h, None, *place, n, None))
             if len(firsts) >= REMEMBERED:
                 flushed()
             if out:

@@ -278,3 +278,17 @@ def test_byte_dedup_is_brute_force(spark, monkeypatch, most, memory, remembered)
     got = [(x.id, x.n_bytes, x.n_removed, x.n_spans, hashlib.sha256(bytes(x.kept)).hexdigest()) for x in bcr_dedup.dedup_bytes(df).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert bcr_dedup.dedup_bytes(df.limit(0)).count() == 0
+
+
+def test_known_windows_of_a_hot_minimizer_go_as_runs(spark, monkeypatch):
+    monkeypatch.setattr(bcr_dedup, "MOST_SEGMENTS", 5)
+    rows, indexed = [], bcr_dedup._indexed
+    monkeypatch.setattr(bcr_dedup, "_indexed", lambda pieces, folder: rows.append(pieces.count()) or indexed(pieces, folder))
+    r = random.Random(8)
+    passage = "".join(r.choice("abcdefgh") for _ in range(300))
+    docs = [(k, "".join(r.choice("ijklmnop") for _ in range(150)) + passage) for k in range(200)]
+    got = bcr_dedup.dedup_bytes(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    # a few letters before the passage may be alike
+    assert all(300 <= x.n_removed <= 310 and x.n_spans == 1 if x.id else x.n_removed == 0 for x in got) and len(got) == 200
+    # 201 windows of the passage and those of its context that share a minimizer with it
+    assert rows[0] < 100 * len(docs)
