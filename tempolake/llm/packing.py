@@ -18,7 +18,7 @@ LENGTH = 2048
 END = 1
 #: Documents and tokens that a task packs together; memory is bounded by the larger of this and one document.
 GROUP_DOCS, GROUP_TOKENS = 8192, 2_000_000
-#: Words and pieces of words whose ids a worker remembers. Pieces, which cost the most, are fewer and are kept longer.
+#: Words and pieces of words whose ids a task remembers. Pieces, which cost the most, are fewer and are kept longer.
 CACHE_WORDS, CACHE_PIECES = 300_000, 700_000
 
 SCHEMA = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -91,6 +91,10 @@ class WordEncoder:
         vocabulary = self.whole.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # a piece's last token, and no other, is marked
         self.last[[k for t, k in vocabulary.items() if t.endswith("</w>")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        """Drops all remembered ids; the vocabulary stays."""
         self.words, self.pieces = _Ids(""), _Ids("\n")
 
     def _merged(self, pieces: list[str]) -> np.ndarray:
@@ -199,15 +203,18 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
             seq += int(q.max()) + 1
             return pa.RecordBatch.from_arrays(cols, names=["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-        for b in batches:
-            group += b.column(0).to_pylist()
-            for x in enc.encode([t or "" for t in b.column(1).to_pylist()]):
-                ids.append(np.append(x, np.uint32(end)))
-                tokens += len(ids[-1])
-            if len(ids) >= GROUP_DOCS or tokens >= GROUP_TOKENS:
+        try:
+            for b in batches:
+                group += b.column(0).to_pylist()
+                for x in enc.encode([t or "" for t in b.column(1).to_pylist()]):
+                    ids.append(np.append(x, np.uint32(end)))
+                    tokens += len(ids[-1])
+                if len(ids) >= GROUP_DOCS or tokens >= GROUP_TOKENS:
+                    yield emit()
+                    group, ids, tokens = [], [], 0
+            if ids:
                 yield emit()
-                group, ids, tokens = [], [], 0
-        if ids:
-            yield emit()
+        finally:  # an executor may keep more workers than it runs tasks, and each would hold its own
+            enc.forget()
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(released(run), SCHEMA)

@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -131,6 +132,17 @@ def test_pieces_are_merged_once(vocabulary, monkeypatch):
     assert len(given) == len(set(given)) and {"alpha", "gamma", "delta"} <= set(given)
 
 
+def test_workers_remember_no_words_between_tasks(spark, docs, vocabulary):
+    packing.pack_documents(docs, vocabulary).collect()
+
+    def run(batches):
+        for _ in batches:
+            enc = packing.encoder(vocabulary)
+            yield pa.RecordBatch.from_arrays([pa.array([len(enc.words.slot) + len(enc.pieces.slot)])], names=["n"])
+
+    assert {r.n for r in spark.range(0, 16, 1, 16).mapInArrow(run, "n long").collect()} == {2}  # the entries without ids
+
+
 def test_packing_loses_no_token(spark, docs, vocabulary):
     from tokenizers import Tokenizer
 

@@ -39,6 +39,22 @@ def test_one_of_each_with_nulls_and_repeats(spark):
     assert sorted(((r.doc_id, r.text or "", r.fp) for r in got), key=str) == [(2, "same words in here now", 1), (9, "", 1), (9, "third text of its own kind", 1), (None, "quite other words are these", 1)]
 
 
+def test_near_duplicates_broadcast_no_exploded_rows(spark):
+    docs = spark.createDataFrame([(k, f"one{k} two{k * 7} three{k * 13} four{k * 29}") for k in range(500)], "doc_id long, text string")
+    store = spark._jsparkSession.sharedState().statusStore()
+    seen = lambda: map(store.executionsList().apply, range(store.executionsList().size()))
+    last = max((x.executionId() for x in seen()), default=-1)
+    assert corpus_pipeline.near_duplicates(spark, docs, SF).count() == 500
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    sent = []
+    for i in (x.executionId() for x in seen() if x.executionId() > last):
+        values, nodes = store.executionMetrics(i), store.planGraph(i).allNodes()
+        for node in (n for n in map(nodes.apply, range(nodes.size())) if n.name() == "BroadcastExchange"):
+            counts = (m.accumulatorId() for m in map(node.metrics().apply, range(node.metrics().size())) if m.name() == "number of output rows")
+            sent += [int(values.apply(k).replace(",", "")) for k in counts if values.contains(k)]
+    assert sent and max(sent) <= 500
+
+
 @pytest.mark.parametrize("module, column", [(quality_mil, "quality"), (toxicity_cnn, "toxic")])
 def test_classifiers(spark, module, column):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
