@@ -11,14 +11,48 @@ from ..functions import chess
 from .relational import ranked_value
 
 
+def by_qrels(hits: DataFrame, qrels: DataFrame, query_id: str = "qid", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(hits with ``relevant``, (query_id, n_relevant)) where the relevant pairs are given."""
+    pairs = qrels.select(query_id, doc_id).distinct().withColumn("relevant", F.lit(True))
+    return hits.join(pairs, [query_id, doc_id], "left"), qrels.groupBy(query_id).agg(F.count("*").alias("n_relevant"))
+
+
+def by_class(hits: DataFrame, queries: DataFrame, docs: DataFrame, of_query: str, of_doc: str, query_id: str = "qid", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """As ``by_qrels``, where documents of a query's own class are relevant: pairs of a class are counted, never made."""
+    asked = queries.select(query_id, F.col(of_query).alias("__class"))
+    sizes = docs.groupBy(F.col(of_doc).alias("__class")).agg(F.count("*").alias("n_relevant"))
+    found = hits.join(asked, query_id).join(docs.select(doc_id, F.col(of_doc).alias("__own")), doc_id, "left")
+    return found.withColumn("relevant", F.col("__own") == F.col("__class")).drop("__own", "__class"), asked.join(sizes, "__class").select(query_id, "n_relevant")
+
+
+def metrics_at(queries: DataFrame, marked: DataFrame, relevant: DataFrame, cuts: tuple[int, ...], query_id: str = "qid") -> DataFrame:
+    """(query_id, n_relevant, shown; recall_k, precision_k, rr_k, hit_k, ndcg_k of each cut) of every query, in one pass over the hits.
+
+    ``marked`` has query_id, rank and relevant (null: no), ``relevant`` each query's n_relevant. ``shown`` counts its hits.
+    """
+    good = lambda k: F.col("relevant") & (F.col("rank") <= k)
+    gain = 1 / F.log2(F.col("rank") + 1.0)
+    of = lambda k: [F.count_if(good(k)).alias(f"found_{k}"), F.min(F.when(good(k), F.col("rank"))).alias(f"first_{k}"), F.sum(F.when(good(k), gain)).alias(f"dcg_{k}")]
+    sums = marked.groupBy(query_id).agg(F.count("*").alias("shown"), *(c for k in cuts for c in of(k)))
+    out = queries.select(query_id).join(relevant, query_id, "left").join(sums, query_id, "left").fillna(0, ["n_relevant", "shown", *(f"found_{k}" for k in cuts)])
+    there = F.col("n_relevant") > 0
+    ideal = lambda k: F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.col("n_relevant"), F.lit(k)).cast("int"))), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1.0))
+    told = lambda k: {"recall": F.when(there, F.col(f"found_{k}") / F.col("n_relevant")), "precision": F.col(f"found_{k}") / k, "rr": F.coalesce(1 / F.col(f"first_{k}"), F.lit(0.0)), "hit": (F.col(f"found_{k}") > 0).cast("int"), "ndcg": F.when(there, F.coalesce(F.col(f"dcg_{k}"), F.lit(0.0)) / ideal(k))}
+    return out.select(query_id, "n_relevant", "shown", *(c.alias(f"{n}_{k}") for k in cuts for n, c in told(k).items()))
+
+
 def ir_metrics(queries: DataFrame, hits: DataFrame, qrels: DataFrame, k: int = 10, query_id: str = "qid", doc_id: str = "doc_id") -> DataFrame:
     """(query_id, n_relevant, recall, precision, rr, hit, ndcg) of every query; one without hits scores 0, recall is null without relevant ones."""
-    relevant = qrels.groupBy(query_id).agg(F.count("*").alias("n_relevant"))
-    good = hits.where(F.col("rank") <= k).join(qrels.select(query_id, doc_id).distinct(), [query_id, doc_id], "left_semi")
-    sums = good.groupBy(query_id).agg(F.count("*").alias("found"), F.min("rank").alias("first"), F.sum(1 / F.log2(F.col("rank") + 1.0)).alias("dcg"))
-    out = queries.select(query_id).join(relevant, query_id, "left").join(sums, query_id, "left").withColumns({"n_relevant": F.coalesce("n_relevant", F.lit(0)), "found": F.coalesce("found", F.lit(0))})
-    ideal = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.col("n_relevant"), F.lit(k)).cast("int"))), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1.0))
-    return out.select(query_id, "n_relevant", F.when(F.col("n_relevant") > 0, F.col("found") / F.col("n_relevant")).alias("recall"), (F.col("found") / k).alias("precision"), F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("rr"), (F.col("found") > 0).cast("int").alias("hit"), F.when(F.col("n_relevant") > 0, F.coalesce(F.col("dcg"), F.lit(0.0)) / ideal).alias("ndcg"))
+    return _at(metrics_at(queries, *by_qrels(hits, qrels, query_id, doc_id), (k,), query_id), k, query_id)
+
+
+def class_metrics(queries: DataFrame, hits: DataFrame, docs: DataFrame, of_query: str, of_doc: str, k: int = 10, query_id: str = "qid", doc_id: str = "doc_id") -> DataFrame:
+    """As ``ir_metrics``, where documents of a query's own class are relevant."""
+    return _at(metrics_at(queries, *by_class(hits, queries, docs, of_query, of_doc, query_id, doc_id), (k,), query_id), k, query_id)
+
+
+def _at(metrics: DataFrame, k: int, query_id: str) -> DataFrame:
+    return metrics.select(query_id, "n_relevant", *(F.col(f"{n}_{k}").alias(n) for n in ("recall", "precision", "rr", "hit", "ndcg")))
 
 
 def temporal_split(df: DataFrame, keys: list[str], order: list[str], test_share: float = 0.25) -> DataFrame:

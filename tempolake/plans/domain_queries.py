@@ -103,8 +103,7 @@ me AS (SELECT qid, qlabel, n_relevant, found / n_relevant AS recall, found / 10
 
 def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, q, hits = _dense(spark, sf_dir, 10)
-    qrels = q.select("qid", F.col("qlabel").alias("label")).join(v.select("vec_id", "label"), "label").select("qid", "vec_id")
-    return evaluation.ir_metrics(q, hits, qrels, 10, "qid", "vec_id").join(q.select("qid", "qlabel"), "qid")
+    return evaluation.class_metrics(q, hits, v, "qlabel", "label", 10, "qid", "vec_id").join(q.select("qid", "qlabel"), "qid")
 
 
 @query(f"WITH {METRIC_SQL} SELECT qid, n_relevant, round(recall, 6) AS recall, round(precision, 6) AS precision, round(rr, 6) AS rr, hit, round(ndcg, 6) AS ndcg FROM me")

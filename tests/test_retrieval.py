@@ -2,7 +2,10 @@
 
 import json
 import math
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -278,3 +281,33 @@ def test_streams(spark, tmp_path):
     q = ingest.event_rates(stream).writeStream.format("memory").queryName("rates").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert 0 < spark.table("rates").agg(F.sum("n")).first()[0] <= events.count()
+
+
+def test_dense_topk_holds_tiles_only():
+    rng = np.random.default_rng(5)
+    x, q = rng.standard_normal((6000, 16)), rng.standard_normal((1500, 16))
+    q /= np.sqrt((q * q).sum(1))[:, None]
+    x[3000:3100] = x[:100]  # ties across batches
+    own = rng.permutation(6000)
+    batches = [pa.record_batch([pa.array(own[at : at + 3000]), pa.array(list(x[at : at + 3000]))], names=["d", "v"]) for at in (0, 3000)]
+    tracemalloc.start()
+    out = list(retrieval._best_of(batches, np.arange(1500), q, None, 5))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50e6  # all scores of a batch are 36 MB, and the merge had several such tables at once
+    s = np.round(q @ (x / np.sqrt((x * x).sum(1))[:, None]).T, 6)
+    want = [list(own[np.lexsort((own, -row))[:5]]) for row in s]
+    assert [list(out[0].column(1).to_numpy()[at : at + 5]) for at in range(0, 7500, 5)] == want
+    with pytest.raises(ValueError):
+        list(retrieval._best_of(batches, np.arange(1500), q[:, :8], None, 5))
+
+
+def test_class_metrics_are_those_of_all_pairs(spark):
+    docs = spark.createDataFrame([(d, d % 3 if d % 7 else None) for d in range(40)], "doc_id long, label int")
+    q = spark.createDataFrame([(1, 0), (2, 1), (3, 9), (4, None)], "qid long, qlabel int")
+    hits = spark.createDataFrame([(i, (i * 5 + r * 3) % 40, r) for i in (1, 2, 3) for r in range(1, 13)], "qid long, doc_id long, rank int")
+    qrels = q.join(docs, F.col("label") == F.col("qlabel")).select("qid", "doc_id")
+    got = evaluation.class_metrics(q, hits, docs, "qlabel", "label", 10)
+    told = lambda df: sorted(tuple(None if x is None else round(x, 9) for x in r) for r in df.collect())
+    assert told(got) == told(evaluation.ir_metrics(q, hits, qrels, 10))
+    assert "qlabel" not in got.columns and got.where("qid = 1").first().n_relevant == 12
