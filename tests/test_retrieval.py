@@ -311,3 +311,16 @@ def test_class_metrics_are_those_of_all_pairs(spark):
     told = lambda df: sorted(tuple(None if x is None else round(x, 9) for x in r) for r in df.collect())
     assert told(got) == told(evaluation.ir_metrics(q, hits, qrels, 10))
     assert "qlabel" not in got.columns and got.where("qid = 1").first().n_relevant == 12
+
+
+def test_best_rows_at_depth_50_among_copies():
+    q, k = np.eye(900, 12), 50
+    q[12:, 0] = 1.0
+    own = np.arange(4000)[::-1].copy()
+    x = np.tile(np.eye(4, 12), (1000, 1))  # a thousand copies of each of four vectors, the smallest ids last
+    tracemalloc.start()
+    out = list(retrieval._best_of([pa.record_batch([pa.array(own), pa.array(list(x))], names=["d", "v"])], np.arange(900), q, None, k))[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50e6 and out.num_rows == 900 * k
+    assert out.column(1).to_numpy()[:k].tolist() == [3 + 4 * i for i in range(k)] and out.column(1).to_numpy()[-k:].tolist() == [3 + 4 * i for i in range(k)]
