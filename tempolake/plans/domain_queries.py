@@ -67,10 +67,15 @@ ds AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id
 """
 
 
-def _dense(spark: SparkSession, sf_dir: str, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(vectors, queries, hits); the queries are the vectors whose id is divisible by 100."""
+def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(vectors, queries); the queries are the vectors whose id is divisible by 100."""
     v = table(spark, sf_dir, "embeddings")
-    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "embedding", F.col("label").alias("qlabel"))
+    return v, v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "embedding", F.col("label").alias("qlabel"))
+
+
+def _dense(spark: SparkSession, sf_dir: str, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(vectors, queries, hits)."""
+    v, q = _vectors(spark, sf_dir)
     return v, q, retrieval.dense_topk(v, q, k)
 
 
@@ -86,7 +91,7 @@ f AS (SELECT qid, vec_id, round(sum(1 / (60 + rank)), 9) AS score, string_agg(sr
 SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM f QUALIFY rank <= 10
 """)
 def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v, q, _ = _dense(spark, sf_dir, 30)
+    v, q = _vectors(spark, sf_dir)
     near = lambda asked, k: retrieval.dense_topk(v, asked, k)
     far = lambda asked, k: retrieval.dense_topk(v, asked, k, differ=("label", "qlabel"))
     return query_sets.hybrid(q, {"all": near, "other": far}, 10, 30, doc_id="vec_id").select("qid", "vec_id", "score", "sources", "rank")

@@ -324,3 +324,11 @@ def test_best_rows_at_depth_50_among_copies():
     tracemalloc.stop()
     assert peak < 50e6 and out.num_rows == 900 * k
     assert out.column(1).to_numpy()[:k].tolist() == [3 + 4 * i for i in range(k)] and out.column(1).to_numpy()[-k:].tolist() == [3 + 4 * i for i in range(k)]
+
+
+def test_rrf_hybrid_searches_once_a_ranking(spark, monkeypatch):
+    from tempolake.plans import domain_queries
+
+    asked, real = [], retrieval.dense_topk
+    monkeypatch.setattr(retrieval, "dense_topk", lambda *a, **k: asked.append(a[2]) or real(*a, **k))
+    assert "sources" in domain_queries.rrf_hybrid(spark, "/root/testdata/sf0.001").columns and asked == [30, 30]
