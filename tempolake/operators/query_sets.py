@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .evaluation import ir_metrics
+from .evaluation import by_class, by_qrels, metrics_at
 from .relational import at_index, topk_per_group
 from .retrieval import RRF_K, reciprocal_rank_fusion
 
@@ -103,22 +103,19 @@ def query_set_stats(queries: DataFrame) -> DataFrame:
     return out.withColumn("family", F.coalesce("family", F.lit("all")))
 
 
-def compare(queries: DataFrame, qrels: DataFrame, rankings: dict[str, DataFrame], cuts: tuple[int, ...] = CUTS, query_id: str = "qid", doc_id: str = "doc_id") -> DataFrame:
+def compare(queries: DataFrame, qrels: DataFrame, rankings: dict[str, DataFrame], cuts: tuple[int, ...] = CUTS, query_id: str = "qid", doc_id: str = "doc_id", by_family: bool = False) -> DataFrame:
     """(retriever, family, n, empty, mrr, recall_k and ndcg_k of each cut, precision_10, hit_10) with family "all" for all.
 
-    Queries (query_id, family) without results count as 0; a mean leaves out queries where the value is undefined.
+    Queries (query_id, family) without results count as 0; a mean leaves out queries where the value is undefined. With
+    ``by_family``, ``qrels`` is (doc_id, family) of all documents, and those of a query's family are relevant to it.
     """
     deepest = max(*cuts, 10)
     names = [f"{m}_{k}" for k in cuts for m in ("recall", "ndcg")] + ["precision_10", "hit_10"]
     parts = []
     for name, hits in rankings.items():
-        rows = queries.select(query_id, "family")
-        for k in sorted({*cuts, 10, deepest}):
-            m = ir_metrics(queries, hits, qrels, k, query_id, doc_id)
-            wanted = [F.col(c).alias(f"{c}_{k}") for c in ("recall", "ndcg") if k in cuts] + [F.col(c).alias(f"{c}_10") for c in ("precision", "hit") if k == 10] + ([F.col("rr").alias("mrr")] if k == deepest else [])
-            rows = rows.join(m.select(query_id, *wanted), query_id)
-        rows = rows.join(hits.select(query_id).distinct().withColumn("some", F.lit(1)), query_id, "left")
-        parts.append(rows.rollup("family").agg(F.count("*").alias("n"), F.count_if(F.col("some").isNull()).alias("empty"), *(F.avg(c).alias(c) for c in ["mrr", *names])).select(F.lit(name).alias("retriever"), F.coalesce("family", F.lit("all")).alias("family"), "n", "empty", "mrr", *names))
+        marked = by_class(hits, queries, qrels, "family", "family", query_id, doc_id) if by_family else by_qrels(hits, qrels, query_id, doc_id)
+        rows = queries.select(query_id, "family").join(metrics_at(queries, *marked, tuple(sorted({*cuts, 10})), query_id).withColumnRenamed(f"rr_{deepest}", "mrr"), query_id)
+        parts.append(rows.rollup("family").agg(F.count("*").alias("n"), F.count_if(F.col("shown") == 0).alias("empty"), *(F.avg(c).alias(c) for c in ["mrr", *names])).select(F.lit(name).alias("retriever"), F.coalesce("family", F.lit("all")).alias("family"), "n", "empty", "mrr", *names))
     return reduce(DataFrame.union, parts)
 
 

@@ -140,8 +140,8 @@ def compare_retrievers(spark: SparkSession, sf_dir: str) -> DataFrame:
     short = v.withColumn("embedding", F.slice("embedding", 1, 8))
     asked = lambda x: x.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "embedding", F.col("label").cast("string").alias("family"))
     q = asked(v)
-    qrels = q.select("qid", F.col("family").cast("long").alias("label")).join(v.select("vec_id", "label"), "label").select("qid", "vec_id")
-    found = query_sets.compare(q, qrels, {"whole": retrieval.dense_topk(v, q, 20), "short": retrieval.dense_topk(short, asked(short), 20)}, doc_id="vec_id")
+    classes = v.select("vec_id", F.col("label").cast("string").alias("family"))
+    found = query_sets.compare(q, classes, {"whole": retrieval.dense_topk(v, q, 20), "short": retrieval.dense_topk(short, asked(short), 20)}, doc_id="vec_id", by_family=True)
     return found.select("retriever", "family", "n", "empty", *(F.round(c, 6).alias(c) for c in found.columns[4:]))
 
 

@@ -332,3 +332,15 @@ def test_rrf_hybrid_searches_once_a_ranking(spark, monkeypatch):
     asked, real = [], retrieval.dense_topk
     monkeypatch.setattr(retrieval, "dense_topk", lambda *a, **k: asked.append(a[2]) or real(*a, **k))
     assert "sources" in domain_queries.rrf_hybrid(spark, "/root/testdata/sf0.001").columns and asked == [30, 30]
+
+
+def test_compare_by_family_in_one_pass(spark):
+    docs = spark.createDataFrame([(d, "ab"[d % 2]) for d in range(30)], "doc_id long, family string")
+    q = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "qid long, family string")
+    hits = spark.createDataFrame([(i, (i * 5 + r * r) % 30, r) for i in (1, 2) for r in range(1, 5)], "qid long, doc_id long, rank int")
+    qrels = q.join(docs, "family").select("qid", "doc_id")
+    told = lambda df: sorted(tuple(x if isinstance(x, str) else round(x, 9) for x in r) for r in df.collect())
+    found = query_sets.compare(q, docs, {"x": hits}, by_family=True)
+    assert told(found) == told(query_sets.compare(q, qrels, {"x": hits})) and found.where("family = 'a'").first().empty == 1
+    plan = found._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert sum("LogicalRDD" in line and "rank#" in line for line in plan) == 1
