@@ -161,8 +161,11 @@ def link(queries: DataFrame, index: DataFrame, subject: str | None = None) -> Da
     return found.union(colors)
 
 
-def path_scores(links: DataFrame, edges: DataFrame) -> DataFrame:
-    """(qid, position, path, score) along the four kinds of paths from linked nodes to positions."""
+def path_scores(links: DataFrame, edges: DataFrame, parts: int | None = None) -> DataFrame:
+    """(qid, position, path, score) along the four kinds of paths from linked nodes to positions.
+
+    With ``parts``, positions are dealt to so many, for this sum and for ``combine`` after it.
+    """
     of = lambda kind: links.where(F.col("kind") == kind).select("qid", "id")
     rel = lambda r: edges.where(F.col("rel") == r)
     leads = rel("leads_to").select(F.col("src").alias("opening"), F.col("dst").alias("position"), (F.least(F.col("count"), F.lit(5)) / 5.0).alias("w"))
@@ -173,7 +176,9 @@ def path_scores(links: DataFrame, edges: DataFrame) -> DataFrame:
     player = of("player").join(erred, "id").select("qid", "position", F.lit("player"), WEIGHTS["player"] * F.col("w"))
     shown = rel("exhibits").select(F.col("dst").alias("id"), F.col("src").alias("position"), (F.least(F.col("count"), F.lit(3)) / 3.0).alias("w"))
     theme = of("theme").join(shown, "id").select("qid", "position", F.lit("theme"), WEIGHTS["theme"] * F.col("w"))
-    return direct.union(family).union(player).union(theme).groupBy("qid", "position", "path").agg(F.sum("s").alias("score"))
+    paths = direct.union(family).union(player).union(theme)
+    paths = paths if parts is None else paths.repartition(parts, "qid", "position")
+    return paths.groupBy("qid", "position", "path").agg(F.sum("s").alias("score"))
 
 
 def combine(paths: DataFrame) -> DataFrame:

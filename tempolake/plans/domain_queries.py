@@ -205,12 +205,26 @@ shown AS (SELECT l_partkey AS pos, l_linestatus AS theme, count(*) AS n FROM lin
 """
 
 
-def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+#: Bytes of the lines' files for each part of a shuffle: sorts and groups of a task stay as small whatever the input.
+PART_BYTES = 8 << 20
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> int:
+    """Parts that shuffles of the lines take."""
+    size = int(table(spark, sf_dir, "lineitem")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+
+
+def _graph(spark: SparkSession, sf_dir: str, opening: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(led, err, shown); ``led`` of one opening only where it is named."""
+    parts = _parts(spark, sf_dir)
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("pos"), "l_returnflag", "l_linestatus", "l_quantity")
-    told = lines.join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("player")), "l_orderkey")
-    led = told.join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("player"), F.col("c_mktsegment").alias("opening")), "player").groupBy("opening", "pos").agg(F.count("*").alias("n"))
-    err = told.where("l_returnflag = 'R'").groupBy("player", "pos").agg(F.count("*").alias("n"), F.avg("l_quantity").alias("cp"))
-    return led, err, lines.groupBy("pos", F.col("l_linestatus").alias("theme")).agg(F.count("*").alias("n"))
+    told = lines.repartition(parts, "l_orderkey").join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("player")), "l_orderkey")
+    people = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("player"), F.col("c_mktsegment").alias("opening"))
+    people = people if opening is None else people.where(F.col("opening") == opening)
+    led = told.select("player", "pos").repartition(parts, "player").join(people, "player").repartition(parts, "pos").groupBy("opening", "pos").agg(F.count("*").alias("n"))
+    err = told.where("l_returnflag = 'R'").select("player", "pos", "l_quantity").repartition(parts, "pos").groupBy("player", "pos").agg(F.count("*").alias("n"), F.avg("l_quantity").alias("cp"))
+    return led, err, lines.select("pos", F.col("l_linestatus").alias("theme")).repartition(parts, "pos").groupBy("pos", "theme").agg(F.count("*").alias("n"))
 
 
 @query(f"""
@@ -238,12 +252,12 @@ SELECT pos, string_agg(path, '+' ORDER BY path) AS support, round(sum(s) + CASE
 def path_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import graph
 
-    led, err, shown = _graph(spark, sf_dir)
+    led, err, shown = _graph(spark, sf_dir, "BUILDING")
     edge = lambda df, src, dst, rel, **more: df.select(src.alias("src"), dst.alias("dst"), F.lit(rel).alias("rel"), F.col("n").alias("count"), more.get("cp", F.lit(None)).cast("double").alias("avg_cp_loss"))
     pos = F.concat(F.lit("position:"), F.col("pos").cast("string"))
     edges = edge(led, F.col("opening"), pos, "leads_to").union(edge(err, F.lit("everyone"), pos, "blunders_at", cp=F.col("cp"))).union(edge(shown, pos, F.col("theme"), "exhibits"))
     links = spark.createDataFrame([(0, "opening", "BUILDING"), (0, "player", "everyone"), (0, "theme", "F")], "qid int, kind string, id string")
-    out = graph.combine(graph.path_scores(links, edges))
+    out = graph.combine(graph.path_scores(F.broadcast(links), edges, _parts(spark, sf_dir)))  # three links
     return out.select(F.substring_index("position", ":", -1).cast("long").alias("pos"), F.array_join("support", "+").alias("support"), F.round("score", 6).alias("score"))
 
 

@@ -372,3 +372,13 @@ def test_bm25_is_brute_force_without_shuffled_postings(spark, monkeypatch):
     assert found.schema["qid"].dataType.simpleString() == "int" and [c for c in found.columns] == ["qid", "doc_id", "score", "rank"]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
     assert retrieval.bm25(docs.limit(0), spark.createDataFrame([(1, "w1")], "qid int, text string")).count() == 0
+
+
+def test_path_scores_sort_no_edges_by_their_link(spark):
+    from tempolake.plans import domain_queries
+
+    out = domain_queries.path_scores(spark, "/root/testdata/sf0.001")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # edges of one link were one key of a join by sorting, and so one task
+    assert not [line for line in plan.split("\n") if "SortMergeJoin [id#" in line or "SortMergeJoin [opening#" in line or "SortMergeJoin [theme#" in line]
+    assert plan.count("REPARTITION_BY_NUM") >= 6
