@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import chess
+from .retrieval import _keep_best
 
 TOP_K, THRESHOLD = 5, 0.60
 PIECES = "PpNnBbRrQqKk"
@@ -74,6 +77,46 @@ def blocked_pairs(rows: DataFrame, key: str, block: str, prune: Column, weight:
     return pairs.select("block", ends.alias("e"), "weight").select("block", "e.*", "weight")
 
 
+def _best_of_tiles(batches, k: int, threshold: float):
+    """Rows (node, other, weight): of each tile (ids and bitboards of two parts of a block) the ``k`` best of every node."""
+    for b in batches:
+        for row in range(b.num_rows):
+            x, xs, y, ys = (b.column(c)[row].values.to_numpy() for c in range(4))
+            same = b.column(4)[row].as_py()
+            sides = [(x, np.full((len(x), k), -np.inf), np.zeros((len(x), k), np.int64)), (y, np.full((len(y), k), -np.inf), np.zeros((len(y), k), np.int64))]
+            for i in range(0, len(x), 512):
+                for j in range(0, len(y), 512):
+                    p, q = xs[i : i + 512, None].view(np.uint64), ys[None, j : j + 512].view(np.uint64)
+                    union = np.bitwise_count(p | q)
+                    s = np.where(union == 0, 1.0, np.bitwise_count(p & q) / np.maximum(union, 1))
+                    s[(s < threshold) | (x[i : i + 512, None] == y[None, j : j + 512])] = -np.inf
+                    # ties go to the greater node
+                    _keep_best(sides[0][1][i : i + 512], sides[0][2][i : i + 512], s, -y[j : j + 512])
+                    if not same:
+                        _keep_best(sides[1][1][j : j + 512], sides[1][2][j : j + 512], s.T, -x[i : i + 512])
+            for node, best, who in sides[: 1 if same else 2]:
+                there = best > -np.inf
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node, there.sum(1))), pa.array(-who[there]), pa.array(best[there])], names=["node", "other", "weight"])
+
+
+def bitboard_edges(rows: DataFrame, key: str, block: str, bits: str, k: int = TOP_K, threshold: float = THRESHOLD) -> DataFrame:
+    """(lo, hi, score): ``top_edges`` of the rows (key long, bits long) of one block by the Jaccard similarity of their bits.
+
+    A block is dealt to parts of some ``BLOCK`` rows, and each two parts meet as one tile. A tile sends on the ``k`` best of
+    each of its nodes, so no pairs are kept or sorted; the work itself stays all pairs of a block.
+    """
+    sizes = rows.groupBy(block).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("__parts"))
+    dealt = rows.join(sizes, block).withColumn("__part", F.pmod(F.xxhash64(key), F.col("__parts")).cast("int"))
+    parts = dealt.groupBy(block, "__part").agg(F.collect_list(F.struct(key, bits)).alias("__rows"))  # some BLOCK rows each
+    a, b = parts.alias("a"), parts.alias("b")
+    tiles = a.join(b, (F.col(f"a.{block}") == F.col(f"b.{block}")) & (F.col("a.__part") <= F.col("b.__part")))
+    side = lambda n: [F.col(f"{n}.__rows").getField(c).cast("array<long>").alias(f"{n}{c}") for c in (key, bits)]
+    count = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tiles = tiles.select(*side("a"), *side("b"), (F.col("a.__part") == F.col("b.__part")).alias("same")).repartition(count)
+    pairs = tiles.mapInArrow(lambda batches: _best_of_tiles(batches, k, threshold), "node long, other long, weight double")
+    return top_edges(pairs, "node", "other", "weight", k)
+
+
 def similarity_edges(feats: DataFrame, k: int = TOP_K, threshold: float = THRESHOLD) -> DataFrame:
     """(lo, hi, score): equi-join on the block, pawn similarity as a residual prune, then the whole score."""
     pawn, whole = score()

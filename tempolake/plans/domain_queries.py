@@ -187,7 +187,7 @@ WITH {BITS_SQL}, r AS (SELECT a, c, sim, row_number() OVER (PARTITION BY a ORDER
 SELECT least(a, c) AS lo, greatest(a, c) AS hi, round(max(sim), 4) AS score FROM r WHERE k <= 5 GROUP BY ALL
 """)
 def similarity_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity.top_edges(_similar(spark, sf_dir), "a", "c", "sim", 5).withColumn("score", F.round("score", 4))
+    return similarity.bitboard_edges(_bits(spark, sf_dir), "vec_id", "label", "bits", 5, 0.45).withColumn("score", F.round("score", 4))
 
 
 @query("""

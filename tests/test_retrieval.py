@@ -382,3 +382,14 @@ def test_path_scores_sort_no_edges_by_their_link(spark):
     # edges of one link were one key of a join by sorting, and so one task
     assert not [line for line in plan.split("\n") if "SortMergeJoin [id#" in line or "SortMergeJoin [opening#" in line or "SortMergeJoin [theme#" in line]
     assert plan.count("REPARTITION_BY_NUM") >= 6
+
+
+def test_bitboard_edges_are_those_of_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    bits = [int(x) for x in rng.integers(-(2**63), 2**63, 150)] + [0, 0, -1, -1] + [5] * 8  # copies tie
+    rows = spark.createDataFrame([(i, i % 2, x) for i, x in enumerate(bits)], "id long, g int, bits long")
+    sim = similarity.jaccard(F.col("a.bits"), F.col("b.bits"))
+    want = similarity.top_edges(similarity.blocked_pairs(rows, "id", "g", sim, sim, 0.35), "node", "other", "weight", 3)
+    monkeypatch.setattr(similarity, "BLOCK", 20)
+    found = similarity.bitboard_edges(rows, "id", "g", "bits", 3, 0.35)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) and found.count() > 100
